@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_files
+from . import contamination, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +26,42 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.col("item_ids")
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP5_SQL = r"""
+WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents, upper_lower),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+             regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark, upper_lower WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, n, list_slice(w, i, i + n - 1) AS g
+        FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+              FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT r, i, n, list_slice(w, i, i + n - 1) AS g
+          FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+m AS (SELECT r, i, n, item FROM grams JOIN win USING (n, g)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+        FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op5_contamination": op5_contamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_contamination": OP5_SQL,
+}

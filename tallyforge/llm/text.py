@@ -121,3 +121,30 @@ def group_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups of values; group i is ``values[first[i]:first[i + 1]]``."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Values with all first bytes first, then all second bytes and so on: small ones compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit values as differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, "u8"), dtype=np.uint64)
+
+
+def find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is in the sorted ones, and whether it is there."""
+    if not len(sorted_values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return at, sorted_values[at] == wanted
