@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, token_files
+from . import contamination, neardup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +57,15 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op5_contamination": op5_contamination,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 
 SQL: dict[str, str] = {
