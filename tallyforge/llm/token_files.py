@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files of equal-length sequences with masks.
 
 A data set is a folder. Shard k, the k-th range of ascending doc_id, has two Arrow IPC files: ``seq-k.arrow`` with
-record batches of ``ROWS`` rows of two fixed-size lists, ``ids`` (uint32) and ``mask`` (uint8, 1: a token, 0: padding),
-both ``length`` long, and ``doc-k.arrow`` with one row per document: doc_id, start (its first id within the shard) and
+record batches of ``ROWS`` rows of two fixed-size lists, ``ids`` (uint16, or uint32 for a vocabulary of over 65,536)
+and ``mask`` (bool, true: a token, false: padding), both ``length`` long, and ``doc-k.arrow`` with one row per document: doc_id, start (its first id within the shard) and
 n_tokens. All batches but a file's last are full, so id i of a shard is in batch i // (ROWS * length) at a known place,
 and a mapped file gives any sequence, mask or document without copying.
 """
@@ -10,7 +10,6 @@ and a mapped file gives any sequence, mask or document without copying.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +23,9 @@ from . import work
 
 #: Sequences in a record batch.
 ROWS = 64
-#: Encoded pieces kept by a worker; then it starts afresh, so memory stays bounded.
-PIECES = 400_000
+#: Encoded pieces that a worker keeps; later ones are encoded once for each group of documents.
+PIECES = 800_000
 
-_UNSAFE = re.compile(r"\s | \s|^\s|\s\Z")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,7 +34,7 @@ class Encoder:
 
     The byte-level tokenizer never joins what is before a single space with what follows, so a text without other
     white space next to a space is the sequence of its pieces, and each different piece is encoded once. Other texts
-    are encoded in one piece.
+    are encoded in one go. Ids are bytes: 16 bits each where the vocabulary allows, else 32.
     """
 
     def __init__(self, path: str):
@@ -44,28 +42,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype(id_kind(path))
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.lengths[k] = len(token)  # a character for each byte
+        self.known: tuple[dict, dict] = ({}, {})
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, wanted: set[str], tail: int) -> dict[str, bytes | None]:
+        """Ids of pieces; those after a space if tail. None: not a piece that can be encoded by itself."""
+        known = self.known[tail]
+        here = {x: known[x] for x in wanted if x in known}
+        new = [x for x in wanted if x not in here]
+        here.update((x, None) for x in new if x != x.strip() or not x)
+        new = [x for x in new if x not in here]
+        for begin in range(0, len(new), 256 if tail else 1):
+            part = new[begin : begin + (256 if tail else 1)]
+            text = " " * tail + " ".join(part)
+            ids = self._whole([text])[0]
+            size = np.fromiter((len(x.encode()) for x in part), np.int64, len(part)) + tail
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(ends, np.cumsum(size), "left") + 1
+            if len(ids) and np.array_equal(ends[cuts - 1], np.cumsum(size)):
+                here.update((x, ids[a:b].tobytes()) for x, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+            else:
+                here.update((x, i.tobytes()) for x, i in zip(part, self._whole([" " * tail + x for x in part]), strict=True))
+        if len(known) < PIECES:
+            known.update((x, here[x]) for x in new)
+        return here
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [x.split(" ") for x in texts]
+        head = self._learn({x[0] for x in split}, 0)
+        wanted: set[str] = set()
+        for x in split:
+            wanted.update(x[1:])
+        get, out = self._learn(wanted, 1).__getitem__, []
+        for text, x in zip(texts, split, strict=True):
+            try:
+                out.append(head[x[0]] + b"".join(map(get, x[1:])))
+            except TypeError:  # one of the pieces is None
+                out.append(self._whole([text])[0].tobytes())
+        return out
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
-        if len(known) + len(wanted) > PIECES:
-            known.clear()
-        new = [x for x in wanted if x not in known]
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            known.update(zip(part, self._whole([before + x for x in part]), strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(x) else x.split(" ") for x in texts]
-        self._learn(self.head, {x[0] for x in split if x}, "")
-        self._learn(self.tail, {p for x in split if x for p in x[1:]}, " ")
-        whole = iter(self._whole([t for t, x in zip(texts, split, strict=True) if x is None]))
-        get = self.tail.__getitem__
-        return [next(whole) if x is None else self.head[x[0]] + b"".join(map(get, x[1:])) for x in split]
+def id_kind(path: str) -> str:
+    """The narrowest unsigned type, of 16 or 32 bits, for a tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def encoder(path: str) -> Encoder:
@@ -77,28 +105,29 @@ def encoder(path: str) -> Encoder:
 class _Sequences:
     """Fills a shard's sequence file."""
 
-    def __init__(self, sink: pa.NativeFile, length: int):
-        self.length, self.size, self.parts, self.waiting, self.total = length, ROWS * length, [], 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink: pa.NativeFile, length: int, kind: np.dtype):
+        self.length, self.size, self.kind, self.parts, self.waiting, self.total = length, ROWS * length, kind, [], 0, 0
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: bytes) -> None:
         self.parts.append(ids)
-        self.waiting += len(ids) // 4
-        self.total += len(ids) // 4
+        n = len(ids) // self.kind.itemsize
+        self.waiting += n
+        self.total += n
         if self.waiting >= self.size:
             self._flush(self.waiting // self.size * self.size)
 
     def _flush(self, n: int) -> None:
         data = b"".join(self.parts)
         for begin in range(0, n, self.size):
-            self._batch(np.frombuffer(data, "<u4", min(self.size, n - begin), begin * 4))
-        self.parts, self.waiting = [data[n * 4 :]], self.waiting - n
+            self._batch(np.frombuffer(data, self.kind, min(self.size, n - begin), begin * self.kind.itemsize))
+        self.parts, self.waiting = [data[n * self.kind.itemsize :]], self.waiting - n
 
     def _batch(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        padded, mask = np.zeros(rows * self.length, np.uint32), np.zeros(rows * self.length, np.uint8)
-        padded[: len(ids)], mask[: len(ids)] = ids, 1
+        padded, mask = np.zeros(rows * self.length, self.kind), np.zeros(rows * self.length, bool)
+        padded[: len(ids)], mask[: len(ids)] = ids, True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -117,7 +146,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     order = ["doc_id", "text"]
     sorted_docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions(*order)
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-    end = np.asarray([end_id], "<u4").tobytes()
+    kind = np.dtype(id_kind(tokenizer))
+    end = np.asarray([end_id], kind).tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -126,14 +156,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         names = [(f"{base}/{kind}-{k:06d}.{attempt}.tmp", f"{base}/{kind}-{k:06d}.arrow") for kind in ("seq", "doc")]
         encode, n_docs = encoder(tokenizer), 0
         with fs.open_output_stream(names[0][0]) as one, fs.open_output_stream(names[1][0]) as two:
-            sequences, index = _Sequences(one, length), pa.ipc.new_file(two, index_schema)
+            sequences, index = _Sequences(one, length, kind), pa.ipc.new_file(two, index_schema)
             for batch in batches:
                 for begin in range(0, len(batch), 256):
                     part = batch.slice(begin, 256)
                     start, counts = sequences.total, []
                     for ids in encode(part.column("text").to_pylist()):
                         sequences.add(ids + end)
-                        counts.append(len(ids) // 4 + 1)
+                        counts.append(len(ids) // kind.itemsize + 1)
                     counts = np.asarray(counts, np.int64)
                     index.write_batch(pa.record_batch([part.column("doc_id"), pa.array(start + np.cumsum(counts) - counts), pa.array(counts)], schema=index_schema))
                     n_docs += len(part)
@@ -155,9 +185,10 @@ class Shard:
         self.length = self.sequences.schema.field("ids").type.list_size
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i."""
+        """Ids and mask of sequence i; the ids are a view of the file."""
         batch, row = self.sequences.get_batch(i // ROWS), i % ROWS
-        return tuple(batch.column(c).values.to_numpy()[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        ids, mask = (batch.column(c).values.slice(row * self.length, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Ids [start, start + n) in pieces that lie together in the file."""
@@ -187,7 +218,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     for start, count in zip(rows.column("start").to_pylist(), rows.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for part in shard.ids(start, count):
-                            crc = zlib.crc32(part.data, crc)
+                            crc = zlib.crc32(part.astype("<u4").data, crc)
                         crcs.append(crc)
                     start = pa.array(rows.column("start").to_numpy() + base)
                     yield pa.record_batch([rows.column("doc_id"), start, rows.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array([k] * len(rows), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
