@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, neardup, token_files
+from . import contamination, mixing, neardup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +62,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op5_contamination": op5_contamination,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_mixing": op8_mixing,
 }
 
 SQL: dict[str, str] = {
