@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, token_files
+from . import contamination, mixing, neardup, quality, token_files, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    measured = work.written(quality.with_statistics(docs, keep=["doc_id"]), "statistics")
+    known = quality.labelled(table(spark, sf_dir, "labels"))
+    model = quality.fit(work.written(measured.join(known, "doc_id"), "labelled"))
+    scored = measured.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.col("item_ids")
@@ -68,6 +77,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op4_quality_rules": op4_quality_rules,
     "op5_contamination": op5_contamination,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
