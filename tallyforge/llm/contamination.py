@@ -210,3 +210,10 @@ def _merged(found: DataFrame) -> DataFrame:
 
     each = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "item_ids")))
     return each.mapInArrow(merge, found.schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """``docs`` without the contaminated ones. A text's verdict holds for all rows with that text."""
+    read = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = work.written(judged(read, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_text")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["bad_text"], "left_anti")

@@ -83,3 +83,20 @@ def stream(mix: DataFrame) -> DataFrame:
     begin = F.col("source_size") * F.col("pass") + F.col("start")
     taken = F.least(F.col("size"), F.round("target").cast("long") - begin)
     return passes.withColumn("words", taken).withColumn("finish", (begin + F.col("size")) / F.col("target")).orderBy("finish", "source", "doc_id")
+
+
+def remixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3) -> DataFrame:
+    """``docs`` with each row as often as the mix takes its document whole; one cut at the end counts from half on."""
+    mix = mixed(docs, weights, repeats).where("taken > 0")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5)
+    keyed = mix.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"))
+    keyed = work.written(keyed.agg(F.sum(copies).cast("int").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0"), "copies")
+    again = keyed.where("mix_rows > 1").limit(1).count() > 0
+    if again:  # equal rows: one of them, as often as all of them are taken
+        hashed = docs.withColumn("mix_text", F.xxhash64("text"))
+        docs_once = hashed.dropDuplicates(["doc_id", "source", "mix_text"]).select(*docs.columns)
+    else:
+        docs_once = docs
+    d, k = docs_once.alias("d"), keyed.alias("k")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.mix_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("k.mix_source")) & (F.xxhash64("d.text") == F.col("k.mix_hash"))
+    return d.join(k, same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("k.mix_copies"))).alias("mix_copy")).drop("mix_copy")

@@ -76,7 +76,10 @@ def shingle_hashes(text: bytes, size: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long, written to the shared folder. Texts without words have zero."""
+    """doc_id, text_hash and the fingerprint (mark, a signed long), written to the shared folder.
+
+    Texts without words have zero.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +87,10 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 part = batch.slice(begin, 64)
                 each = [shingle_hashes((x or "").encode(), size) for x in part.column("text").to_pylist()]
                 marks = majority(np.concatenate(each), np.cumsum([0, *map(len, each)]))
-                yield pa.record_batch([part.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
+                yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(marks.view(np.int64))], ["doc_id", "text_hash", "mark"])
 
-    return work.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, mark long"), "fingerprints")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return work.written(read.mapInArrow(hashed, "doc_id long, text_hash long, mark long"), "fingerprints")
 
 
 def _remainders() -> np.ndarray:
@@ -158,7 +162,9 @@ def links(marks: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, mark (fingerprint, signed), component_id: the smallest doc_id reachable over links, itself included.
+    """doc_id, text_hash, mark (fingerprint, signed), root (the component's smallest fingerprint) and component_id.
+
+    component_id is the smallest doc_id reachable over links, itself included.
 
     Empty, null and blank texts have fingerprint zero and are linked as others are. Equal rows are separate documents
     of one component; a null doc_id is never a component's id unless all its ids are null. Other columns are ignored.
@@ -168,5 +174,19 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     root = components(links(different), "a", "b")
     rooted = different.join(root, different.mark == root.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("mark", "component_id")
+    named = rooted.join(smallest, "root").select("mark", "root", "component_id")
     return marked.join(named, "mark")
+
+
+def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
+    found = work.written(near_duplicates(docs, size), "near-duplicates")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    first = work.written(first.select("k.doc_id", "k.text_hash"), "survivors").alias("s")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash"))
+    kept = docs.alias("d").join(first, same, "left_semi")
+    again = found.join(first, found.doc_id.eqNullSafe(F.col("s.doc_id")) & (found.text_hash == F.col("s.text_hash")), "left_semi").count() > first.count()
+    if not again:
+        return kept
+    hashed = kept.withColumn("text_hash_", F.xxhash64("text"))  # equal rows
+    return hashed.dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)

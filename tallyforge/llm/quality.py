@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import work
 from .text import DARK, Hasher, group_sums, steps
 
 #: Labelled rows that a model is fitted on, at most (chosen by a hash of doc_id).
@@ -150,3 +151,14 @@ def fit(sample: DataFrame, stats: str = "stats", trees: int = 16, depth: int = 3
     lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=60).fit(table)
     table.unpersist()
     return Rules(lasso.intercept, [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w])
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with a score of 0.5 or more, by a model of those among them that have labels to learn from."""
+    known = labelled(labels)  # SAMPLE rows at most
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    model = fit(work.written(with_statistics(chosen, keep=["label"]), "labelled"))
+    name = "stats"
+    while name in docs.columns:
+        name += "_"
+    return with_statistics(docs, name).where(model.column(name) >= 0.5).select(*docs.columns)
