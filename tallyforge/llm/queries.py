@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, quality, token_files, work
+from . import contamination, mixing, neardup, quality, token_files, warc, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 of a SHA-1: 32 digits of five bits each, from the 160 bits.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT page_id, html, h, list_aggregate(list_transform(range(1, 41), lambda i:
+             substr('0000000100100011010001010110011110001001101010111100110111101111', (instr('0123456789abcdef', substr(h, i, 1)) - 1) * 4 + 1, 4)), 'string_agg', '') AS b FROM p),
+d AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS last,
+             list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + list_sum(list_transform(range(1, 6), lambda j: CAST(substr(b, k * 5 + j, 1) AS INTEGER) * CAST(power(2, 5 - j) AS INTEGER)))::INTEGER, 1)), 'string_agg', '') AS digest FROM bits)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     measured = work.written(quality.with_statistics(docs, keep=["doc_id"]), "statistics")
@@ -77,6 +97,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op3_warc_segments": op3_warc_segments,
     "op4_quality_rules": op4_quality_rules,
     "op5_contamination": op5_contamination,
     "op7_near_duplicates": op7_near_duplicates,
@@ -84,5 +105,6 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_segments": OP3_SQL,
     "op5_contamination": OP5_SQL,
 }
