@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, quality, token_files, warc, work
+from . import contamination, mixing, neardup, quality, secrets, token_files, warc, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,15 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    spans = F.coalesce("found", F.expr("cast(array() as array<struct<start:int,rank:bigint,kind:string,end:int>>)"))
+    text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda s: s["rank"] <= len(secrets.BASE))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
@@ -100,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_segments": op3_warc_segments,
     "op4_quality_rules": op4_quality_rules,
     "op5_contamination": op5_contamination,
+    "op6_secrets": op6_secrets,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
 }
