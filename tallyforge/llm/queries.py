@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, quality, secrets, token_files, warc, work
+from . import contamination, mixing, neardup, quality, rules, secrets, token_files, warc, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op3_warc_segments": op3_warc_segments,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op6_secrets": op6_secrets,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
+    "op9_quality_bands": op9_quality_bands,
 }
 
 SQL: dict[str, str] = {
