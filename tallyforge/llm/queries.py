@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, mixing, neardup, quality, rules, secrets, token_files, warc, work
+from . import contamination, lm, mixing, neardup, quality, rules, secrets, token_files, warc, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,11 @@ def op9_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.learned_and_scored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op3_warc_segments": op3_warc_segments,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mixing": op8_mixing,
     "op9_quality_bands": op9_quality_bands,
+    "op10_language_model": op10_language_model,
 }
 
 SQL: dict[str, str] = {
