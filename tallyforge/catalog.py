@@ -1,6 +1,663 @@
-"""Queries over the driver's tables for the ledger operators, with their SQL."""
+"""Queries over the driver's tables, one for each ledger operator, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import money, stats, text
+from .operators import asof, balances, holdings, merge_plan, rules, validation
+from .plans import adapters as ad
+from .plans import decisions, naive_bayes, proposals, views
+from .sources import sinks
+from .streaming import replay
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def real(name: str) -> F.Column:
+    return F.col(name).cast("double").alias(name)
+
+
+# Merchants and scalar functions
+
+
+@query(
+    f"""WITH x AS (SELECT {ad.key_sql(ad.WORDS_SQL.format("description"))} AS key, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_shipdate AS DATE) AS day
+  FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'SQ *' || p_name WHEN 1 THEN 'POS 12 ' || p_name ELSE p_name END AS description FROM lineitem JOIN part ON l_partkey = p_partkey))
+SELECT key, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total, min(day) AS first, max(day) AS last FROM x GROUP BY key ORDER BY total DESC, key"""
+)
+def merchant_queue(spark, folder):
+    lines, part = ad.table(spark, folder, "lineitem"), ad.table(spark, folder, "part").select("p_partkey", "p_name")
+    n = F.col("l_linenumber") % 3
+    description = F.when(n == 0, F.concat(F.lit("SQ *"), "p_name")).when(n == 1, F.concat(F.lit("POS 12 "), "p_name")).otherwise(F.col("p_name"))
+    # the key is a function of the part and n, so it is computed once for each of them, not for each line
+    sums = lines.groupBy("l_partkey", n.alias("l_linenumber")).agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("t"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    keyed = sums.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("key", text.merchant_key(description))
+    found = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").cast("double").alias("total"), F.to_date(F.min("a")).alias("first"), F.to_date(F.max("b")).alias("last"))
+    return found.orderBy(F.col("total").desc(), "key")
+
+
+@query(f"WITH {ad.TX_SQL} SELECT account_kind, kind, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM tx GROUP BY ALL")
+def cash_kind_counts(spark, folder):
+    return ad.transactions(spark, folder).groupBy("account_kind", "kind").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query(f"WITH {ad.TX_SQL} SELECT account_id, CAST(sum({ad.SIGNED_SQL}) AS DOUBLE) AS total FROM tx GROUP BY account_id")
+def activity_amount_totals(spark, folder):
+    rows = ad.transactions(spark, folder)
+    signed = money.activity_amount(F.col("kind"), F.col("amount"), F.col("account_kind"))
+    return rows.groupBy("account_id").agg(F.sum(signed).cast("double").alias("total"))
+
+
+@query(
+    f"""WITH {ad.TX_SQL} SELECT id, list_filter(list_concat([CASE WHEN kind <> 'WITHDRAWAL' THEN 'type:' || lower(kind) END, CASE WHEN merchant <> '' THEN 'm:' || merchant END],
+  CASE WHEN merchant <> '' THEN list_transform(list_filter(list_distinct({ad.WORDS_SQL.format("description")}), lambda w: NOT list_contains({ad.NOISE_SQL}, w)
+     AND w NOT IN ('OF', 'THE', 'AND', 'FOR', 'INC', 'LLC', 'COM', 'WWW', 'CORP') AND length(w) > 2 AND NOT regexp_matches(w, '[0-9]')), lambda w: 'w:' || w) ELSE [] END,
+  ['amt:' || CAST(floor(log2(CAST(abs(amount) AS DOUBLE) + 1)) AS INTEGER), 'dow:' || (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(day)]]), lambda x: x IS NOT NULL).list_sort().array_to_string('|') AS features FROM tx"""
+)
+def row_features(spark, folder):
+    none = F.lit(None).cast("string")
+    found = text.features(F.col("kind"), F.col("description"), F.col("merchant"), F.col("amount"), F.col("day"), F.array().cast("array<string>"), none, F.lit(None).cast("long"), "UTC")
+    return ad.transactions(spark, folder).select("id", F.array_join(F.array_sort(found), "|").alias("features"))
+
+
+@query(
+    """SELECT 'hr:' || lpad(CAST((hour(ts) // 3) * 3 AS VARCHAR), 2, '0') AS hr, 'amt:' || CAST(floor(log2(abs(value) + 1)) AS INTEGER) AS amt,
+  'dow:' || (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(ts)] AS dow, count(*) AS n FROM events GROUP BY ALL"""
+)
+def feature_buckets(spark, folder):
+    e = ad.table(spark, folder, "events")
+    part = lambda prefix, x: F.concat(F.lit(prefix), x)
+    hour = text.hour_bucket(F.unix_seconds(F.col("ts").cast("timestamp")), "UTC")
+    return e.groupBy(part("hr:", hour).alias("hr"), part("amt:", text.amount_bucket(F.col("value")).cast("string")).alias("amt"), part("dow:", text.day_name(F.col("ts"))).alias("dow")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, list_sum(list_transform(string_split(sha1(c_name), ''), lambda d: instr('0123456789abcdef', d) - 1))::INTEGER % 5 AS fold FROM customer")
+def fold_assignment(spark, folder):
+    return ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), stats.fold(F.col("c_name")).alias("fold"))
+
+
+# Validation and the merge plan
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1")
+def first_seen_dedup(spark, folder):
+    rows = ad.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return validation.first_seen(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, folder):
+    return validation.repeated(ad.table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(DISTINCT (l_partkey, l_suppkey)) AS versions FROM lineitem GROUP BY ALL HAVING count(DISTINCT (l_partkey, l_suppkey)) > 1")
+def conflict_detection(spark, folder):
+    return validation.conflicts(ad.table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
+
+
+def _ledger(spark, folder) -> DataFrame:
+    """Activities made from three of four transactions, some of them changed since."""
+    rows, n = ad.transactions(spark, folder).where("id % 4 <> 0"), F.col("id")
+    before = F.when(n % 10 == 1, F.col("amount") - F.when(F.col("amount") < 0, F.lit(-1)).otherwise(1)).otherwise(F.col("amount")).cast("decimal(18,2)")
+    stored = F.abs(before) + F.when(n % 25 == 3, 5).otherwise(0)
+    source = F.struct(before.cast("string").alias("amount"), F.col("day").cast("string").alias("date"), "description")
+    meta = F.to_json(F.struct(source.alias("source"), F.struct(F.col("kind").isin(*money.TRANSFERS).alias("is_external")).alias("flow")))
+    return rows.select(F.concat(F.lit("a"), "id").alias("id"), F.col("account_id").cast("string").alias("account_id"), F.when(n % 50 == 2, "VOID").otherwise("POSTED").alias("status"), "day", stored.cast("decimal(18,2)").alias("amount"), F.lit("USD").alias("currency"), "kind", F.lit(None).cast("string").alias("group_id"), F.col("description").alias("comment"), F.concat_ws(":", F.lit("src"), "account_id", "id").alias("key"), meta.alias("metadata"))
+
+
+def _sources(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = ad.transactions(spark, folder)
+    source = rows.select(F.col("account_id").cast("string").alias("source_id"), F.col("id").cast("string").alias("txn_id"), F.lit(0).alias("pos"), F.lit(False).alias("pending"), F.col("day").alias("posted_day"), F.lit(None).cast("timestamp").alias("posted_at"), "amount", "description")
+    c = ad.table(spark, folder, "customer")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "CREDIT_CARD").otherwise("CASH")
+    mapping = c.select(F.col("c_custkey").cast("string").alias("source_id"), F.col("c_custkey").cast("string").alias("account_id"), kind.alias("account_kind"), F.lit("USD").alias("currency"), F.lit("1996-12-31").cast("date").alias("history_through"), F.lit("UTC").alias("zone"))
+    return source, mapping
+
+
+OPS_SQL = """CASE WHEN id % 4 = 0 THEN CASE WHEN day <= DATE '1996-12-31' THEN 'before cutoff' ELSE 'create' END
+  WHEN id % 50 = 2 THEN 'error: not posted' WHEN id % 25 = 3 THEN 'error: edited by hand' WHEN id % 10 = 1 THEN 'update' ELSE 'noop' END"""
+
+
+@query(f"WITH {ad.TX_SQL} SELECT {OPS_SQL} AS op, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS total FROM tx GROUP BY ALL")
+def txn_merge_plan(spark, folder):
+    source, mapping = _sources(spark, folder)
+    planned = merge_plan.plan(source, mapping, _ledger(spark, folder))
+    return planned.groupBy("op").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query(f"WITH {ad.TX_SQL}, p AS (SELECT *, {OPS_SQL} AS op FROM tx) SELECT op, kind, count(*) AS n, CAST(sum(abs(amount)) AS DOUBLE) AS total FROM p WHERE op IN ('create', 'update') GROUP BY ALL")
+def merge_payloads(spark, folder):
+    source, mapping = _sources(spark, folder)
+    made = merge_plan.payloads(merge_plan.plan(source, mapping, _ledger(spark, folder)))
+    return made.groupBy("op", "kind").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query(f"WITH {ad.TX_SQL} SELECT CAST(account_id AS VARCHAR) AS account_id FROM tx WHERE id % 5 = 0 AND day > DATE '1997-12-31' AND status = 'POSTED' GROUP BY account_id")
+def foreign_overlap_guard(spark, folder):
+    rows = ad.transactions(spark, folder)
+    key = F.when(F.col("id") % 5 == 0, F.concat(F.lit("manual:"), "id")).otherwise(F.concat_ws(":", F.lit("src"), "account_id", "id"))
+    activities = rows.select(F.col("id").cast("string").alias("id"), F.col("account_id").cast("string").alias("account_id"), "status", "day", key.alias("key"))
+    mapping = ad.table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("account_id"), F.col("c_custkey").cast("string").alias("source_id"), F.lit("1997-12-31").cast("date").alias("history_through"))
+    return merge_plan.overlaps(activities, mapping)
+
+
+def _grouped(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = ad.transactions(spark, folder).withColumn("group_id", F.concat(F.lit("g"), F.floor(F.col("id") / 2)))
+    changes = rows.where("id % 6 = 0").select(F.lit("update").alias("op"), "id", F.lit("WITHDRAWAL").alias("kind"), F.abs("amount").alias("amount"))
+    return rows, changes
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, g AS (SELECT *, 'g' || (id // 2) AS group_id FROM tx), changed AS (SELECT DISTINCT group_id FROM g WHERE id % 6 = 0 AND (kind <> 'WITHDRAWAL' OR amount > 0)),
+size AS (SELECT group_id, count(*) AS legs FROM g GROUP BY group_id) SELECT id, group_id, CASE WHEN legs <> 2 THEN 'no single counterpart' END AS problem FROM g JOIN changed USING (group_id) JOIN size USING (group_id)"""
+)
+def transfer_pairs_unlinked(spark, folder):
+    rows, changes = _grouped(spark, folder)
+    return merge_plan.unlinked(rows, changes)
+
+
+@query(
+    f"""WITH {ad.TX_SQL} SELECT account_id, account_id % 2 = 0 AS in_scope, count(*) AS legs FROM tx WHERE kind IN ('TRANSFER_IN', 'TRANSFER_OUT') AND status = 'POSTED' AND id % 3 <> 1 GROUP BY account_id"""
+)
+def unpaired_transfers(spark, folder):
+    rows = ad.transactions(spark, folder).withColumn("group_id", F.when(F.col("id") % 3 == 1, F.lit("g")))
+    scope = ad.table(spark, folder, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("account_id"))
+    return balances.unpaired_transfers(rows, scope)
+
+
+# As-of joins, bands, runs
+
+
+@query(f"WITH {ad.EV_SQL} SELECT user_id, event_id, CAST(value AS DOUBLE) AS value FROM ev WHERE event_type IN ('purchase', 'view') AND ts < TIMESTAMP '2024-01-21' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+def latest_snapshot_asof(spark, folder):
+    where = F.col("event_type").isin("purchase", "view") & (F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"))
+    return asof.latest(ad.events(spark, folder), ["user_id"], "ts", where, ["event_id"]).select("user_id", "event_id", real("value"))
+
+
+@query(
+    f"""WITH {ad.EV_SQL} SELECT a.event_id, b.event_id AS seen_event_id, CAST(b.value AS DOUBLE) AS seen_value FROM (SELECT * FROM ev WHERE event_type = 'signup') a
+ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.ts > b.ts"""
+)
+def strict_asof(spark, folder):
+    signups = ad.events(spark, folder, "signup").select("event_id", "user_id", "ts")
+    bought = ad.events(spark, folder, "purchase").select("user_id", F.col("ts").alias("seen_ts"), F.col("event_id").alias("seen_event_id"), F.col("value").alias("seen_value"))
+    return asof.before(signups, bought, ["user_id"], "ts", "seen_ts").select("event_id", "seen_event_id", real("seen_value"))
+
+
+@query(
+    f"""WITH {ad.EV_SQL} SELECT event_id, CAST(value AS DOUBLE) AS value FROM ev a WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM ev b WHERE b.event_type = 'click' AND b.user_id = a.user_id
+  AND abs(a.value - b.value) <= 0.05 AND b.ts >= a.ts - INTERVAL 7 DAY)"""
+)
+def purchase_range_semi(spark, folder):
+    a, b = ad.events(spark, folder, "purchase"), ad.events(spark, folder, "click").select("user_id", "value", "ts")
+    found = asof.near(a, b, ["user_id"], ("value", "value"), "0.05", also=F.col("r.ts") >= F.col("l.ts") - F.expr("INTERVAL 7 DAYS"))
+    return found.select("event_id", real("value"))
+
+
+@query(
+    """WITH l AS (SELECT event_id AS line_id, user_id, CAST(floor(value / 10) AS BIGINT) AS cell, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'click'),
+r AS (SELECT event_id AS row_id, user_id, CAST(floor(value / 10) AS BIGINT) AS cell, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'view'),
+p AS (SELECT line_id, row_id FROM l JOIN r USING (user_id, cell) WHERE abs(l.d - r.d) <= 3), one AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY line_id) = 1)
+SELECT line_id, row_id FROM one QUALIFY count(*) OVER (PARTITION BY row_id) = 1"""
+)
+def cardmember_band_match(spark, folder):
+    e = ad.table(spark, folder, "events").select("event_id", "event_type", "user_id", F.floor(F.col("value") / 10).alias("cell"), F.to_date("ts").alias("d"))
+    lines = e.where("event_type = 'click'").select(F.col("event_id").alias("line_id"), F.col("d").alias("line_day"), "user_id", "cell")
+    rows = e.where("event_type = 'view'").select(F.col("event_id").alias("row_id"), F.col("d").alias("row_day"), "user_id", "cell")
+    return asof.one_to_one(lines, rows, ["user_id", "cell"])
+
+
+@query(
+    """WITH q AS (SELECT user_id, ts, CAST(floor(value / 40) AS BIGINT) AS quantity FROM events), l AS (SELECT *, first_value(quantity) OVER (PARTITION BY user_id ORDER BY ts DESC) AS value FROM q),
+b AS (SELECT *, sum(CASE WHEN quantity <> value THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts DESC) AS broken FROM l)
+SELECT user_id, value, min(ts) AS since, max(ts) AS until, count(*) AS days FROM b WHERE broken = 0 GROUP BY ALL"""
+)
+def quantity_island(spark, folder):
+    e = ad.table(spark, folder, "events").select("user_id", "ts", F.floor(F.col("value") / 40).alias("quantity"))
+    return asof.current_run(e, ["user_id"], "ts", "quantity")
+
+
+# Balances and holdings
+
+
+def _accounts(spark, folder) -> DataFrame:
+    c = ad.table(spark, folder, "customer")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "CREDIT_CARD").otherwise("CASH")
+    return c.select(F.col("c_custkey").alias("account_id"), kind.alias("account_kind"), F.lit("USD").alias("currency"), F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), F.lit("1998-06-30").cast("date").alias("balance_day"))
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, p AS (SELECT account_id, {ad.SIGNED_SQL} AS v, day, id FROM tx WHERE status = 'POSTED'),
+s AS (SELECT account_id, sum(CASE WHEN day > DATE '1998-06-30' THEN v END) AS later, sum(v) AS actual, max(CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END) AS unfit FROM p GROUP BY account_id),
+j AS (SELECT c_custkey AS account_id, c_mktsegment <> 'BUILDING' AS cash, CAST(c_acctbal AS DECIMAL(18,2)) + coalesce(later, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(unfit, 0) AS unfit FROM customer LEFT JOIN s ON c_custkey = account_id)
+SELECT account_id, CAST(expected AS DOUBLE) AS expected, CAST(actual AS DOUBLE) AS actual,
+ CASE WHEN cash THEN CASE WHEN unfit = 1 THEN 'not a cash-only ledger in one currency' WHEN abs(actual - expected) > 0.005 THEN 'does not reconcile' END END AS problem FROM j"""
+)
+def balance_projection(spark, folder):
+    rows = ad.transactions(spark, folder).drop("account_kind").withColumn("currency", F.when(F.col("id") % 97 == 0, "EUR").otherwise("USD")).withColumn("utc_day", F.lit(None).cast("date"))
+    return balances.projection(_accounts(spark, folder), rows).select("account_id", real("expected"), real("actual"), "problem")
+
+
+def _positions(spark, folder) -> DataFrame:
+    lines = ad.table(spark, folder, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"))
+    n, dec = F.col("l_partkey"), lambda x: x.cast(money.MONEY)
+    return lines.select(
+        F.col("l_suppkey").cast("string").alias("source_id"), n.cast("string").alias("position_id"), F.when(n % 50 == 0, "").otherwise(F.concat(F.lit("S"), n)).alias("symbol"), F.when(n % 50 == 0, "Cash").otherwise("Fund").alias("description"),
+        dec(F.col("quantity")).alias("quantity"), dec(F.col("value")).alias("value"), F.lit("USD").alias("currency"), F.when(n % 5 == 0, dec(F.col("value"))).alias("cost_basis"), F.when(n % 5 == 1, dec(n)).alias("purchase_price"), n.alias("n"),
+    )
+
+
+def _owners(spark, folder) -> DataFrame:
+    return ad.table(spark, folder, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), F.lit("USD").alias("currency"), F.lit(True).alias("per_unit"))
+
+
+POS_SQL = "pos AS (SELECT l_suppkey, l_partkey AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {POS_SQL}, c AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'provider' WHEN n % 5 = 1 AND n > 0 THEN 'purchase price' WHEN n % 5 = 2 THEN 'verified' WHEN n % 5 = 3 THEN 'retained' END AS cost_from FROM pos WHERE n % 50 <> 0)
+SELECT CAST(l_suppkey AS VARCHAR) AS source_id, cost_from, count(*) AS n, CAST(sum(value) AS DOUBLE) AS value, CAST(max(CASE n % 5 WHEN 0 THEN value WHEN 1 THEN n WHEN 2 THEN 7 WHEN 3 THEN 2 END) AS DOUBLE) AS most FROM c GROUP BY ALL"""
+)
+def cost_precedence(spark, folder):
+    positions = _positions(spark, folder)
+    verified = positions.where("n % 5 = 2").select("source_id", F.col("symbol").alias("name_key"), F.lit(7).cast(money.MONEY).alias("unit_cost"), F.lit(None).cast(money.MONEY).alias("verified_quantity"), F.lit(None).cast(money.MONEY).alias("verified_basis"))
+    asset = money.uuid5(money.NAMESPACE_URL, F.concat_ws(":", F.lit("src"), "source_id", "position_id"))
+    current = positions.where("n % 5 = 3").select(asset.alias("asset_id"), F.col("quantity").alias("held_quantity"), (F.col("quantity") * 2).cast(money.MONEY).alias("held_basis"))
+    planned = holdings.planned(positions, _owners(spark, folder), current, verified)
+    return planned.groupBy("source_id", "cost_from").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("value"), F.max("average_cost").cast("double").alias("most"))
+
+
+@query(
+    f"""WITH {POS_SQL} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CAST(sum(CASE WHEN n % 50 <> 0 THEN value ELSE 0 END) AS DOUBLE) AS invested, CAST(sum(CASE WHEN n % 50 = 0 THEN value ELSE 0 END) AS DOUBLE) AS cash, l_suppkey % 7 <> 0 AS ok FROM pos GROUP BY l_suppkey"""
+)
+def holdings_reconcile(spark, folder):
+    positions = _positions(spark, folder)
+    off = F.when(F.col("source_id").cast("long") % 7 == 0, 1).otherwise(0)
+    accounts = positions.groupBy("source_id").agg(F.sum("value").alias("v")).select("source_id", (F.col("v") + off).alias("balance"))
+    return holdings.reconciled(positions, accounts).select("source_id", real("invested"), real("cash"), "ok")
+
+
+@query(
+    f"""WITH {POS_SQL} SELECT CAST(l_suppkey AS VARCHAR) AS account_id, count(*) FILTER (n % 11 = 0) AS missing, count(*) FILTER (n % 17 = 0 AND n % 11 <> 0) AS extra, count(*) FILTER (n % 13 = 0 AND n % 11 <> 0 AND n % 17 <> 0) AS off,
+ count(*) FILTER (n % 11 = 0 AND n % 17 <> 0) AS really_missing FROM pos GROUP BY l_suppkey""".replace("count(*) FILTER (n % 11 = 0) AS missing, ", "").replace("really_missing", "missing")
+)
+def position_shape_difference(spark, folder):
+    rows = _positions(spark, folder).select(F.col("source_id").alias("account_id"), F.col("position_id").alias("asset_id"), "quantity", "value", "n")
+    expected, actual = rows.where("n % 17 <> 0"), rows.where("n % 11 <> 0")
+    actual = actual.withColumn("quantity", F.col("quantity") + F.when(F.col("n") % 13 == 0, F.lit("0.000001").cast(money.MONEY)).otherwise(F.lit(0)))
+    return balances.shape_difference(expected, actual).drop("ok")
+
+
+@query("SELECT c_custkey AS account_id FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 8 <> 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice <> 0)")
+def inactive_value_warnings(spark, folder):
+    accounts = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("account_id"), (F.col("c_custkey") % 4 != 0).alias("is_active"), (F.col("c_custkey") % 8 == 0).alias("is_archived"))
+    return balances.inactive_with_value(accounts, ad.table(spark, folder, "orders").select(F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("value"))).select("account_id")
+
+
+@query("SELECT c_custkey AS account_id, c_custkey % 3 = 0 AS ok FROM customer")
+def settled_balances(spark, folder):
+    c = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_acctbal").cast("decimal(18,2)").alias("total"))
+    n = F.col("account_id") % 3
+    reads = c.select("account_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"), "total")
+    reads = reads.withColumn("total", F.col("total") + F.when((n == 1) & (F.col("attempt") == 3), 1).when(n == 2, 2).otherwise(0))
+    return balances.settled(c, reads)
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CAST(value AS DECIMAL(18,2)) AS cash FROM events WHERE event_type = 'view'),
+last AS (SELECT a.user_id, arg_max(s.ts, s.ts) AS ts, arg_max(s.cash, s.ts) AS cash FROM (SELECT DISTINCT user_id FROM events) a JOIN s ON s.user_id = a.user_id AND CAST(s.ts AS DATE) < DATE '2024-01-25' GROUP BY a.user_id)
+SELECT CAST(user_id AS VARCHAR) AS source_id, CAST(ts AS DATE) AS kept_day FROM last WHERE cash <> 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = last.user_id
+ AND abs(CAST(e.value AS DECIMAL(18,2)) - cash) <= 5 AND CAST(e.ts AS DATE) >= CAST(last.ts AS DATE) - 7)"""
+)
+def unexplained_zeros(spark, folder):
+    e = ad.events(spark, folder)
+    user = F.col("user_id").cast("string")
+    sources = e.select(user.alias("source_id"), user.alias("account_id"), user.alias("purchase_account"), F.lit(0).alias("balance"), F.lit("2024-01-25").cast("date").alias("balance_day")).distinct()
+    views_only = e.where("event_type = 'view'").withColumn("day", F.to_date("ts"))
+    last_of_day = views_only.groupBy(user.alias("account_id"), "day").agg(F.max_by("value", "ts").alias("cash")).withColumn("kind", F.lit("MANUAL_ENTRY"))
+    bought = e.where("event_type = 'purchase'").select(user.alias("source_id"), F.to_date("ts").alias("posted_day"), F.col("value").alias("amount"))
+    return balances.unexplained_zeros(sources, last_of_day, bought, "5")
+
+
+@query("SELECT c_custkey AS id, CAST(c_acctbal AS DECIMAL(18,2))::DOUBLE AS value FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 4 = 1 OR (c_custkey % 4 = 2 AND c_custkey % 3 = 0)")
+def liability_upserts(spark, folder):
+    c, k = ad.table(spark, folder, "customer"), F.col("c_custkey")
+    value, day = F.col("c_acctbal").cast("decimal(18,2)"), F.lit("2024-02-01").cast("date")
+    observed = c.select(k.alias("id"), value.alias("value"), day.alias("day"))
+    current = c.where("c_custkey % 4 <> 0").select(k.alias("id"), (value + F.when(k % 3 == 0, 1).otherwise(0)).alias("value"), F.when(k % 4 == 1, F.date_sub(day, 1)).when(k % 4 == 3, F.date_add(day, 1)).otherwise(day).alias("day"))
+    return sinks.valuations(current, observed).select("id", real("value"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 10 = 0")
+def keyed_upsert(spark, folder):
+    c = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    changed = c.where("id % 6 = 0").select("id", F.lit("new").alias("segment")).unionByName(c.where("id % 10 = 0").select((-F.col("id") - 1).alias("id"), F.lit("new").alias("segment")))
+    return sinks.upserted(c, changed, ["id"])
+
+
+# Rules
+
+
+RULES = [
+    {"id": "r1", "match": "contains", "pattern": "ring", "category_id": "c1", "priority": 1, "is_global": True},
+    {"id": "r2", "match": "starts_with", "pattern": "pos", "category_id": "c2", "priority": 5, "is_global": True, "kind": "WITHDRAWAL"},
+    {"id": "r3", "match": "regex", "pattern": "(?i)^payment", "category_id": "c3", "priority": 3, "is_global": True, "amount_op": "gt", "amount_value": 100000.0},
+    {"id": "r4", "match": "exact", "pattern": "bank P2P", "category_id": "c4", "priority": 3, "is_global": True, "amount_op": "between", "amount_value": 1000.0, "amount_value2": 200000.0},
+    {"id": "r5", "match": "regex", "pattern": "(unclosed", "category_id": "c5", "priority": 9, "is_global": True},
+    {"id": "r6", "match": "contains", "pattern": "interest", "category_id": None, "priority": 9, "is_global": True},
+    {"id": "r7", "match": "contains", "pattern": "a", "category_id": "c7", "priority": 0, "is_global": False, "account_id": 7},
+    {"id": "r8", "match": "other", "pattern": "a", "category_id": "c8", "priority": 9, "is_global": True},
+]
+RULE_SQL = """CASE WHEN starts_with(upper(description), 'POS') AND kind = 'WITHDRAWAL' THEN 'r2' WHEN regexp_matches(description, '(?i)^payment') AND abs(amount) > 100000 THEN 'r3'
+  WHEN upper(description) = 'BANK P2P' AND abs(amount) BETWEEN 1000 AND 200000 THEN 'r4' WHEN contains(upper(description), 'RING') THEN 'r1' WHEN account_id = 7 AND contains(upper(description), 'A') THEN 'r7' END"""
+
+
+def _matched(spark, folder) -> DataFrame:
+    return rules.first_match(ad.transactions(spark, folder).withColumnRenamed("description", "notes"), RULES)
+
+
+@query(f"WITH {ad.TX_SQL} SELECT id, {RULE_SQL} AS rule_id FROM tx")
+def rule_first_match(spark, folder):
+    return _matched(spark, folder).select("id", "rule_id")
+
+
+DEFAULTS = {"1": {"default": "A", "patterns": {"(?i)ring": "B", "(?i)pos": "C"}}, "2": {"default": None, "patterns": {"^Pay": "D"}}, "3": {"default": "E"}}
+
+
+@query(
+    f"""WITH {ad.TX_SQL} SELECT id, CASE account_id WHEN 1 THEN CASE WHEN regexp_matches(description, '(?i)ring') THEN 'B' WHEN regexp_matches(description, '(?i)pos') THEN 'C' ELSE 'A' END
+  WHEN 2 THEN CASE WHEN regexp_matches(description, '^Pay') THEN 'D' END WHEN 3 THEN 'E' END AS value FROM tx WHERE account_id BETWEEN 1 AND 4"""
+)
+def account_default_first_pattern(spark, folder):
+    rows = ad.transactions(spark, folder).where("account_id between 1 and 4").withColumnRenamed("description", "notes")
+    return rules.account_default(rows, DEFAULTS, "value").select("id", "value")
+
+
+# Decisions
+
+
+@query(f"WITH {ad.LOG_SQL} SELECT seq, source, value FROM alive")
+def live_decisions(spark, folder):
+    return decisions.live(ad.decision_log(spark, folder)).select("seq", "source", "value")
+
+
+@query(f"WITH {ad.LOG_SQL} SELECT seq, seq IN (SELECT reverts FROM lg WHERE reverts IS NOT NULL) AS reverted FROM lg WHERE reverts IS NULL")
+def decision_history(spark, folder):
+    return decisions.history(ad.decision_log(spark, folder)).select("seq", "reverted")
+
+
+@query(f"WITH {ad.LOG_SQL}, m AS (SELECT arg_max(action, seq) AS action FROM alive WHERE author = 'u1') SELECT seq, value FROM alive WHERE author = 'u1' AND action = (SELECT action FROM m)")
+def undo_last_action(spark, folder):
+    return decisions.last_action(ad.decision_log(spark, folder), "u1").select("seq", "value")
+
+
+@query(f"WITH {ad.LOG_SQL}, l AS (SELECT * FROM alive WHERE merchant IS NOT NULL QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY seq DESC) = 1) SELECT merchant, value AS name FROM l WHERE value IS NOT NULL")
+def merchant_names(spark, folder):
+    return decisions.names(ad.decision_log(spark, folder).withColumn("field", F.lit("merchant-name")))
+
+
+def _resolved(spark, folder) -> DataFrame:
+    return decisions.resolve(ad.labelled_rows(spark, folder), ad.decision_log(spark, folder), threshold=0.8)
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT id, label_source, label FROM res")
+def resolve_label(spark, folder):
+    return _resolved(spark, folder).select("id", "label_source", "label")
+
+
+@query(
+    f"""WITH {ad.LOG_SQL}, {ad.ROWS_SQL}, cand AS (SELECT cr.id, a.source, a.value, a.seq FROM cr JOIN alive a ON a.activity_id = cr.id WHERE a.source <> 'model' AND NOT blind
+   UNION ALL SELECT cr.id, a.source, a.value, a.seq FROM cr JOIN alive a ON a.merchant = cr.merchant WHERE NOT blind
+   UNION ALL SELECT id, 'account', account_value, 0 FROM cr WHERE account_value IS NOT NULL UNION ALL SELECT id, 'cardmember', cardmember_value, 0 FROM cr WHERE cardmember_value IS NOT NULL),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE source WHEN 'user' THEN 4 WHEN 'app-ui' THEN 4 WHEN 'merchant' THEN 3 WHEN 'cardmember' THEN 2 ELSE 1 END DESC, seq DESC) = 1)
+SELECT cr.id, source AS label_source, value AS label FROM cr LEFT JOIN (SELECT * FROM best WHERE value IS NOT NULL OR source IN ('user', 'app-ui')) b USING (id)"""
+)
+def training_labels(spark, folder):
+    return decisions.resolve(ad.labelled_rows(spark, folder), ad.decision_log(spark, folder), training=True).select("id", "label_source", "label")
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL} SELECT CASE WHEN label IS NULL THEN 'unlabeled' WHEN label_source = 'model' THEN 'model ' || format('{{:.1f}}', floor(label_confidence * 10) / 10) || '+' ELSE label_source END AS band, count(*) AS rows FROM res GROUP BY ALL"""
+)
+def label_status_bands(spark, folder):
+    return views.status(_resolved(spark, folder))
+
+
+@query(
+    """WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'foreign' WHEN c_custkey % 2 = 0 THEN 'e1' END AS event_id, CASE WHEN c_custkey % 2 = 0 THEN 'me' END AS value, CASE WHEN c_custkey % 3 <> 1 THEN 'me' END AS applied FROM customer)
+SELECT id, value, applied FROM s WHERE event_id IS DISTINCT FROM 'foreign' AND value IS DISTINCT FROM applied"""
+)
+def reconcile_external_edits(spark, folder):
+    k = F.col("c_custkey")
+    c = ad.table(spark, folder, "customer")
+    shown = c.select(k.alias("id"), F.when(k % 6 == 0, "foreign").when(k % 2 == 0, "e1").alias("event_id"), F.when(k % 2 == 0, "me").alias("value"))
+    return decisions.external_edits(shown, c.where("c_custkey % 3 <> 1").select(k.alias("id"), F.lit("me").alias("applied")), ["e1"])
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT id, label AS desired, CASE WHEN label IS NULL THEN 'cleared' ELSE 'set' END AS operation FROM res WHERE label IS DISTINCT FROM (CASE WHEN k % 2 = 0 THEN guess END)")
+def label_changes(spark, folder):
+    rows = _resolved(spark, folder)
+    return decisions.changes(rows, rows.select("id", F.when(F.col("ord") % 2 == 0, F.col("guess")).alias("value")))
+
+
+# Views
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL}, q AS (SELECT *, abs(amount) AS a, greatest(abs(amount), 0.01) AS w, {ad.OPEN_SQL} AS open FROM res WHERE {ad.UNDONE_SQL})
+SELECT name AS key, count(*) AS rows, round(sum(CASE WHEN open THEN (1 - guess_confidence) * a ELSE a END), 4) AS value, round(sum(a), 4) AS total, min(day) AS first, max(day) AS last, round(sum(w * guess_confidence) / sum(w), 9) AS guess_confidence FROM q GROUP BY name"""
+)
+def work_queue(spark, folder):
+    found = views.queue(_resolved(spark, folder), "impact", ["^M1$"])
+    return found.select("key", "rows", F.round("value", 4).alias("value"), F.round("total", 4).alias("total"), "first", "last", F.round("guess_confidence", 9).alias("guess_confidence"))
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT id, guess, guess_confidence, posterior FROM res WHERE NOT held_out AND {ad.OPEN_SQL} AND guess_confidence BETWEEN 0.1 AND 0.9 AND contains(upper(name || ' ' || notes || ' ' || account), 'BUILD') ORDER BY guess_confidence DESC, posterior DESC, k LIMIT 50 OFFSET 2")
+def predictions_page(spark, folder):
+    return views.predictions(_resolved(spark, folder), low=0.1, high=0.9, text="build", down=True, offset=2, limit=50).select("id", "guess", "guess_confidence", "posterior")
+
+
+def _audited(spark, folder) -> DataFrame:
+    rows = _resolved(spark, folder)
+    return rows.withColumn("category", F.array_join("category_ids", ", ")).withColumn("spender_origin", F.when(F.col("label_source").isNotNull(), views.origin(F.col("label_source"), F.lit("labeling serve")))).withColumn("category_origin", F.when(F.size("category_ids") > 0, "app rule"))
+
+
+ORIGIN_SQL = "CASE label_source WHEN 'model' THEN 'Spender model' WHEN 'account' THEN 'Account default' WHEN 'cardmember' THEN 'Card issuer' WHEN 'app-ui' THEN 'You (in the app)' WHEN 'user' THEN 'You' WHEN 'merchant' THEN 'You' END"
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT id, label, label_confidence FROM res WHERE label IS NOT NULL AND (label_confidence IS NULL OR label_confidence BETWEEN 0.85 AND 1) AND {ORIGIN_SQL} = 'You' ORDER BY coalesce(label_confidence, 1), name, day, id LIMIT 100")
+def audit_page(spark, folder):
+    return views.audit(_audited(spark, folder), "You", 0.85, 1.0, limit=100).select("id", "label", "label_confidence")
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT DISTINCT origin FROM (SELECT {ORIGIN_SQL} AS origin FROM res UNION ALL SELECT 'app rule' FROM res WHERE len(category_ids) > 0) WHERE origin IS NOT NULL")
+def distinct_origins(spark, folder):
+    return views.origins(_audited(spark, folder))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY sha1(CAST(c_custkey AS VARCHAR)) LIMIT 100")
+def check_sample(spark, folder):
+    rows = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("account_id"))
+    return views.check_sample(rows, ["BUILDING", "MACHINERY"]).select("id")
+
+
+@query(
+    """WITH g AS (SELECT c_custkey AS id, CASE WHEN c_nationkey = 5 THEN 'extra' ELSE CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'needs' WHEN 2 THEN 'wants' END END AS grp FROM customer)
+SELECT id, CASE grp WHEN 'needs' THEN 'Need' WHEN 'wants' THEN 'Want' END AS need_want FROM g WHERE grp IS NOT NULL"""
+)
+def need_want(spark, folder):
+    n = F.col("n_nationkey")
+    categories = ad.table(spark, folder, "nation").select(F.concat(F.lit("n"), n).alias("category_id"), F.concat(F.lit("p"), n % 5).alias("parent_id"))
+    group_of = spark.createDataFrame([("p1", "needs"), ("p2", "wants"), ("n5", "extra")], "category_id string, group_key string")
+    rows = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("unknown"), F.concat(F.lit("n"), "c_nationkey")).alias("category_ids"))
+    return views.need_want(rows, categories, group_of, {"needs": "Need", "wants": "Want"})
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {ad.LOG_SQL}, m AS (SELECT {RULE_SQL} AS rule_id, count(*) AS n FROM tx GROUP BY ALL), keys AS (SELECT 'M' || (account_id % 40) AS merchant, count(*) AS n FROM tx GROUP BY ALL),
+l AS (SELECT * FROM alive WHERE merchant IS NOT NULL QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY seq DESC) = 1)
+SELECT r.id, 'Category' AS kind, r.c AS sets, r.p AS pattern, coalesce(n, 0) AS rows, 'app' AS source FROM (VALUES ('r1', 'c1', 'contains ring'), ('r2', 'c2', 'starts_with pos'), ('r7', 'c7', 'contains a')) r(id, c, p) LEFT JOIN m ON m.rule_id = r.id
+UNION ALL SELECT 'spender:' || seq, 'Spender', value, 'merchant ' || merchant, coalesce(n, 0), 'labeler' FROM l LEFT JOIN keys USING (merchant) WHERE value IS NOT NULL"""
+)
+def rules_list_union(spark, folder):
+    table = spark.createDataFrame([(r["id"], r["category_id"], r["match"], r["pattern"], None) for r in RULES if r["id"] in ("r1", "r2", "r7")], "id string, category_id string, match string, pattern string, preset_id string")
+    rows = ad.transactions(spark, folder).select(F.concat(F.lit("M"), F.col("account_id") % 40).alias("merchant"))
+    return views.rules_list(table, _matched(spark, folder).select("rule_id"), ad.decision_log(spark, folder), rows)
+
+
+@query("SELECT r_name AS org, s_name AS name, 'USD' AS currency, format('{:,.2f}', CAST(s_acctbal AS DOUBLE)) AS balance, count(*) OVER (PARTITION BY r_name) AS accounts FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def account_report(spark, folder):
+    s, n, r = (ad.table(spark, folder, t) for t in ("supplier", "nation", "region"))
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return views.account_report(rows.select(F.col("r_name").alias("org"), F.col("s_name").alias("name"), F.lit("USD").alias("currency"), F.col("s_acctbal").alias("balance")))
+
+
+# Merchants and proposals
+
+
+def _merchant_rows(spark, folder) -> DataFrame:
+    rows, n = ad.transactions(spark, folder), F.col("id")
+    ids = F.when((n % 7 == 0) & (F.length("merchant") % 3 != 0), F.array(F.concat(F.lit("c"), F.length("merchant") % 4))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.split("merchant", " "), lambda w: F.concat(F.lit("w:"), w))
+    return rows.where("account_id % 3 <> 0 or length(merchant) % 2 = 0").select("id", n.alias("ord"), "merchant", "kind", "amount", ids.alias("category_ids"), F.lit(0).alias("splits"), F.when(n % 14 == 0, "manual").otherwise("rule").alias("source"), words.alias("features"), F.col("description").alias("notes"), F.lit(None).cast("string").alias("payee"), F.lit(None).cast("string").alias("mcc"), "account_kind")
+
+
+MR_SQL = "mr AS (SELECT id, merchant, kind, amount, account_kind, description, CASE WHEN id % 7 = 0 AND length(merchant) % 3 <> 0 THEN 'c' || (length(merchant) % 4) END AS c, id % 14 = 0 AS manual FROM tx WHERE (account_id % 3 <> 0 OR length(merchant) % 2 = 0))"
+
+
+@query(f"WITH {ad.TX_SQL}, {MR_SQL} SELECT merchant, CAST(sum(abs(amount)) AS DOUBLE) AS dollars FROM mr WHERE merchant <> '' GROUP BY merchant HAVING NOT bool_or(c IS NOT NULL OR starts_with(kind, 'TRANSFER'))")
+def candidate_dollars(spark, folder):
+    return proposals.uncategorized(_merchant_rows(spark, folder).withColumn("amount", F.col("amount").cast("decimal(18,2)")))
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {MR_SQL} SELECT merchant, CASE WHEN max(c) IN ('c1', 'c2') THEN max(c) END AS category_id, CASE WHEN bool_or(manual) THEN 'manual' ELSE 'rule' END AS source FROM mr WHERE merchant <> '' GROUP BY merchant
+HAVING count(DISTINCT c) = 1 AND NOT bool_or(starts_with(kind, 'TRANSFER'))"""
+)
+def known_merchants(spark, folder):
+    return proposals.known(_merchant_rows(spark, folder), ["c1", "c2"])
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {MR_SQL}, k AS (SELECT merchant, kind, count(*) AS n, min(id) AS o FROM mr WHERE merchant <> '' GROUP BY ALL), t AS (SELECT merchant, string_agg(kind, '|' ORDER BY n DESC, o) AS kinds FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY n DESC, o) <= 5) GROUP BY merchant)
+SELECT merchant, count(*) AS transactions, floor(median(abs(CAST(amount AS DOUBLE)))) AS typical_amount, any_value(kinds) AS kinds FROM mr JOIN t USING (merchant) GROUP BY merchant"""
+)
+def merchant_card(spark, folder):
+    return proposals.cards(_merchant_rows(spark, folder)).select("merchant", "transactions", F.floor("typical_amount").cast("double").alias("typical_amount"), F.array_join("kinds", "|").alias("kinds"))
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {MR_SQL}, w AS (SELECT DISTINCT unnest(string_split(merchant, ' ')) AS w FROM mr WHERE merchant = 'SMALL RING'), o AS (SELECT DISTINCT id, c FROM (SELECT id, c, unnest(string_split(merchant, ' ')) AS w FROM mr WHERE merchant <> 'SMALL RING') JOIN w USING (w))
+SELECT c AS category_id, count(*) AS votes FROM o WHERE c IS NOT NULL GROUP BY c"""
+)
+def similar_merchant_votes(spark, folder):
+    return proposals.similar_votes(_merchant_rows(spark, folder), "SMALL RING")
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {MR_SQL}, a AS (SELECT merchant, 'c' || (length(merchant) % 4) AS category_id, (length(merchant) * 37 % 100) / 100 AS confidence FROM mr WHERE merchant <> '' GROUP BY merchant),
+u AS (SELECT merchant FROM mr WHERE merchant <> '' GROUP BY merchant HAVING NOT bool_or(c IS NOT NULL OR starts_with(kind, 'TRANSFER'))) SELECT merchant, category_id, confidence FROM a JOIN u USING (merchant) WHERE confidence >= 0.3"""
+)
+def confident_proposals(spark, folder):
+    rows = _merchant_rows(spark, folder)
+    asked = rows.where("merchant <> ''").select("merchant").distinct()
+    proposed = asked.select("merchant", F.concat(F.lit("c"), F.length("merchant") % 4).alias("category_id"), (F.length("merchant") * 37 % 100 / 100).alias("confidence"))
+    return proposals.chosen(proposed, rows, 0.3)
+
+
+# Classifier
+
+
+def _examples(spark, folder) -> DataFrame:
+    rows = ad.transactions(spark, folder)
+    features = F.array(F.concat(F.lit("m:"), "merchant"), F.concat(F.lit("type:"), F.lower("kind")), F.concat(F.lit("dow:"), text.day_name(F.col("day"))), F.concat(F.lit("amt:"), text.amount_bucket(F.col("amount")).cast("string")))
+    label = F.concat(F.lit("k"), (F.length("merchant") + F.col("account_id")) % 3)
+    return rows.select("id", features.alias("features"), label.alias("label"), F.when(F.col("id") % 4 == 0, 0.3).otherwise(1.0).alias("weight"), "day", "merchant")
+
+
+EX_SQL = """ex AS (SELECT id, ['m:' || merchant, 'type:' || lower(kind), 'dow:' || (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(day)], 'amt:' || CAST(floor(log2(CAST(abs(amount) AS DOUBLE) + 1)) AS INTEGER)] AS features,
+  'k' || ((length(merchant) + account_id) % 3) AS label, CASE WHEN id % 4 = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS weight, day, merchant FROM tx)"""
+NB_SQL = """fe AS (SELECT id, label, weight, unnest(features) AS feature FROM {train}), fs AS (SELECT label, feature, sum(weight) AS weight, count(*) AS seen FROM fe GROUP BY ALL),
+cl AS (SELECT label, sum(weight) AS prior FROM {train} GROUP BY label), ct AS (SELECT label, sum(weight) AS total FROM fe GROUP BY label), v AS (SELECT count(DISTINCT feature) AS v FROM fe), w AS (SELECT sum(prior) AS w, count(*) AS k FROM cl)"""
+
+
+@query(f"WITH {ad.TX_SQL}, {EX_SQL}, {NB_SQL.format(train='ex')} SELECT label, feature, round(weight, 6) AS weight, seen FROM fs")
+def nb_stats(spark, folder):
+    model = naive_bayes.fit(_examples(spark, folder), ["k0", "k1", "k2"])
+    return model.feature_stats.select("label", "feature", F.round("weight", 6).alias("weight"), "seen")
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {EX_SQL}, tr AS (SELECT * FROM ex WHERE id % 5 <> 0), {NB_SQL.format(train='tr')}, q AS (SELECT id, unnest(features) AS feature FROM ex WHERE id % 5 = 0), known AS (SELECT q.* FROM q WHERE feature IN (SELECT feature FROM fs)),
+sc AS (SELECT i.id, cl.label, ln((prior + 1) / (w + k)) + coalesce(sum(CASE WHEN kn.feature IS NOT NULL THEN ln((coalesce(fs.weight, 0) + 0.5) / (total + 0.5 * (v + 1))) END), 0) AS s
+  FROM (SELECT id FROM ex WHERE id % 5 = 0) i CROSS JOIN cl JOIN ct USING (label) CROSS JOIN v CROSS JOIN w LEFT JOIN known kn ON kn.id = i.id LEFT JOIN fs ON fs.label = cl.label AND fs.feature = kn.feature GROUP BY i.id, cl.label, prior, w, k),
+p AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s - max_s)) OVER (PARTITION BY id) AS posterior FROM (SELECT *, max(s) OVER (PARTITION BY id) AS max_s FROM sc))
+SELECT id, label, round(posterior, 6) AS posterior FROM p"""
+)
+def nb_predict(spark, folder):
+    rows = _examples(spark, folder)
+    model = naive_bayes.fit(rows.where("id % 5 <> 0"), ["k0", "k1", "k2"])
+    return naive_bayes.scores(rows.where("id % 5 = 0"), model).select("id", "label", F.round("posterior", 6).alias("posterior"))
+
+
+def _pairs(spark, folder) -> DataFrame:
+    k = F.col("o_orderkey")
+    right = (k * 7 % 100) < (k % 101)
+    return ad.table(spark, folder, "orders").select(F.concat(F.lit("k"), k % 3).alias("guess"), (k % 101 / 100).alias("confidence"), F.when(right, F.concat(F.lit("k"), k % 3)).otherwise("no").alias("truth"))
+
+
+PAIRS_SQL = "pr AS (SELECT 'k' || (o_orderkey % 3) AS guess, (o_orderkey % 101) / 100 AS confidence, CASE WHEN (o_orderkey * 7 % 100) < (o_orderkey % 101) THEN 'k' || (o_orderkey % 3) ELSE 'no' END AS truth FROM orders)"
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, b AS (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n, sum(confidence) AS c, count(*) FILTER (guess = truth) AS r, count(*) FILTER (confidence >= 0.9) AS cov, count(*) FILTER (confidence >= 0.9 AND guess = truth) AS hit FROM pr GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(r) / sum(n), 3) AS accuracy, round(sum(cov) / sum(n), 3) AS coverage, round(sum(hit) / sum(cov), 3) AS precision, round(sum(abs(c - r)) / sum(n), 3) AS calibration_error FROM b"""
+)
+def eval_metrics(spark, folder):
+    return naive_bayes.metrics(_pairs(spark, folder), 0.9)
+
+
+@query(
+    f"""WITH {PAIRS_SQL}, t AS (SELECT x / 100 AS t, count(*) FILTER (confidence >= x / 100) AS covered, count(*) FILTER (confidence >= x / 100 AND guess = truth) AS hit FROM range(50, 100) r(x) CROSS JOIN pr GROUP BY ALL)
+SELECT min(t) AS threshold FROM t WHERE covered >= 30 AND hit / covered >= 0.95"""
+)
+def threshold_search(spark, folder):
+    return spark.createDataFrame([(naive_bayes.threshold(_pairs(spark, folder)),)], "threshold double")
+
+
+@query(f"WITH {ad.TX_SQL}, {EX_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY day, id) AS n, count(*) OVER () AS c FROM ex) SELECT id, n > CAST(floor(c * 0.8) AS BIGINT) AS later FROM o")
+def time_split(spark, folder):
+    return naive_bayes.later_period(_examples(spark, folder)).select("id", "later")
+
+
+@query(f"WITH {ad.TX_SQL}, {EX_SQL} SELECT label, count(*) AS examples, count(DISTINCT merchant) AS merchants, count(DISTINCT merchant) < 20 AS barely_learned FROM ex GROUP BY label")
+def class_summary(spark, folder):
+    return views.class_summary(_examples(spark, folder))
+
+
+@query(None)
+def out_of_fold_guesses(spark, folder):
+    return naive_bayes.out_of_fold(_examples(spark, folder), ["k0", "k1", "k2"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")
+def event_tiles(spark, folder):
+    e = ad.events(spark, folder)
+    return replay.tiles(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", real("total"))
