@@ -14,7 +14,7 @@ from . import naive_bayes
 
 def uncategorized(rows: DataFrame) -> DataFrame:
     """(merchant, dollars) of merchants none of whose rows has a category or is a transfer, most dollars first."""
-    flags = rows.where("merchant <> ''").groupBy("merchant").agg(F.max((F.size("category_ids") > 0) | F.startswith("kind", F.lit("TRANSFER"))).alias("known"), F.sum(F.abs(F.col("amount").cast("double"))).alias("dollars"))
+    flags = rows.where("merchant <> ''").groupBy("merchant").agg(F.max((F.size("category_ids") > 0) | F.startswith("kind", F.lit("TRANSFER"))).alias("known"), F.sum(F.abs(F.col("amount").cast("decimal(28,10)"))).cast("double").alias("dollars"))
     return flags.where("not known").select("merchant", "dollars").orderBy(F.col("dollars").desc(), "merchant")
 
 
