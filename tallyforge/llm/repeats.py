@@ -156,7 +156,7 @@ def merged(parts: DataFrame) -> DataFrame:
         segment, window = merge(rows.column("bucket").to_numpy(), windows, ahead, data, np.concatenate([[0], np.cumsum(size)]))
         new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1)])[: len(segment)]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(segment)) - 1
+        last = np.append(first, len(segment))[1:] - 1
         at = begin[segment[first]]
         return pa.record_batch([rows.column("key").combine_chunks().take(pa.array(segment[first])), pa.array(at + window[first]), pa.array(at + window[last] + LENGTH)], ["key", "start", "end"])
 
