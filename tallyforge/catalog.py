@@ -661,3 +661,131 @@ def out_of_fold_guesses(spark, folder):
 def event_tiles(spark, folder):
     e = ad.events(spark, folder)
     return replay.tiles(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", real("total"))
+
+
+# More of the log, the days and the sources
+
+
+ANCHOR_SQL = """SELECT day, zone, CASE WHEN noon >= lo AND noon < hi THEN noon WHEN lo < hi THEN make_timestamp((epoch_us(lo) + epoch_us(hi)) // 2) END AS at FROM (
+SELECT day, zone, greatest(b, u) AS lo, least(e, u + INTERVAL 1 DAY) AS hi, noon FROM (SELECT day, zone, CAST(day AS TIMESTAMP) AS u,
+  timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP))) AS b, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY)) AS e, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR)) AS noon
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), (VALUES ('UTC'), ('America/New_York'), ('Pacific/Kiritimati'), ('Etc/GMT+12'), ('Asia/Kolkata')) z(zone)))"""
+
+
+@query(ANCHOR_SQL)
+def day_anchor(spark, folder):
+    days = ad.table(spark, folder, "orders").where("o_orderdate < timestamp '1998-01-01'").select(F.to_date("o_orderdate").alias("day")).distinct()
+    zones = [F.lit(z) for z in ("UTC", "America/New_York", "Pacific/Kiritimati", "Etc/GMT+12", "Asia/Kolkata")]
+    rows = days.select("day", F.explode(F.array(*zones)).alias("zone"))
+    return rows.select("day", "zone", money.day_anchor(F.col("day"), F.col("zone")).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS utc_day, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS bank_day FROM events")
+def day_bases(spark, folder):
+    e, at = ad.table(spark, folder, "events"), F.col("ts").cast("timestamp")
+    return e.select("event_id", money.epoch_day(F.unix_seconds(at)).alias("utc_day"), money.day_in(at, "America/New_York", F.lit(None).cast("date")).alias("bank_day"))
+
+
+@query(
+    """SELECT c_custkey AS source_id, CASE WHEN c_custkey % 7 = 0 THEN 'not mapped' WHEN c_custkey % 11 = 0 THEN 'skipped' WHEN c_custkey % 13 = 0 THEN 'currency is missing' WHEN c_custkey % 17 = 0 THEN 'not a currency'
+  WHEN c_custkey % 19 = 0 THEN 'liability' WHEN c_custkey % 23 = 0 THEN 'no such account' WHEN c_custkey % 29 = 0 THEN 'inactive' WHEN c_custkey % 31 = 0 THEN 'currency differs' END AS code, CASE WHEN c_custkey % 3 = 0 THEN 'balance is old' END AS warning FROM customer"""
+)
+def account_states(spark, folder):
+    k, c = F.col("c_custkey"), ad.table(spark, folder, "customer")
+    day = F.lit("2024-01-10").cast("date")
+    sources = c.select(k.alias("source_id"), F.when(k % 13 == 0, "").when(k % 17 == 0, "https://unit").otherwise("USD").alias("currency"), F.lit(0).alias("balance"), F.when(k % 3 == 0, F.date_sub(day, 4)).otherwise(day).alias("balance_day"), day.alias("as_of"))
+    mapping = c.where("c_custkey % 7 <> 0").select(k.alias("source_id"), F.when(k % 11 == 0, "exclude").otherwise("sync").alias("action"), F.lit(True).alias("local_sync"), k.alias("account_id"), F.when(k % 19 == 0, "l").alias("liability_id"), F.lit(None).cast("string").alias("source_scope"))
+    accounts = c.where("c_custkey % 23 <> 0").select(k.alias("account_id"), F.lit("CASH").alias("account_kind"), F.when(k % 31 == 0, "EUR").otherwise("USD").alias("account_currency"), (k % 29 != 0).alias("is_active"))
+    return validation.account_states(sources, mapping, accounts).select("source_id", "code", "warning")
+
+
+@query(
+    """WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey || '-' || l_linenumber END AS txn_id, l_linenumber = 7 AS pending, CASE WHEN l_partkey % 37 = 0 THEN 'NaN' ELSE CAST(l_partkey AS VARCHAR) END AS amount, l_orderkey % 43 AS posted FROM lineitem),
+q AS (SELECT * FROM p WHERE NOT pending) SELECT code, count(*) AS n FROM (SELECT 'transaction without id' AS code FROM q WHERE txn_id IS NULL UNION ALL SELECT 'amount is not finite' FROM q WHERE amount = 'NaN' UNION ALL SELECT 'no valid date' FROM q WHERE posted = 0
+UNION ALL SELECT 'conflicting versions' FROM q WHERE txn_id IS NOT NULL GROUP BY source_id, txn_id HAVING count(DISTINCT (amount, posted)) > 1) GROUP BY code"""
+)
+def payload_problems(spark, folder):
+    n = F.col("l_orderkey")
+    rows = ad.table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"), F.when(n % 41 != 0, F.concat_ws("-", n, "l_linenumber")).alias("txn_id"), (F.col("l_linenumber") == 7).alias("pending"), F.when(F.col("l_partkey") % 37 == 0, "NaN").otherwise(F.col("l_partkey").cast("string")).alias("amount"), (n % 43).cast("string").alias("posted"), F.lit("d").alias("description"))
+    return validation.payload_problems(rows).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ad.LOG_SQL}, m AS (SELECT arg_max(action, seq) AS action FROM alive WHERE author = 'u1') SELECT (SELECT max(seq) FROM lg) + row_number() OVER (ORDER BY seq) AS seq, seq AS reverts FROM alive WHERE author = 'u1' AND action = (SELECT action FROM m)")
+def undo_entries(spark, folder):
+    log = ad.decision_log(spark, folder)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    return decisions.undone(log, "u1").where(F.col("seq") > top).select("seq", "reverts")
+
+
+@query(
+    f"""WITH {ad.LOG_SQL}, {ad.ROWS_SQL}, k AS (SELECT DISTINCT merchant FROM cr WHERE merchant = 'M3'), last AS (SELECT * FROM alive WHERE source = 'merchant' QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY seq DESC) = 1)
+SELECT k.merchant, 'new' AS value, (SELECT max(seq) FROM lg) + 1 AS seq FROM k LEFT JOIN last USING (merchant) WHERE last.value IS DISTINCT FROM 'new'"""
+)
+def label_merchant(spark, folder):
+    log = ad.decision_log(spark, folder)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    found = decisions.labelled(log, ad.labelled_rows(spark, folder), "new", "u1", "act", merchant="M3")
+    return found.where(F.col("seq") > top).select("merchant", "value", "seq")
+
+
+@query(
+    f"""WITH {ad.LOG_SQL}, {ad.ROWS_SQL}, last AS (SELECT * FROM alive WHERE source = 'user' QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY seq DESC) = 1),
+i AS (SELECT id, k, guess, guess_confidence, CASE WHEN k % 2 = 0 THEN guess ELSE 'mine' END AS value FROM cr WHERE k % 10 = 0)
+SELECT id AS activity_id, i.value, CASE WHEN i.value = guess THEN guess_confidence END AS confidence FROM i LEFT JOIN last ON last.activity_id = id WHERE last.seq IS NULL OR last.value IS DISTINCT FROM i.value OR last.blind IS NOT NULL"""
+)
+def accept_predictions(spark, folder):
+    log, rows = ad.decision_log(spark, folder), ad.labelled_rows(spark, folder)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    items = rows.where("ord % 10 = 0").select("id", F.when(F.col("ord") % 2 == 0, F.col("guess")).otherwise("mine").alias("value"))
+    return decisions.accepted(log, rows, items, "u1", "act").where(F.col("seq") > top).select("activity_id", "value", "confidence")
+
+
+@query(f"WITH {ad.TX_SQL} SELECT r.id, count(*) FILTER (m.rule_id IS NOT NULL) AS rows FROM (VALUES ('r1'), ('r2'), ('r3'), ('r4'), ('r5'), ('r7')) r(id) LEFT JOIN (SELECT {RULE_SQL} AS rule_id FROM tx) m ON m.rule_id = r.id GROUP BY r.id")
+def rule_match_counts(spark, folder):
+    listed = spark.createDataFrame([(r["id"],) for r in RULES if r["category_id"] and r["match"] != "other"], "id string")
+    return rules.match_counts(_matched(spark, folder), listed)
+
+
+@query(f"WITH {ad.TX_SQL} SELECT DISTINCT key, id FROM (SELECT 'SMALL RING' AS key, id FROM tx WHERE merchant = 'SMALL RING' OR regexp_matches(description, '(?i)small[^a-z]+ring') UNION ALL SELECT 'BANK', id FROM tx WHERE merchant = 'BANK' OR regexp_matches(description, '(?i)^bank'))")
+def descriptions_matching(spark, folder):
+    rows = ad.transactions(spark, folder).select("id", "merchant", F.col("description").alias("notes"))
+    wanted = spark.createDataFrame([("SMALL RING", "(?i)small[^a-z]+ring"), ("BANK", "(?i)^bank")], "key string, pattern string")
+    return rules.descriptions_matching(rows, wanted)
+
+
+@query("SELECT user_id, event_id, CAST(value AS DECIMAL(18,2))::DOUBLE AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def newest_answers(spark, folder):
+    rows = ad.events(spark, folder).select("user_id", "event_id", "value", F.col("ts").alias("at"), F.col("event_id").alias("ord"))
+    return proposals.newest(rows, "user_id").select("user_id", "event_id", real("value"))
+
+
+@query("WITH k AS (SELECT user_id, max(CAST(ts AS DATE)) AS d FROM events WHERE event_type = 'view' GROUP BY user_id) SELECT event_id FROM events LEFT JOIN k USING (user_id) WHERE event_type = 'purchase' AND (d IS NULL OR CAST(ts AS DATE) >= d)")
+def newer_observations(spark, folder):
+    e = ad.table(spark, folder, "events").select("event_id", F.col("user_id").alias("account_id"), "event_type", F.to_date("ts").alias("day"))
+    return sinks.newer_kept(e.where("event_type = 'purchase'").drop("event_type"), e.where("event_type = 'view'").select("account_id", "day")).select("event_id")
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {MR_SQL}, s AS (SELECT c, count(*) AS n, min(id) AS o FROM mr WHERE merchant = 'SMALL RING' AND c IS NOT NULL GROUP BY c),
+w AS (SELECT DISTINCT unnest(string_split(merchant, ' ')) AS w FROM mr WHERE merchant = 'SMALL RING'), o AS (SELECT DISTINCT id, c FROM (SELECT id, c, unnest(string_split(merchant, ' ')) AS w FROM mr WHERE merchant <> 'SMALL RING') JOIN w USING (w)), v AS (SELECT c, count(*) AS n, min(id) AS o FROM o WHERE c IS NOT NULL GROUP BY c)
+SELECT c AS category_id, why FROM (SELECT * FROM (SELECT c, 1 AS way, 'already used on this merchant' AS why FROM s ORDER BY n DESC, o LIMIT 1) UNION ALL SELECT * FROM (SELECT c, 3, 'most used on merchants with the same words' FROM v ORDER BY n DESC, o LIMIT 1) UNION ALL SELECT 'n0', 4, 'first category') ORDER BY way LIMIT 1"""
+)
+def suggest_category(spark, folder):
+    n = F.col("n_nationkey")
+    categories = ad.table(spark, folder, "nation").select(F.concat(F.lit("n"), n).alias("category_id"), F.lit(None).cast("string").alias("parent_id"), n.alias("sort_order"))
+    none = spark.createDataFrame([], "merchant string, category_id string")
+    return proposals.suggested(_merchant_rows(spark, folder), "SMALL RING", none, categories)
+
+
+@query(None)
+def calibration(spark, folder):
+    slope, intercept = naive_bayes.fit_calibration(_pairs(spark, folder).where("confidence > 0").select(F.col("confidence").alias("posterior"), (F.col("guess") == F.col("truth")).alias("correct")))
+    return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
+
+
+@query(None)
+def prediction_reasons(spark, folder):
+    rows = _examples(spark, folder)
+    model = naive_bayes.fit(rows.where("id % 5 <> 0"), ["k0", "k1", "k2"])
+    few = rows.where("id % 5 = 0")
+    return naive_bayes.reasons(few, model, naive_bayes.scores(few, model)).select("id", F.to_json("reasons").alias("reasons"))

@@ -119,10 +119,11 @@ def intersect(terms: np.ndarray, postings: np.ndarray, windows: np.ndarray, slac
 
 
 def search(index: DataFrame, wanted: Phrases, slack: int = 0) -> DataFrame:
-    """One row per document, hit or not: its place in the index, words, merged hit ranges and items (numbers)."""
+    """One row per document, hit or not: doc_id, n_words, n_hit, merged hit ranges (starts, ends) and item_ids."""
     shared = index.sparkSession.sparkContext.broadcast(wanted)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value.items, pa.string())
         for batch in batches:
             for row in range(len(batch)):
                 get = lambda name: batch.column(name)[row]  # noqa: E731, B023
@@ -139,16 +140,16 @@ def search(index: DataFrame, wanted: Phrases, slack: int = 0) -> DataFrame:
                 inside = np.cumsum(cover[:-1]) > 0
                 pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
                 first = np.searchsorted(pairs[:, 0], np.arange(len(at)))
-                items = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(pairs[:, 1], pa.int32()))
+                items = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.take(pa.array(pairs[:, 1])))
                 edge = np.zeros(len(inside) + 1, bool)  # ranges end with their document
                 edge[at] = True
                 step = np.diff(inside.astype(np.int8), prepend=0)
                 starts = np.flatnonzero(inside & ((step == 1) | edge[:-1]))
                 ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | edge[1:])) + 1
                 spans = [pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at), pa.int32()), pa.array(x - np.repeat(at[:-1], np.diff(np.searchsorted(starts, at))), pa.int32())) for x in (starts, ends)]
-                yield pa.record_batch([get("doc_ids").values, pa.array(np.diff(at), pa.int64()), pa.array(group_sums(inside, at), pa.int64()), *spans, items], ["doc_id", "n_words", "n_hit", "starts", "ends", "items"])
+                yield pa.record_batch([get("doc_ids").values, pa.array(np.diff(at), pa.int64()), pa.array(group_sums(inside, at), pa.int64()), *spans, items], ["doc_id", "n_words", "n_hit", "starts", "ends", "item_ids"])
 
-    return index.mapInArrow(hits, "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<int>")
+    return index.mapInArrow(hits, "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, item_ids array<string>")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, slack: int = 0) -> DataFrame:
@@ -163,14 +164,14 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, slack: int =
     wanted = [phrases([tuple(x) for x in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()], window) for k in range(parts)] if parts == 1 else None
     if wanted:
         index = build_index(docs, wanted[0].terms())
-        found = _named(search(index, wanted[0], slack), wanted[0])
+        found = search(index, wanted[0], slack)
     else:
         index = build_index(docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "text"))
         keys = work.written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long")), "documents")
         each = []
         for k in range(parts):
             wanted_k = phrases([tuple(x) for x in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()], window)
-            each.append(work.written(_named(search(index, wanted_k, slack), wanted_k), "hits"))
+            each.append(work.written(search(index, wanted_k, slack), "hits"))
         found = each[0]
         for x in each[1:]:
             found = found.unionByName(x)
@@ -178,19 +179,6 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, slack: int =
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _named(found: DataFrame, wanted: Phrases) -> DataFrame:
-    items = found.sparkSession.sparkContext.broadcast(wanted.items)
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(items.value, pa.string())
-        for b in batches:
-            column = b.column("items")
-            lists = pa.ListArray.from_arrays(column.offsets, known.take(column.values))
-            yield pa.record_batch([*b.columns[:-1], lists], [*b.schema.names[:-1], "item_ids"])
-
-    return found.mapInArrow(names, "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, item_ids array<string>")
-
-
 def _merged(found: DataFrame) -> DataFrame:
     """Hits of several passes, one row per document."""
 
@@ -215,5 +203,5 @@ def _merged(found: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` without the contaminated ones. A text's verdict holds for all rows with that text."""
     read = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = work.written(judged(read, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_text")).distinct(), "contaminated")
+    bad = judged(read, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_text")).distinct()
     return docs.join(bad, F.xxhash64(docs["text"]) == bad["bad_text"], "left_anti")

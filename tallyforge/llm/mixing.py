@@ -57,7 +57,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int
     """
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     narrow = work.written(narrow.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
-    sizes = work.written(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "source-sizes")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = work.written(targets(sizes.select("source", "source_size"), weights, repeats, budget), "targets")
 
     most = sizes.agg(F.max("n")).first()[0] or 0

@@ -147,7 +147,7 @@ def links(marks: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(key), pa.array(mark[row])], ["key", "mark"])
 
     found = work.written(marks.select("mark").mapInArrow(keyed, "key long, mark long"), "golay-keys")
-    count = work.written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "golay-groups")
+    count = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
     few = found.join(count.where(F.col("n") <= GROUP).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
     near = F.transform("marks", lambda x, i: F.transform(F.filter(F.slice("marks", i + 2, GROUP), lambda y: F.bit_count(x.bitwiseXOR(y)) <= 2), lambda y: F.struct(x.alias("a"), y.alias("b"))))
@@ -169,7 +169,11 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     Empty, null and blank texts have fingerprint zero and are linked as others are. Equal rows are separate documents
     of one component; a null doc_id is never a component's id unless all its ids are null. Other columns are ignored.
     """
-    marked = fingerprints(docs, size)
+    return grouped(fingerprints(docs, size))
+
+
+def grouped(marked: DataFrame) -> DataFrame:
+    """``marked`` fingerprints with root and component_id."""
     different = work.written(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "different-fingerprints")
     root = components(links(different), "a", "b")
     rooted = different.join(root, different.mark == root.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
@@ -180,13 +184,12 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
-    found = work.written(near_duplicates(docs, size), "near-duplicates")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    first = work.written(first.select("k.doc_id", "k.text_hash"), "survivors").alias("s")
+    marked = fingerprints(docs, size)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = grouped(marked).groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash").alias("s")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash"))
     kept = docs.alias("d").join(first, same, "left_semi")
-    again = found.join(first, found.doc_id.eqNullSafe(F.col("s.doc_id")) & (found.text_hash == F.col("s.text_hash")), "left_semi").count() > first.count()
-    if not again:
+    if not marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return kept
     hashed = kept.withColumn("text_hash_", F.xxhash64("text"))  # equal rows
     return hashed.dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)

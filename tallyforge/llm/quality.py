@@ -157,7 +157,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with a score of 0.5 or more, by a model of those among them that have labels to learn from."""
     known = labelled(labels)  # SAMPLE rows at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    model = fit(work.written(with_statistics(chosen, keep=["label"]), "labelled"))
+    model = fit(work.written(with_statistics(chosen, keep=["label"]).repartition(8), "labelled"))  # few and small rows
     name = "stats"
     while name in docs.columns:
         name += "_"

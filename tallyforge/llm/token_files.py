@@ -9,6 +9,7 @@ and a mapped file gives any sequence, mask or document without copying.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -16,15 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import work
 
 #: Sequences in a record batch.
 ROWS = 64
-#: Encoded pieces that a worker keeps; later ones are encoded once for each group of documents.
-PIECES = 800_000
+#: Encoded pieces that a worker keeps, and those of them after a task; beyond, it drops what it met in one group of documents only.
+PIECES, IDLE = 600_000, 400_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -47,7 +48,9 @@ class Encoder:
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.lengths[k] = len(token)  # a character for each byte
-        self.known: tuple[dict, dict] = ({}, {})
+        self.marks = {x: self._whole([x])[0].tobytes() for x in ".,"}
+        self.known: list[dict] = [{}, {}]  # pieces at the start of a text, and those after a space
+        self.reused: list[set] = [set(), set()]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,24 +58,38 @@ class Encoder:
     def _learn(self, wanted: set[str], tail: int) -> dict[str, bytes | None]:
         """Ids of pieces; those after a space if tail. None: not a piece that can be encoded by itself."""
         known = self.known[tail]
-        here = {x: known[x] for x in wanted if x in known}
-        new = [x for x in wanted if x not in here]
-        here.update((x, None) for x in new if x != x.strip() or not x)
-        new = [x for x in new if x not in here]
-        for begin in range(0, len(new), 256 if tail else 1):
-            part = new[begin : begin + (256 if tail else 1)]
-            text = " " * tail + " ".join(part)
-            ids = self._whole([text])[0]
-            size = np.fromiter((len(x.encode()) for x in part), np.int64, len(part)) + tail
+        new = [x for x in wanted if x not in known]
+        self.reused[tail].update(wanted.difference(new))
+        if len(known) > PIECES:
+            known = self.known[tail] = {x: known[x] for x in self.reused[tail]}
+        if unsafe := [x for x in new if not x or x[0].isspace() or x[-1].isspace()]:
+            known.update(dict.fromkeys(unsafe))
+            new = [x for x in new if x not in known]
+        # a mark after a letter is a token of its own, so a word with one needs no encoding besides the word's
+        marked = [x for x in new if x[-1] in ".," and x[-2:-1].isalpha()] if tail else []
+        if marked:
+            new = list({x[:-1] for x in marked}.union(new).difference(marked, known))
+        many = 256 if tail else 1
+        for begin in range(0, len(new), many):
+            part = new[begin : begin + many]
+            ids = self._whole([" " * tail + " ".join(part)])[0]
             ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum(size), "left") + 1
-            if len(ids) and np.array_equal(ends[cuts - 1], np.cumsum(size)):
-                here.update((x, ids[a:b].tobytes()) for x, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+            wanted_ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + tail)
+            cuts = np.searchsorted(ends, wanted_ends, "left") + 1
+            if len(ids) and np.array_equal(ends[cuts - 1], wanted_ends):
+                at, size = cuts * self.kind.itemsize, ids.tobytes()
+                known.update(zip(part, map(size.__getitem__, map(slice, [0, *at[:-1].tolist()], at.tolist())), strict=True))
             else:
-                here.update((x, i.tobytes()) for x, i in zip(part, self._whole([" " * tail + x for x in part]), strict=True))
-        if len(known) < PIECES:
-            known.update((x, here[x]) for x in new)
-        return here
+                known.update((x, i.tobytes()) for x, i in zip(part, self._whole([" " * tail + x for x in part]), strict=True))
+        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+        return known
+
+    def forget(self) -> None:
+        """After a task: if there are many pieces, keep those that it met in several groups of documents."""
+        for tail in (0, 1):
+            if len(self.known[tail]) > IDLE:
+                self.known[tail] = {x: self.known[tail][x] for x in self.reused[tail]}
+            self.reused[tail] = set()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
@@ -138,7 +155,9 @@ class _Sequences:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = 2048) -> DataFrame:
-    """Encode and write documents (doc_id, text) in ascending doc_id order; give the manifest (shard, n_docs, n_tokens).
+    """Encode and write documents (doc_id, text) in ascending doc_id order; give the manifest (shard, base, n_tokens).
+
+    base: tokens of all shards before. The manifest has a row per file, which the driver gathers.
 
     Null text is empty, a null doc_id comes first, equal doc_ids are ordered by text, other columns are ignored.
     """
@@ -155,11 +174,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         fs, base = work.filesystem(folder)
         names = [(f"{base}/{kind}-{k:06d}.{attempt}.tmp", f"{base}/{kind}-{k:06d}.arrow") for kind in ("seq", "doc")]
         encode, n_docs = encoder(tokenizer), 0
+        gc.disable()  # nothing here is in cycles, and the pieces are many
         with fs.open_output_stream(names[0][0]) as one, fs.open_output_stream(names[1][0]) as two:
             sequences, index = _Sequences(one, length, kind), pa.ipc.new_file(two, index_schema)
             for batch in batches:
-                for begin in range(0, len(batch), 256):
-                    part = batch.slice(begin, 256)
+                for begin in range(0, len(batch), 512):
+                    part = batch.slice(begin, 512)
                     start, counts = sequences.total, []
                     for ids in encode(part.column("text").to_pylist()):
                         sequences.add(ids + end)
@@ -169,11 +189,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
                     n_docs += len(part)
             sequences.close()
             index.close()
+        encode.forget()
+        gc.enable()
         for temporary, final in names:
             work.put_in_place(fs, temporary, final)
         yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([sequences.total], pa.int64())], ["shard", "n_docs", "n_tokens"])
 
-    return work.written(sorted_docs.mapInArrow(shard, "shard int, n_docs long, n_tokens long"), "token-manifest")
+    rows = sorted(sorted_docs.mapInArrow(shard, "shard int, n_docs long, n_tokens long").collect())
+    bases = np.cumsum([0, *(r["n_tokens"] for r in rows)]).tolist()
+    shards = [(r["shard"], base, r["n_tokens"]) for r, base in zip(rows, bases, strict=False) if r["n_docs"]]
+    return docs.sparkSession.createDataFrame(shards, "shard int, base long, n_tokens long")
 
 
 class Shard:
@@ -183,6 +208,7 @@ class Shard:
         self.sequences = pa.ipc.open_file(work.open_for_reading(f"{folder}/seq-{k:06d}.arrow"))
         self.documents = pa.ipc.open_file(work.open_for_reading(f"{folder}/doc-{k:06d}.arrow"))
         self.length = self.sequences.schema.field("ids").type.list_size
+        self.last: tuple[int, np.ndarray | None] = -1, None
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i; the ids are a view of the file."""
@@ -195,18 +221,17 @@ class Shard:
         size = ROWS * self.length
         while n > 0:
             batch, at = divmod(start, size)
-            part = self.sequences.get_batch(batch).column(0).values.to_numpy()[at : at + n]
+            if batch != self.last[0]:
+                self.last = batch, self.sequences.get_batch(batch).column(0).values.to_numpy()
+            part = self.last[1][at : at + n]
             yield part
             start, n = start + len(part), n - len(part)
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """One row per document as the files have it: doc_id, start over all shards, n_tokens, ids_crc32, shard."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    bases = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    n = manifest.agg(F.max("shard")).first()[0]
-    n = 0 if n is None else n + 1
-    shards = spark.range(0, n, 1, max(1, n)).select(F.col("id").cast("int").alias("shard")).join(F.broadcast(bases), "shard")
+    n = max(1, manifest.count())
+    shards = manifest.repartitionByRange(n, "shard")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +243,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     for start, count in zip(rows.column("start").to_pylist(), rows.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for part in shard.ids(start, count):
-                            crc = zlib.crc32(part.astype("<u4").data, crc)
+                            crc = zlib.crc32(part.astype("<u4"), crc)
                         crcs.append(crc)
                     start = pa.array(rows.column("start").to_numpy() + base)
                     yield pa.record_batch([rows.column("doc_id"), start, rows.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array([k] * len(rows), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
