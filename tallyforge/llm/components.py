@@ -13,9 +13,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternating stars (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): each round first links all
     larger neighbours of a node to its smallest one, then all smaller ones, until every node has one link, to a root.
-    Rounds grow with the logarithm of a component's size. Each round is written to the shared folder.
+    Rounds grow with the logarithm of a component's size. The links and each round are written to the shared folder.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    edges = work.written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,8 +24,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = work.written(small.where("u <> v").distinct(), "links")
-        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        inner = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
-        if not several.unionByName(inner).limit(1).count():
+        ends = edges.select(F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("u", 1), ("v", 0))))))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
