@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import work
 
 #: Documents in a range of the shuffled order, about.
-RANGE = 20_000
+RANGE = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
