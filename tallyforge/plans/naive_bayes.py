@@ -173,12 +173,14 @@ def threshold(pairs: DataFrame, precision: float = 0.95, least: int = 30) -> flo
     """The lowest confidence of 0.50 to 0.99 at which at least ``least`` guesses are covered with that precision."""
     cut = F.least(F.floor(F.round(F.col("confidence") * 100, 6)), F.lit(99)).cast("int")
     bins = pairs.where(F.col("guess").isNotNull() & (F.col("confidence") >= 0.5)).groupBy(cut.alias("cut")).agg(F.count("*").alias("n"), F.sum((F.col("guess").eqNullSafe(F.col("truth"))).cast("int")).alias("r"))
+    counts = {r["cut"]: (r["n"], r["r"]) for r in bins.collect()}  # 50 rows at most
     covered = right = 0
     found = None
-    for row in sorted(bins.collect(), key=lambda r: -r["cut"]):  # 50 rows at most
-        covered, right = covered + row["n"], right + row["r"]
+    for percent in range(99, 49, -1):
+        n, r = counts.get(percent, (0, 0))
+        covered, right = covered + n, right + r
         if covered >= least and right / covered >= precision:
-            found = row["cut"]
+            found = percent
     return None if found is None else found / 100
 
 
