@@ -31,7 +31,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash's base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, STEP + STEP // 4)
+        size = 1 << 16 if n <= 1 << 16 else max(n, STEP + STEP // 4)
         for k, base in enumerate((_ODD, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

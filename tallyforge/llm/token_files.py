@@ -44,7 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.kind = np.dtype(id_kind(path))
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.lengths[k] = len(token)  # a character for each byte
@@ -106,13 +106,6 @@ class Encoder:
         return out
 
 
-def id_kind(path: str) -> str:
-    """The narrowest unsigned type, of 16 or 32 bits, for a tokenizer's ids."""
-    from tokenizers import Tokenizer
-
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -165,15 +158,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     order = ["doc_id", "text"]
     sorted_docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions(*order)
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-    kind = np.dtype(id_kind(tokenizer))
-    end = np.asarray([end_id], kind).tobytes()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         k, attempt = context.partitionId(), context.taskAttemptId()
         fs, base = work.filesystem(folder)
-        names = [(f"{base}/{kind}-{k:06d}.{attempt}.tmp", f"{base}/{kind}-{k:06d}.arrow") for kind in ("seq", "doc")]
+        names = [(f"{base}/{x}-{k:06d}.{attempt}.tmp", f"{base}/{x}-{k:06d}.arrow") for x in ("seq", "doc")]
         encode, n_docs = encoder(tokenizer), 0
+        kind = encode.kind
+        end = np.asarray([end_id], kind).tobytes()
         gc.disable()  # nothing here is in cycles, and the pieces are many
         with fs.open_output_stream(names[0][0]) as one, fs.open_output_stream(names[1][0]) as two:
             sequences, index = _Sequences(one, length, kind), pa.ipc.new_file(two, index_schema)
