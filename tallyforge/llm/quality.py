@@ -129,6 +129,11 @@ def labelled(labels: DataFrame, label: str = "quality", limit: int = SAMPLE) ->
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
+def in_order(sample: DataFrame) -> DataFrame:
+    """The bounded sample, written in a fixed order, as the trees' draws depend on it: reruns give the same model."""
+    return work.written(sample.repartition(1).sortWithinPartitions("doc_id", "label", *(F.col("stats")[s] for s in STATS)), "labelled")
+
+
 def fit(sample: DataFrame, stats: str = "stats", trees: int = 16, depth: int = 3, penalty: float = 0.001, seed: int = 7) -> Rules:
     """Rules from a bounded sample with ``label`` and the statistics."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -157,7 +162,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with a score of 0.5 or more, by a model of those among them that have labels to learn from."""
     known = labelled(labels)  # SAMPLE rows at most
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    model = fit(work.written(with_statistics(chosen, keep=["label"]).repartition(8), "labelled"))  # few and small rows
+    model = fit(in_order(with_statistics(chosen, keep=["doc_id", "label"])))
     name = "stats"
     while name in docs.columns:
         name += "_"
