@@ -184,12 +184,16 @@ def grouped(marked: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
-    marked = fingerprints(docs, size)
+    return firsts(docs, grouped(fingerprints(docs, size)))
+
+
+def firsts(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each root of ``rooted`` (doc_id, text_hash, root)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = grouped(marked).groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash").alias("s")
+    first = rooted.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash").alias("s")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash"))
     kept = docs.alias("d").join(first, same, "left_semi")
-    if not marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+    if not rooted.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return kept
     hashed = kept.withColumn("text_hash_", F.xxhash64("text"))  # equal rows
     return hashed.dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)
