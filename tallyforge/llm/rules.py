@@ -7,7 +7,8 @@ and those are summed. An n-gram is five bits a class, so a model has 32**ORDER o
 that bound (12 MB a language, LANGUAGES of them and one for all others) is what lets it be sent to the workers. It is
 kept as n-gram codes in ascending order, with probabilities and back-off weights beside them.
 
-A document is rejected if its log perplexity is outside its language's band: median less ``below`` and median plus
+Each line is scored by its own language's model or by that of LANGUAGES that fits it best, so texts that mix languages
+are not strange ones. A document is rejected if its log perplexity is outside its language's band: median less ``below`` and median plus
 ``above`` times the spread (the middle half's width over 1.349, at least 0.02), all from the whole corpus. Documents of
 fewer than ``least`` words are judged by the base rules alone. A null text has no words, a null or unlisted lang uses
 the model of the others. Repeated rows count as often as they occur.
@@ -197,15 +198,17 @@ def measured(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
         for part, texts in steps(batches):
             language = _language(part.column("lang").to_pylist())
             code, begin = grams(*classes(texts))
-            logs = np.zeros(len(code), np.float32)
-            of = np.repeat(language, np.diff(begin))
-            for k in np.unique(language):
+            for k in np.unique([*shared.value, *language]):
                 if int(k) not in tables:
                     model = shared.value.get(int(k))
                     tables[int(k)] = model.table() if model else np.full(CLASSES**ORDER, -np.log(CLASSES), np.float32)
-                own = of == k
-                logs[own] = tables[int(k)][code[own]]
-            perplexity = -group_sums(logs.astype(float), begin) / np.maximum(np.diff(begin), 1)
+            line = np.unique(np.concatenate([begin, np.flatnonzero((code & 31) == 29) + 1]))
+            owner = language[np.searchsorted(begin, line[:-1], "right") - 1]
+            best = np.full(len(line) - 1, -np.inf)
+            for k, table in tables.items():
+                own = (owner == k) | (k in shared.value and k < len(LANGUAGES))
+                best = np.where(own, np.maximum(best, group_sums(table[code].astype(float), line)), best)
+            perplexity = -group_sums(best, np.searchsorted(line, begin)) / np.maximum(np.diff(begin), 1)
             counts = base_counts(texts)
             yield pa.record_batch([part.column("doc_id"), pa.array(language, pa.int32()), *(pa.array(x, pa.int64()) for x in counts), pa.array(perplexity)], ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
 
@@ -258,7 +261,7 @@ def bands(found: DataFrame, below: float, above: float, least: int) -> DataFrame
     return known.select("language", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
 
 
-def judged(docs: DataFrame, below: float = 6.0, above: float = 30.0, least: int = 50) -> DataFrame:
+def judged(docs: DataFrame, below: float = 6.0, above: float = 6.0, least: int = 50) -> DataFrame:
     """The counts of each document with base_failed, log_perplexity and kept."""
     found = work.written(measured(docs, train(docs)), "perplexity")
     limits = bands(found, below, above, least)  # a row a language
