@@ -27,7 +27,7 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 WEAK = (
-    ("key", r"(?<![A-Za-z0-9/+=])(?=[A-Za-z0-9/+]{0,39}[0-9/+])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"),
+    ("key", r"(?<![A-Za-z0-9/+])(?=[A-Za-z0-9/+]{0,39}[0-9/+])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"),
     ("host", r"(?:https?|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._:@/-]+"),
     ("user", r"""(?:user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""),
 )
