@@ -1,7 +1,8 @@
-"""Repeated byte strings, removed wherever they occur, by merging shards' suffixes in refined interleaves.
+"""Repeated byte strings, removed wherever they occur, found by grouping hashed windows in anchored buckets.
 
 What is removed is every byte covered by a ``LENGTH``-byte string that starts at more than one place. Suffixes matter
-only as far as their first LENGTH bytes, and only where those can repeat, so the suffixes are merged in buckets.
+only as far as their first LENGTH bytes, and only where those can repeat, so windows of LENGTH bytes are grouped in buckets.
+No Burrows-Wheeler transform, suffix order or common-prefix array is built.
 
 1. Anchors. Of the grams of GRAM bytes inside a window of LENGTH bytes, the one with the least hash is its anchor, a
    function of the window's content: equal windows have equal anchors at equal places. A text is cut into segments, each
@@ -9,9 +10,7 @@ only as far as their first LENGTH bytes, and only where those can repeat, so the
    gram: 128 bits) are repeats from end to end and need no comparison; one of each different kind stays.
 2. Merging. Segments of one gram come together, from all shards. Their windows start as one block for each distance to
    the anchor. Letters are strings of LETTER bytes; from a window's last letter to its first, each round steps back by
-   one letter and splits the blocks by it, as the interleave of Burrows-Wheeler transforms is refined by the letters
-   before its suffixes: no two suffixes are compared and no block is sorted anew beyond one letter. Windows alone in
-   their block drop out. A block's common prefix after k rounds is k letters long; blocks of two or more after the last
+   one letter and splits the blocks by its hash. Windows alone in their block drop out. A block's common prefix after k rounds is k letters long; blocks of two or more after the last
    round are the repeated intervals.
    A gram with more than KINDS different segments is merged in buckets of a few windows with the same inner part.
 3. Intervals are joined to ranges in each text and cut out of it.
