@@ -50,7 +50,7 @@ def anchors(texts: Texts) -> tuple[np.ndarray, ...]:
         return none
     h = Hasher(data)
     place = np.arange(n - GRAM + 1)
-    gram = h(place, place + GRAM)
+    gram = h.rolling(place, place + GRAM)
     mask = np.uint64((1 << n.bit_length()) - 1)
     marked = (gram & ~mask) | place.astype(np.uint64)
     width = LENGTH - GRAM + 1

@@ -7,9 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
 STEP = 1 << 20
+#: Bytes of a range whose hash comes from running sums.
+SHORT = 64
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,17 +50,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any byte ranges of one buffer, from running sums."""
+    """Hashes of any byte ranges of one buffer.
+
+    Ranges of up to SHORT bytes come from running sums modulo 2**64, whose first collisions by structure (strings and
+    complements in the order of Thue and Morse) need 1,024 bytes. Longer ranges are hashed byte by byte (XXH3).
+    """
 
     def __init__(self, buffer: np.ndarray):
         up, self.down = powers(len(buffer) + 1)
+        self.buffer = buffer
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(_SALT[buffer] * up[: len(buffer)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def rolling(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """From running sums whatever the length: for choices that no result rests on."""
         raw = (self.sums[end] - self.sums[start]) * self.down[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = self.rolling(start, end)
+        long = np.flatnonzero(end - start > SHORT)
+        if len(long):
+            data = memoryview(np.ascontiguousarray(self.buffer))
+            ranges = zip(start[long].tolist(), end[long].tolist(), strict=True)
+            out[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in ranges), np.uint64, len(long))
+        return out
+
 
 class Texts:
     """Some rows' texts in one buffer; text i is ``data[at[i]:at[i + 1]]``."""
