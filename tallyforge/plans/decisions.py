@@ -56,27 +56,41 @@ def candidates(rows: DataFrame, log: DataFrame, field: str = "spender") -> DataF
     return by_row.select(*columns).unionByName(by_merchant.select(*columns))
 
 
+def strongest(entries: DataFrame, key: str) -> DataFrame:
+    """(key, entry): the strongest and then newest live decision of each row or merchant, one row a key."""
+    entry = F.struct(rank(F.col("source")).alias("rank"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "source", "value", F.col("confidence").cast("double").alias("confidence"))
+    return entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(entry, F.struct(entry["rank"], entry["seq"])).alias("entry"))
+
+
 def resolve(rows: DataFrame, log: DataFrame, training: bool = False, threshold: float | None = None) -> DataFrame:
     """rows (id, merchant, account_value, cardmember_value, guess, guess_confidence) with label_source and label.
 
     The strongest source wins, then the newest decision. A null decision of a weaker source still masks what is below
     it and leaves the row without a label; that of a user is a label of its own (label_source set, label null).
     ``threshold``: guesses of at least that confidence count. ``training``: neither guesses nor blind checks do.
+
+    The log is reduced to one entry for each row and each merchant first (the order is total, so the strongest of the
+    strongest is the strongest), and a row meets at most one of each kind.
     """
-    none = F.lit(None).cast("double")
-    found = candidates(rows, log).where("source <> 'model'")
+    entries = live(log).where("field = 'spender' and source <> 'model'")
     if training:
-        found = found.where("not check")
-    found = found.select("id", "source", "value", "seq", "confidence")
-    base = lambda source, value, confidence=none: F.struct(F.lit(source).alias("source"), F.col(value).alias("value"), F.lit(0).cast("long").alias("seq"), confidence.alias("confidence"))
-    defaults = [F.when(F.col("account_value").isNotNull(), base("account", "account_value")), F.when(F.col("cardmember_value").isNotNull(), base("cardmember", "cardmember_value"))]
+        entries = entries.where(~F.coalesce("check", F.lit(False)))
+    entries = entries.select("activity_id", "merchant", "source", "value", "seq", "confidence")
+    own = strongest(entries, "activity_id").select(F.col("activity_id").alias("own_key_"), F.col("entry").alias("own_entry_"))
+    shared = strongest(entries, "merchant").select(F.col("merchant").alias("shared_key_"), F.col("entry").alias("shared_entry_"))
+    joined = rows.join(own, F.col("id") == F.col("own_key_"), "left").join(shared, F.col("merchant") == F.col("shared_key_"), "left")
+
+    def base(source: str, value: str, confidence: Column) -> Column:
+        return F.struct(F.lit(RANK[source]).alias("rank"), F.lit(0).cast("long").alias("seq"), F.lit(source).alias("source"), F.col(value).alias("value"), confidence.alias("confidence"))
+
+    none = F.lit(None).cast("double")
+    defaults = [F.when(F.col("account_value").isNotNull(), base("account", "account_value", none)), F.when(F.col("cardmember_value").isNotNull(), base("cardmember", "cardmember_value", none))]
     if threshold is not None and not training:
-        defaults.append(F.when(F.col("guess_confidence") >= threshold, base("model", "guess", F.col("guess_confidence"))))
-    found = found.unionByName(rows.select("id", F.inline(F.array_compact(F.array(*defaults)))))
-    best = found.groupBy("id").agg(F.max_by(F.struct("source", "value", "confidence"), F.struct(rank(F.col("source")), F.coalesce("seq", F.lit(0)))).alias("b"))
-    counts = F.col("b.value").isNotNull() | F.col("b.source").isin("user", "app-ui")
-    best = best.where(counts).select("id", F.col("b.source").alias("label_source"), F.col("b.value").alias("label"), F.col("b.confidence").alias("label_confidence"))
-    return rows.join(best, "id", "left")
+        defaults.append(F.when(F.col("guess_confidence") >= threshold, base("model", "guess", F.col("guess_confidence").cast("double"))))
+    best = joined.withColumn("best_", F.array_max(F.array_compact(F.array("own_entry_", "shared_entry_", *defaults))))
+    counts = F.col("best_.value").isNotNull() | F.col("best_.source").isin("user", "app-ui")
+    label = lambda name: F.when(counts, F.col(f"best_.{name}"))
+    return best.select(*(F.col(f"`{c}`") for c in rows.columns), label("source").alias("label_source"), label("value").alias("label"), label("confidence").alias("label_confidence"))
 
 
 def last_action(log: DataFrame, by: str) -> DataFrame:
