@@ -35,6 +35,8 @@ WEAK = (
 NEEDS = {"key": ("access",), "host": ("assign",), "user": ("assign",)}
 #: Code points between a weak candidate and the part that completes it, at most.
 REACH = 400
+#: Blank lines, which end a scope, among the matches.
+BREAK = "break"
 ORDER = [k for k, *_ in BASE] + [k for k, _ in WEAK]
 
 
@@ -54,38 +56,39 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), *found, scopes.alias("scope_gap"), separators.alias("scope_size"))
 
 
-def placed(gaps: Column, sizes: Column) -> Column:
-    """Array of (start, end) of matches from the lengths of the pieces around them and their own."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["g"]
-        return F.struct((begin + x["s"]).alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("start"), (begin + x["s"]).alias("end")))).alias("spans"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: F.struct(g.alias("g"), s.alias("s")))
-    return F.when(F.size(sizes) > 0, F.aggregate(pairs, start, step, lambda state: state["spans"]))
+def exploded(scanned: DataFrame, kind: str, gaps: str, sizes: Column, counted: Column, least: int) -> DataFrame:
+    """row, kind, k, gap, size, n, least: a row for each match, with the length of the piece before it."""
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(sizes)).alias("gap"), sizes.alias("size"), counted.alias("n"))
+    rows = scanned.where(F.size(sizes) > 0).select("row", F.lit(kind).alias("kind"), F.posexplode(pairs).alias("k", "x"))
+    return rows.select("row", "kind", "k", "x.gap", "x.size", "x.n", F.lit(least).alias("least"))
 
 
 def spans(scanned: DataFrame) -> DataFrame:
-    """row, kind, start, end, scope: the spans that count, strong ones and weak candidates."""
-    each = None
+    """row, kind, start, end, scope: the spans that count, strong ones and weak candidates.
+
+    A match ends where the lengths of all pieces and matches up to it end: a running sum over the text's matches. The
+    scope is the number of blank lines before it, counted likewise, for texts with parts to link.
+    """
+    each, weak, strong = None, F.lit(False), F.lit(False)
     for kind, _, *rest in [*BASE, *WEAK]:
-        own = scanned.where(F.col(f"{kind}_match").isNotNull())
         size = F.transform(f"{kind}_match", lambda x: F.length(x))
-        counted = F.col(f"{kind}_size") if rest and rest[0] else size
-        own = own.select("row", "scope_gap", "scope_size", F.arrays_zip(placed(F.col(f"{kind}_gap"), size).alias("s"), counted.alias("n")).alias("x"))
-        own = own.select("row", "scope_gap", "scope_size", F.inline("x")).where(F.col("n") >= (rest[1] if rest else 0))
-        own = own.select("row", F.lit(kind).alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "scope_gap", "scope_size")
+        own = exploded(scanned, kind, f"{kind}_gap", size, F.col(f"{kind}_size") if rest and rest[0] else size, rest[1] if rest else 0)
         each = own if each is None else each.unionByName(own)
-    breaks = placed(F.col("scope_gap"), F.col("scope_size"))
-    scope = F.coalesce(F.size(F.filter(breaks, lambda b: b["start"] < F.col("start"))), F.lit(0))
-    return each.withColumn("scope", scope).drop("scope_gap", "scope_size")
+        some = F.col(f"{kind}_match").isNotNull()
+        weak, strong = (weak, strong | some) if rest else (weak | some, strong)
+    breaks = exploded(scanned.where(weak & strong), BREAK, "scope_gap", F.col("scope_size"), F.col("scope_size"), 0)
+    ends = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("k")).cast("int")
+    placed = each.unionByName(breaks).withColumn("end", ends).withColumn("start", F.col("end") - F.col("size")).where("n >= least")
+    is_break = (F.col("kind") == BREAK).cast("int")
+    scope = F.sum(is_break).over(Window.partitionBy("row").orderBy("start", is_break).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("scope", scope).where(F.col("kind") != BREAK).select("row", "kind", "start", "end", "scope")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """The weak candidates of ``found`` that a needed strong part completes."""
-    by = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    by, back = (Window.partitionBy("row", "scope").orderBy(*(getattr(F.col(c), way)() for c in ("start", "end", "kind"))) for way in ("asc", "desc"))
+    # frames that grow from the start only: what follows is what comes before in descending order
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (by, back))
     strong = sorted({s for x in NEEDS.values() for s in x})
     near = found
     for s in strong:
