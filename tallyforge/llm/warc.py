@@ -76,21 +76,25 @@ def payload_of(block: bytes) -> bytes | None:
     return dechunked(body) if b"chunked" in fields.get(b"transfer-encoding", b"") else body
 
 
+#: Pages have no time of their own; a fixed one makes archives the same in every run.
+DATE = "2024-01-01T00:00:00Z"
+
+
 def _header(kind: str, identity: str, block: bytes, **fields: object) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {identity}", "WARC-Date: 2024-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {identity}", f"WARC-Date: {DATE}"]
     lines += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items() if v is not None]
     return ("\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def records(page: dict, segment: int, place: tuple[int, int]) -> Iterator[bytes]:
-    """The records of one page: {page_id, url, html, digest, refers_to}; place: archive and number of the page in it."""
+    """The records of one page: {page_id, url, html, digest, refers_to, refers_url}; place: archive and number of the page in it."""
     payload = page["html"] or b""
     number = "" if page["page_id"] is None else page["page_id"]
-    uri = "".join((page["url"] or "urn:page").split()) or "urn:page"
+    uri, of = ("".join((page[u] or "urn:page").split()) or "urn:page" for u in ("url", "refers_url"))
     about = {"WARC_Target_URI": uri, "WARC_Payload_Digest": f"sha1:{page['digest']}", "X_Page_ID": number}
     if page["refers_to"] is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        yield _header("revisit", record_id("revisit", number, *place), head, WARC_Profile=REVISIT, X_Refers_To_Page_ID=page["refers_to"], **about)
+        yield _header("revisit", record_id("revisit", number, *place), head, WARC_Profile=REVISIT, WARC_Refers_To_Target_URI=of, WARC_Refers_To_Date=DATE, X_Refers_To_Page_ID=page["refers_to"], **about)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     first = record_id("page", number, page["digest"], *place)
@@ -115,11 +119,11 @@ def write(pages: DataFrame, folder: str, least: int = 0, segment: int = 16384, l
     work.make_dir(folder)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digested(F.col("html")).alias("sha1"))
     large = F.coalesce(F.octet_length("html"), F.lit(0)) >= least
-    last = read.where(large).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    last = read.where(large).groupBy("sha1").agg(F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     last = work.written(last, "payloads")
     joined = read.join(last, "sha1", "left")
     revisit = large & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    ready = joined.select("page_id", "url", F.when(~revisit, F.col("html").cast("binary")).alias("html"), "sha1", F.when(revisit, F.col("last")).alias("refers_to"))
+    ready = joined.select("page_id", "url", F.when(~revisit, F.col("html").cast("binary")).alias("html"), "sha1", F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("refers_url")).alias("refers_url"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -221,7 +225,8 @@ def read(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
     """
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [x and payload_of(x) for x in batch.column("block").to_pylist()]
+            whole = (b"".join(x) if isinstance(x, list) else x for x in batch.column("block").to_pylist())
+            blocks = [x and payload_of(x) for x in whole]
             found = {"payload_bytes": pa.array([None if x is None else len(x) for x in blocks], pa.int64()), "computed": pa.array([None if x is None else base32_sha1(x) for x in blocks], pa.string())}
             at = batch.schema.get_field_index("block")
             yield pa.record_batch([*(c for k, c in enumerate(batch.columns) if k != at), *found.values()], [*(x for k, x in enumerate(batch.schema.names) if k != at), *found])
@@ -236,8 +241,7 @@ def read(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"),
     )
     complete = (F.col("n") == F.col("last")) & (F.col("different") == F.col("n")) & (F.col("size") == F.col("total"))
-    joined = F.aggregate(F.col("parts.block"), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    held = held.select("first.page_id", "first.digest", F.when(complete, joined).alias("block"))
+    held = held.select("first.page_id", "first.digest", F.when(complete, F.col("parts.block")).alias("block"))  # joined where it is decoded
     single = raw.where("not part and kind = 'response'").select("page_id", "digest", "block")
     schema = "page_id string, digest string, payload_bytes long, computed string"
     responses = single.mapInArrow(payloads, schema).unionByName(held.mapInArrow(payloads, schema))
