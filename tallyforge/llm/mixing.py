@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: i
     ranked = ranked.withColumn("most", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("most") / F.col("weight"))
     total = F.least(F.lit(float(budget)) if budget is not None else F.sum("source_size").over(every).cast("double"), F.sum("most").over(every))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("level", (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    ranked = ranked.withColumn("level", (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # the level of the first source, in this order, that stays below its limit; if all have their limits, no level is needed
     level = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every)["level"]
     return ranked.withColumn("target", F.least("most", F.coalesce(level * F.col("weight"), F.col("most")))).select("source", "source_size", "weight", "target")
