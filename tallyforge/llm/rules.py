@@ -1,219 +1,250 @@
 """Quality rules with a perplexity band for each language.
 
 Counting and base rules take whole texts. The perplexity is that of a modified Kneser-Ney model (Chen and Goodman) of
-the language's characters, of order ORDER, over an alphabet of 32 classes: a-z (accents folded), other letters, digit,
-space, end of line, sentence mark, symbol. The counts are Spark's: every partition counts the n-grams of its documents,
-and those are summed. An n-gram is five bits a class, so a model has 32**ORDER of them at most, whatever the corpus:
-that bound (12 MB a language, LANGUAGES of them and one for all others) is what lets it be sent to the workers. It is
-kept as n-gram codes in ascending order, with probabilities and back-off weights beside them.
-
-Each line is scored by its own language's model or by that of LANGUAGES that fits it best, so texts that mix languages
-are not strange ones. A document is rejected if its log perplexity is outside its language's band: median less ``below`` and median plus
-``above`` times the spread (the middle half's width over 1.349, at least 0.02), all from the whole corpus. Documents of
-fewer than ``least`` words are judged by the base rules alone. A null text has no words, a null or unlisted lang uses
-the model of the others. Repeated rows count as often as they occur.
+each language's characters, of order ORDER: characters as they are, in every script and in upper and lower case. An
+n-gram's code has 16 bits a character (those outside the basic plane are folded into 16), so one of ORDER characters
+is 64 bits. Every lang that occurs has a model and a band of its own, a missing one as well.
+
+Spark counts the n-grams of all documents and derives from them, by grouping and joining, the lower orders' counts of
+different characters before an n-gram, the discounts of each language and order, and the interpolated probabilities and
+back-off weights. They are stored as arrays of hashes (of the codes) in ascending order, a folder a language. Scoring
+tasks read the folders of the languages they meet, and look all different n-grams of some texts up at once; nothing of
+a model goes through the driver.
+
+Each line is scored by its own language's model or by that of the PEERS languages of most documents that fits it best,
+so texts that mix languages are not strange ones. A document is rejected if its log perplexity is outside its language's
+band: median less ``below`` and median plus ``above`` times the spread (the middle half's width over 1.349, at least
+0.02), all from the whole corpus. Documents of fewer than ``least`` words are judged by the base rules alone. A null
+text has no words. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import work
-from .text import DARK, Hasher, Texts, find, group_sums, steps
+from .text import DARK, Hasher, Texts, find, group_sums, mix, steps
 
 ORDER = 4
-CLASSES = 32
-LANGUAGES = ("en", "de", "fr", "es")
+#: Bits of a character in an n-gram's code.
+BITS = 16
+#: Languages whose models may score any line.
+PEERS = 4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def _single() -> np.ndarray:
-    """The class of each byte; continuation bytes have none (255)."""
-    kind = np.full(256, 31, np.uint8)  # symbols and control characters
-    kind[0x80:0xC0] = 255
-    kind[0xC0:] = 26  # letters outside ASCII that are not folded
-    for k in range(26):
-        kind[0x61 + k] = kind[0x41 + k] = k
-    kind[0x30:0x3A] = 27
-    kind[list(b" \t")] = 28
-    kind[list(b"\n\r\v\f")] = 29
-    kind[list(b".,;:?!'\"()-")] = 30
-    return kind
+def characters(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The character of each place of all texts, in BITS bits; the first of each text."""
+    data = texts.data
+    head = (data & 0xC0) != 0x80
+    at = np.flatnonzero(head)
+    code = data[at].astype(np.uint32)
+    more = lambda rows, k: data[np.minimum(at[rows] + k, len(data) - 1)].astype(np.uint32) & 0x3F
+    for low, high, mask, size in ((0xC0, 0xE0, 0x1F, 2), (0xE0, 0xF0, 0x0F, 3), (0xF0, 0x100, 0x07, 4)):
+        rows = np.flatnonzero((code >= low) & (code < high) & (data[at] >= low))
+        value = data[at[rows]].astype(np.uint32) & mask
+        for k in range(1, size):
+            value = value << np.uint32(6) | more(rows, k)
+        code[rows] = value
+    code = (code ^ (code >> np.uint32(BITS)) * np.uint32(0x9E37)) & np.uint32(0xFFFF)
+    return code, np.concatenate([[0], np.cumsum(head)])[texts.at]
+
+
+def grams(code: np.ndarray, first: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Codes of all n-grams of ``order`` characters, each text after order - 1 ends of line.
+
+    The code's lowest bits are the character, above them the one before it, and so on.
+    """
+    n, pad = len(first) - 1, order - 1
+    full = np.full(len(code) + n * pad, 0x0A, np.uint64)
+    shift = np.repeat(np.arange(1, n + 1) * pad, np.diff(first))
+    full[np.arange(len(code)) + shift] = code
+    out = full.copy()
+    for k in range(1, order):
+        out[k:] |= full[:-k] << np.uint64(BITS * k)
+    keep = np.ones(len(full), bool)
+    start = first[:-1] + np.arange(n) * pad
+    for k in range(pad):
+        keep[start + k] = False
+    return out[keep]
 
 
-def _pairs() -> np.ndarray:
-    """The class of characters of two bytes: letters with accents have their base letter's."""
-    kind = np.full(1 << 11, 26, np.uint8)
-    for code in range(0x80, 0x800):
-        base = unicodedata.normalize("NFD", chr(code))[0].lower()
-        if "a" <= base <= "z":
-            kind[code] = ord(base) - ord("a")
-    return kind
+def language(lang: Column) -> Column:
+    return F.coalesce(lang.cast("string"), F.lit(""))
 
 
-SINGLE, PAIRS = _single(), _pairs()
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(language, code, n): the n-grams of all documents."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        def rows(name: str) -> pa.RecordBatch:
+            code, n = _summed(held.pop(name))
+            return pa.record_batch([pa.array([name] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["language", "code", "n"])
 
-def classes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each character of all texts; the first character of each text."""
-    data = texts.data
-    kind = SINGLE[data]
-    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
-    lead = lead[lead + 1 < len(data)]
-    kind[lead] = PAIRS[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1].astype(np.int64) & 0x3F]
-    keep = kind != 255
-    return kind[keep], np.concatenate([[0], np.cumsum(keep)])[texts.at]
+        for part, texts in steps(batches):
+            names = np.array(part.column("language").to_pylist(), object)
+            chars, first = characters(texts)
+            code = grams(chars, first)
+            for name in set(names):
+                own = code[np.repeat(names == name, np.diff(first))]
+                held.setdefault(name, []).append(np.unique(own, return_counts=True))
+                if sum(len(c) for c, _ in held[name]) > 1_000_000:
+                    held[name] = [_summed(held[name])]
+                    if len(held[name][0][0]) > 500_000:
+                        yield rows(name)
+        for name in list(held):
+            yield rows(name)
+
+    found = docs.select("text", language(F.col("lang")).alias("language")).mapInArrow(counted, "language string, code long, n long")
+    return found.groupBy("language", "code").agg(F.sum("n").alias("n"))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(code)).astype(np.int64)
 
 
-def grams(kind: np.ndarray, first: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of ``order`` characters, each text after order - 1 ends of line; the first of each text.
+def discounts(level: DataFrame) -> DataFrame:
+    """(language, cut): the modified Kneser-Ney discounts of counts of 1, 2 and 3 or more."""
+    of = level.groupBy("language").agg(*(F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in range(1, 5)))
+    y = F.expr("n1 / (n1 + 2 * n2)")
+    within = lambda x, most: F.least(F.greatest(x, F.lit(0.0)), F.lit(most))
+    known = F.array(within(1 - 2 * y * F.col("n2") / F.col("n1"), 0.95), within(2 - 3 * y * F.col("n3") / F.col("n2"), 1.95), within(3 - 4 * y * F.col("n4") / F.col("n3"), 2.95))
+    few = F.least("n1", "n2", "n3") == 0  # too few n-grams to tell
+    return of.select("language", F.when(few, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).otherwise(known).alias("cut"))
 
-    The code's lowest five bits are the character, above them the one before it, and so on.
+
+def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(language, level, kind, code, value): kind 0, log probability of an n-gram; kind 1, log back-off weight of a context.
+
+    Lower orders count the different characters before an n-gram. Level 0 has the probability of an unknown character.
     """
-    n, pad = len(first) - 1, order - 1
-    full = np.full(len(kind) + n * pad, 29, np.int32)
-    shift = np.repeat(np.arange(1, n + 1) * pad, np.diff(first))
-    full[np.arange(len(kind)) + shift] = kind
-    code = full.copy()
-    for k in range(1, order):
-        code[k:] |= full[:-k] << (5 * k)
-    keep = np.ones(len(full), bool)
-    start = first[:-1] + np.arange(n) * pad
-    for k in range(pad):
-        keep[start + k] = False
-    return code[keep], first
+    levels = [counted]
+    for n in range(order - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1))
+        levels.insert(0, work.written(levels[0].groupBy("language", suffix.alias("code")).agg(F.count("*").alias("n")), f"grams-{n}"))
+    flat = levels[0].groupBy("language").agg((1 / (F.count("*") + 1)).alias("p"))
+    out = flat.select("language", F.lit(0).alias("level"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("code"), F.log("p").alias("value"))
+    below = flat.select("language", F.lit(0).cast("long").alias("code"), "p")
+    for n, level in enumerate(levels, 1):
+        cut = F.element_at("cut", F.least(F.col("n"), F.lit(3)).cast("int"))
+        grams_n = level.join(discounts(level), "language").select("language", "code", "n", cut.alias("less"), F.shiftrightunsigned("code", BITS).alias("context"))
+        contexts = grams_n.groupBy("language", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("back"))
+        suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1)) if n > 1 else F.lit(0).cast("long")
+        lower = below.select("language", F.col("code").alias("suffix"), F.col("p").alias("lower"))
+        grams_n = grams_n.withColumn("suffix", suffix).join(contexts, ["language", "context"]).join(lower, ["language", "suffix"])
+        below = work.written(grams_n.select("language", "code", ((F.col("n") - F.col("less")) / F.col("total") + F.col("back") * F.col("lower")).alias("p")), f"probabilities-{n}")
+        row = lambda kind, code, value: (F.lit(n).alias("level"), F.lit(kind).alias("kind"), code.alias("code"), F.log(value).alias("value"))  # noqa: E731, B023
+        out = out.unionByName(below.select("language", *row(0, F.col("code"), F.col("p"))))
+        out = out.unionByName(contexts.select("language", *row(1, F.col("context"), F.greatest("back", F.lit(1e-12)))))
+    return out
+
+
+def stored(model: DataFrame, numbers: DataFrame) -> str:
+    """The folder with the arrays of each language (numbers: language, number): hashes in ascending order, and values."""
+    folder = work.shared_dir(model.sparkSession, "perplexity-model")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = mix(b.column("code").to_numpy().view(np.uint64)).view(np.int64) ^ np.int64(-(1 << 63))  # signed order is that of the unsigned hash
+            yield pa.record_batch([*(b.column(c) for c in ("number", "level", "kind")), pa.array(key), b.column("value")], ["number", "level", "kind", "key", "value"])
+
+    rows = model.join(numbers, "language").select("number", "level", "kind", "code", "value").mapInArrow(hashed, "number int, level int, kind int, key long, value double")
+    rows = rows.repartitionByRange("number", "kind", "level", "key").sortWithinPartitions("number", "kind", "level", "key")
+    rows.select("number", "kind", "level", "key", F.col("value").cast("float")).write.partitionBy("number").parquet(folder)
+    return folder
 
 
 @dataclass
 class Model:
-    """Sorted codes of each order with their probabilities, and back-off weights of contexts, natural logarithms."""
+    """Ascending hashes of each order's n-grams with their log probabilities, and of contexts with their back-off weights."""
 
-    codes: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    back: list[np.ndarray]
+    unknown: float
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """Log probability of each n-gram's last character after the others."""
-        out = np.full(len(code), -np.log(CLASSES))
-        for n in range(len(self.codes)):  # each higher order replaces or discounts what the lower ones say
-            part = code & ((1 << 5 * (n + 1)) - 1)
-            at, there = find(self.codes[n], part)
-            seen, known = find(self.contexts[n], part >> 5)
-            lower = out + np.where(known, self.back[n][seen] if len(self.back[n]) else 0.0, 0.0)
-            out = np.where(there, self.logs[n][at] if len(self.logs[n]) else 0.0, lower)
+        out = np.full(len(code), self.unknown)
+        for n, ((hashes, logs), (of, back)) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
+            part = code & np.uint64((1 << BITS * n) - 1)
+            at, there = find(hashes, mix(part))
+            seen, known = find(of, mix(part >> np.uint64(BITS)))
+            lower = out + np.where(known, back[seen] if len(back) else 0.0, 0.0)
+            out = np.where(there, logs[at] if len(logs) else 0.0, lower)
         return out
 
-    def table(self) -> np.ndarray:
-        """The scores of all codes, for one look-up a character."""
-        return self.score(np.arange(CLASSES ** len(self.codes), dtype=np.int64)).astype(np.float32)
-
 
-def discounts(count: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    n = [float((count == k).sum()) for k in range(1, 5)]
-    if min(n[:3]) == 0:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0, [0, 0.95, 1.95, 2.95])
+def load(folder: str, number: int) -> Model:
+    """The model of a language from its files; without any (only empty texts) it has nothing to tell."""
+    fs, path = work.filesystem(f"{folder}/number={number}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return Model(0.0, [], [])
+    table = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["kind", "level", "key", "value"])
+    kind, level, key, value = (table.column(c).to_numpy() for c in ("kind", "level", "key", "value"))
+    key = (key ^ np.int64(-(1 << 63))).view(np.uint64)
+    found: tuple[list, list] = ([], [])
+    for k in range(2):
+        for n in range(1, int(level.max()) + 1):
+            own = np.flatnonzero((kind == k) & (level == n))
+            own = own[np.argsort(key[own], kind="stable")]  # files are sorted, and may be listed in any order
+            found[k].append((key[own], value[own].astype(float)))
+    return Model(float(value[level == 0][0]), *found)
 
 
-def kneser_ney(code: np.ndarray, count: np.ndarray, order: int = ORDER) -> Model:
-    """The model of n-gram counts (codes ascending). Lower orders count the different characters before an n-gram."""
-    levels = [(code, count)]
-    for n in range(order - 1, 0, -1):
-        lower, each = np.unique(levels[0][0] & ((1 << 5 * n) - 1), return_counts=True)
-        levels.insert(0, (lower, each))
-    model = Model([], [], [], [])
-    for grams_n, count_n in levels:
-        d = discounts(count_n)
-        context, first = np.unique(grams_n >> 5, return_index=True)
-        first = np.append(first, len(grams_n))
-        total = group_sums(count_n, first)
-        cut = d[np.minimum(count_n, 3)]
-        gamma = group_sums(cut, first) / total
-        owner = np.repeat(np.arange(len(context)), np.diff(first))
-        below = np.exp(model.score(grams_n)) if model.codes else np.full(len(grams_n), 1 / CLASSES)
-        model.codes.append(grams_n)
-        model.logs.append(np.log((count_n - cut) / total[owner] + gamma[owner] * below))
-        model.contexts.append(context)
-        model.back.append(np.log(np.maximum(gamma, 1e-12)))
-    return model
-
-
-def _language(values: list[str | None]) -> np.ndarray:
-    known = {x: k for k, x in enumerate(LANGUAGES)}
-    return np.array([known.get(x, len(LANGUAGES)) for x in values], np.int64)
-
+_models: dict[tuple[str, int], Model] = {}
+#: Models that a worker keeps at most.
+KEPT = 16
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(language number, code, n): the n-grams of all documents."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for part, texts in steps(batches):
-            language = _language(part.column("lang").to_pylist())
-            code, first = grams(*classes(texts))
-            of = np.repeat(language, np.diff(first))
-            for k in np.unique(language):
-                if k not in total:
-                    total[k] = np.zeros(CLASSES**ORDER, np.int64)
-                total[k] += np.bincount(code[of == k], minlength=CLASSES**ORDER)
-        for k, counts in total.items():
-            code = np.flatnonzero(counts)
-            for begin in range(0, len(code), 100_000):
-                c = code[begin : begin + 100_000]
-                yield pa.record_batch([pa.array(np.full(len(c), k), pa.int32()), pa.array(c, pa.int32()), pa.array(counts[c])], ["language", "code", "n"])
-
-    found = docs.select("text", F.col("lang").cast("string")).mapInArrow(counted, "language int, code int, n long")
-    return found.groupBy("language", "code").agg(F.sum("n").alias("n"))
+def model_of(folder: str, number: int) -> Model:
+    key = folder, number
+    if key not in _models:
+        for old in [k for k in _models if k[0] != folder] or (list(_models)[:1] if len(_models) >= KEPT else []):
+            del _models[old]
+        _models[key] = load(folder, number)
+    return _models[key]
 
 
-def train(docs: DataFrame) -> dict[int, Model]:
-    """A model for each language number. Rows that reach the driver: CLASSES ** ORDER a language at most."""
-    table = count_grams(docs).toArrow()
-    language, code, n = (table.column(c).to_numpy() for c in ("language", "code", "n"))
-    models = {}
-    for k in np.unique(language):
-        own = language == k
-        order = np.argsort(code[own])
-        models[int(k)] = kneser_ney(code[own][order].astype(np.int64), n[own][order])
-    return models
+def train(docs: DataFrame) -> tuple[str, DataFrame]:
+    """The folder of the models, and (language, number): languages by their number of documents."""
+    ranked = docs.groupBy(language(F.col("lang")).alias("language")).agg(F.count("*").alias("n"))
+    numbers = ranked.select("language", (F.row_number().over(Window.orderBy(F.col("n").desc(), "language")) - 1).cast("int").alias("number"))  # a row a language
+    numbers = work.written(numbers, "languages")
+    return stored(kneser_ney(work.written(count_grams(docs), f"grams-{ORDER}")), numbers), numbers
 
 
-def measured(docs: DataFrame, models: dict[int, Model]) -> DataFrame:
+def measured(docs: DataFrame, folder: str, numbers: DataFrame) -> DataFrame:
     """doc_id, language, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity (per character)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    peers = [r.number for r in numbers.orderBy("number").limit(PEERS).collect()]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
         for part, texts in steps(batches):
-            language = _language(part.column("lang").to_pylist())
-            code, begin = grams(*classes(texts))
-            for k in np.unique([*shared.value, *language]):
-                if int(k) not in tables:
-                    model = shared.value.get(int(k))
-                    tables[int(k)] = model.table() if model else np.full(CLASSES**ORDER, -np.log(CLASSES), np.float32)
-            line = np.unique(np.concatenate([begin, np.flatnonzero((code & 31) == 29) + 1]))
-            owner = language[np.searchsorted(begin, line[:-1], "right") - 1]
+            number = part.column("number").to_numpy()
+            chars, begin = characters(texts)
+            code, back = np.unique(grams(chars, begin), return_inverse=True)
+            line = np.unique(np.concatenate([begin, np.flatnonzero(chars == 0x0A) + 1]))
+            owner = number[np.searchsorted(begin, line[:-1], "right") - 1]
             best = np.full(len(line) - 1, -np.inf)
-            for k, table in tables.items():
-                own = (owner == k) | (k in shared.value and k < len(LANGUAGES))
-                best = np.where(own, np.maximum(best, group_sums(table[code].astype(float), line)), best)
+            for k in dict.fromkeys([*peers, *number.tolist()]):
+                sums = group_sums(model_of(folder, k).score(code)[back], line)
+                best = np.where((owner == k) | (k in peers), np.maximum(best, sums), best)
             perplexity = -group_sums(best, np.searchsorted(line, begin)) / np.maximum(np.diff(begin), 1)
-            counts = base_counts(texts)
-            yield pa.record_batch([part.column("doc_id"), pa.array(language, pa.int32()), *(pa.array(x, pa.int64()) for x in counts), pa.array(perplexity)], ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
+            yield pa.record_batch([part.column("doc_id"), part.column("language"), *(pa.array(x, pa.int64()) for x in base_counts(texts)), pa.array(perplexity)], ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
 
-    read = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    return read.mapInArrow(scored, "doc_id long, language int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    read = docs.select(F.col("doc_id").cast("long"), "text", language(F.col("lang")).alias("language")).join(numbers, "language")
+    return read.mapInArrow(scored, "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
 
 
 def repeated(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,8 +294,8 @@ def bands(found: DataFrame, below: float, above: float, least: int) -> DataFrame
 
 def judged(docs: DataFrame, below: float = 6.0, above: float = 6.0, least: int = 50) -> DataFrame:
     """The counts of each document with base_failed, log_perplexity and kept."""
-    found = work.written(measured(docs, train(docs)), "perplexity")
+    found = work.written(measured(docs, *train(docs)), "perplexity")
     limits = bands(found, below, above, least)  # a row a language
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) | (F.col("n_words") < least)
-    return found.join(F.broadcast(limits), "language", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
+    return found.join(limits, "language", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
