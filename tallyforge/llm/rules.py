@@ -134,12 +134,13 @@ def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
     for n in range(order - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1))
         levels.insert(0, work.written(levels[0].groupBy("language", suffix.alias("code")).agg(F.count("*").alias("n")), f"grams-{n}"))
-    flat = levels[0].groupBy("language").agg((1 / (F.count("*") + 1)).alias("p"))
+    # tables of a row a language are written, so that Spark knows their size when it chooses how to join them
+    flat = work.written(levels[0].groupBy("language").agg((1 / (F.count("*") + 1)).alias("p")), "unknown")
     out = flat.select("language", F.lit(0).alias("level"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("code"), F.log("p").alias("value"))
     below = flat.select("language", F.lit(0).cast("long").alias("code"), "p")
     for n, level in enumerate(levels, 1):
         cut = F.element_at("cut", F.least(F.col("n"), F.lit(3)).cast("int"))
-        grams_n = level.join(discounts(level), "language").select("language", "code", "n", cut.alias("less"), F.shiftrightunsigned("code", BITS).alias("context"))
+        grams_n = level.join(work.written(discounts(level), "discounts"), "language").select("language", "code", "n", cut.alias("less"), F.shiftrightunsigned("code", BITS).alias("context"))
         contexts = grams_n.groupBy("language", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("back"))
         suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1)) if n > 1 else F.lit(0).cast("long")
         lower = below.select("language", F.col("code").alias("suffix"), F.col("p").alias("lower"))
