@@ -296,7 +296,7 @@ def bands(found: DataFrame, below: float, above: float, least: int) -> DataFrame
 def judged(docs: DataFrame, below: float = 6.0, above: float = 6.0, least: int = 50) -> DataFrame:
     """The counts of each document with base_failed, log_perplexity and kept."""
     found = work.written(measured(docs, *train(docs)), "perplexity")
-    limits = bands(found, below, above, least)  # a row a language
+    limits = work.written(bands(found, below, above, least), "bands")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) | (F.col("n_words") < least)
     return found.join(limits, "language", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
