@@ -1,15 +1,16 @@
 """An n-gram language model of the corpus in an Elias-Fano trie, in mapped files.
 
 Tokens are lowered words and an end for each text. The vocabulary is all of them: hashes in ascending order with their
-counts; a word's number is its place. Level 2 has the pairs, level 3 the triples that occur at least twice, as ascending
+counts; a word's number is its place. Level 2 has all pairs, level 3 all triples that occur, as ascending
 codes parent * fan + child in an Elias-Fano sequence: the parent is the context's node in the level above, and the child
 is the word's number at level 2, and at level 3 its place among the successors of the word before it, which the level's
 pointers (first child of each node, Elias-Fano again) give. Looking a word up is so a successor search relative to its
 context. Probabilities are Witten-Bell estimates, P(w | context) = a + back * P(w | shorter context), with a and back
 rounded down to steps of 0.04 in log10 (a byte each), so that a context's probabilities never exceed 1 together.
 
-Each level is cut by parent into parts of about equal size, each a file in the shared folder that workers map and read
-where it is, so nothing of the model is sent to or gathered by the driver but a row per file. Counting sends blocks of
+Each level is cut by parent into parts, more of them the more text there is (PART), each a file in the shared folder
+that workers map and read where it is, so nothing of the model is sent to or gathered by the driver but a row per file.
+A context's children are in one part, as its weights need all their counts. Counting sends blocks of
 ascending codes and their counts, summed within each partition first, so a frequent n-gram costs a few rows.
 
 Null texts are empty: one end. A null doc_id is learned from. Repeated rows count as often as they occur.
@@ -36,6 +37,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 STEP = 4 << 20
 #: Different n-grams that a task holds before it sends them on.
 HELD = 3_000_000
+#: Bytes of text for each part of a level, about.
+PART = 48 << 20
 BLOCK = "part int, codes binary, counts binary"
 QUANTUM = 0.04
 ADD = 0.1
@@ -266,13 +269,15 @@ def contexts(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.nda
     return number, count, first, [*chain, (context, child, None)]
 
 
-def learn(docs: DataFrame, order: int = 3, least: int = 2) -> Model:
+def learn(docs: DataFrame, order: int = 3, least: int = 1) -> Model:
     """The model of all of ``docs`` (text)."""
     spark = docs.sparkSession
     folder = work.shared_dir(spark, "trie")
     work.make_dir(folder)
-    n_parts = 1 << (max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
     texts_only = docs.select("text")
+    size = texts_only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART)
+    n_parts = 1 << (wanted - 1).bit_length()
 
     cuts = np.arange(n_parts + 1, dtype=np.uint64) * np.uint64((1 << BITS) // n_parts)
 
@@ -296,6 +301,8 @@ def _level(spark: SparkSession, texts_only: DataFrame, model: Model, folder: str
     above = model.levels[-1] if model.levels else None
     parents = above.nodes if above else model.vocabulary.nodes + 1
     fan = max(1, _widest(spark, above) if above else model.vocabulary.nodes)
+    if parents * fan >= 1 << 63:
+        raise OverflowError(f"level {level}: {parents} contexts of up to {fan} children do not fit a code of 63 bits")
     cuts = np.arange(n_parts + 1, dtype=np.int64) * parents // n_parts
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
