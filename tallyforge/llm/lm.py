@@ -36,9 +36,11 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text whose n-grams are looked up together.
 STEP = 4 << 20
 #: Different n-grams that a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Bytes of text for each part of a level, about.
-PART = 48 << 20
+PART = 16 << 20
+#: Bytes of a level's files that a worker keeps open; it opens others anew.
+MAPPED = 48 << 20
 BLOCK = "part int, codes binary, counts binary"
 QUANTUM = 0.04
 ADD = 0.1
@@ -87,13 +89,24 @@ class Parts:
         return f"{self.folder}/level{self.level}-{k:05d}.arrow"
 
 
+def loaded(level: Vocabulary | Level, k: int) -> dict[str, np.ndarray]:
+    """The arrays of a part; the others are closed first if they are too large together."""
+    arrays = load(level.parts.uri(k))
+    size = sum(x.nbytes for x in arrays.values())
+    if level.bytes + size > MAPPED:
+        level.open.clear()
+        level.bytes = 0
+    level.bytes += size
+    return arrays
+
+
 class Vocabulary:
     def __init__(self, parts: Parts):
-        self.parts, self.open = parts, {}
+        self.parts, self.open, self.bytes = parts, {}, 0
 
     def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.open:
-            arrays = load(self.parts.uri(k))
+            arrays = loaded(self, k)
             self.open[k] = arrays["hashes"].view(np.uint64), arrays["counts"].view(np.int64)
         return self.open[k]
 
@@ -125,11 +138,11 @@ class Level:
     """A level of the trie above the vocabulary."""
 
     def __init__(self, parts: Parts):
-        self.parts, self.open = parts, {}
+        self.parts, self.open, self.bytes = parts, {}, 0
 
     def part(self, k: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
         if k not in self.open:
-            arrays = load(self.parts.uri(k))
+            arrays = loaded(self, k)
             self.open[k] = EliasFano.of(arrays, "codes"), EliasFano.of(arrays, "pointers"), arrays["a"], arrays["back"]
         return self.open[k]
 
