@@ -71,8 +71,8 @@ class EliasFano:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         at = i * self.width
-        octets = self.low[(at >> 3)[:, None] + np.arange(8)]
-        return np.ascontiguousarray(octets).view(np.uint64).ravel() >> (at & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)
+        words = np.ndarray((len(self.low) - 7,), np.uint64, self.low, strides=(1,))  # the eight bytes from any byte on
+        return words[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.width) - 1)
 
     def _select(self, r: np.ndarray, zero: bool) -> np.ndarray:
         """Place of the r-th (from 0) clear or set bit."""
@@ -80,12 +80,16 @@ class EliasFano:
         word = np.searchsorted(before, r, "right") - 1
         left = (r - before[word]).astype(np.int64)
         bits = self.high[word]
-        octets = np.ascontiguousarray(~bits if zero else bits).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = np.minimum((upto <= left[:, None]).sum(axis=1), 7)
-        rows = np.arange(len(r))
-        left -= np.where(octet > 0, upto[rows, np.maximum(octet - 1, 0)], 0)
-        return word * 64 + octet * 8 + PLACE[octets[rows, octet], np.minimum(left, 7)]
+        bits = ~bits if zero else bits
+        place = word * 64
+        for half in (32, 16, 8):  # the half of what is left that has the bit
+            lower = bits & np.uint64((1 << half) - 1)
+            count = np.bitwise_count(lower)
+            above = left >= count
+            left -= np.where(above, count, 0)
+            place += np.where(above, half, 0)
+            bits = np.where(above, bits >> np.uint64(half), lower)
+        return place + PLACE[(bits & np.uint64(0xFF)).astype(np.int64), np.minimum(left, 7)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index."""

@@ -161,8 +161,8 @@ class Level:
         node[ok], a[ok] = found[back], value[back]
         return node, a
 
-    def of_parents(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First child's node and back-off weight of each context; unknown ones are -1: no child, weight 1."""
+    def of_parents(self, parent: np.ndarray, heads: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """First child's node (if ``heads``) and back-off weight of each context; unknown ones are -1: no child, weight 1."""
         first, weight = np.zeros(len(parent), np.int64), np.ones(len(parent))
         ok = np.flatnonzero(parent >= 0)
         wanted, back = np.unique(parent[ok], return_inverse=True)
@@ -170,7 +170,8 @@ class Level:
         for k, some in slices(wanted, self.parts.cuts):
             _, pointers, _, weights = self.part(k)
             at = wanted[some] - self.parts.cuts[k]
-            f[some], w[some] = pointers.get(at) + self.parts.base[k], VALUES[weights[at]]
+            f[some] = pointers.get(at) + self.parts.base[k] if heads else 0
+            w[some] = VALUES[weights[at]]
         first[ok], weight[ok] = f[back], w[back]
         return first, weight
 
@@ -262,8 +263,11 @@ class Model:
         return (count + ADD) / (self.total + ADD * (self.vocabulary.nodes + 1))
 
 
-def contexts(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Numbers, counts, first tokens, and for each level so far (context node, child, node, a) of every token."""
+def contexts(model: Model, texts: Texts, deeper: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Numbers, counts, first tokens, and for each level (context node, child, a, back-off weight) of every token.
+
+    ``deeper``: with the (context, child) of the level above the last one as well.
+    """
     hashes, first = tokens(texts)
     number, count = opened(model.vocabulary).numbers(hashes)
     begin = np.zeros(len(number), bool)
@@ -273,13 +277,14 @@ def contexts(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.nda
     child, chain = number, []
     for parts in model.levels:
         node, a = opened(parts).look_up(context, child)
-        chain.append((context, node, a))
-        # the next level's context is the node of the two tokens before, its child is the place among the last one's successors
-        head, _ = opened(parts).of_parents(context)
-        child = np.where(node >= 0, node - head, -1)
-        context = np.concatenate([[-1], node[:-1]])
-        context[begin] = -1
-    return number, count, first, [*chain, (context, child, None)]
+        more = deeper or parts is not model.levels[-1]
+        head, weight = opened(parts).of_parents(context, more)
+        chain.append((context, child, a, weight))
+        if more:  # the context is the node of the two tokens before, its child is the place among the last one's successors
+            child = np.where(node >= 0, node - head, -1)
+            context = np.concatenate([[-1], node[:-1]])
+            context[begin] = -1
+    return number, count, first, [*chain, (context, child)] if deeper else chain
 
 
 def learn(docs: DataFrame, order: int = 3, least: int = 1) -> Model:
@@ -321,7 +326,7 @@ def _level(spark: SparkSession, texts_only: DataFrame, model: Model, folder: str
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def codes() -> Iterator[np.ndarray]:
             for _, t in steps(batches, lower=True, size=STEP):
-                context, child, _ = contexts(model, t)[3][-1]
+                context, child = contexts(model, t)[3][-1]
                 ok = (context >= 0) & (child >= 0)
                 yield (context[ok] * fan + child[ok]).astype(np.uint64)
 
@@ -366,10 +371,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, lower=True, size=STEP):
-            _, count, first, chain = contexts(model, texts)
+            _, count, first, chain = contexts(model, texts, deeper=False)
             base = p = model.unigram(count)
-            for parts, (context, _, a) in zip(model.levels, chain, strict=False):
-                p = a + opened(parts).of_parents(context)[1] * p
+            for _, _, a, weight in chain:
+                p = a + weight * p
             sums = [pa.array(group_sums(np.log10(x), first)) for x in (base, p)]
             yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(group_sums(count > 0, first), pa.int64()), *sums], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
