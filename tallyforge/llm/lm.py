@@ -107,7 +107,7 @@ class Vocabulary:
     def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.open:
             arrays = loaded(self, k)
-            self.open[k] = arrays["hashes"].view(np.uint64), arrays["counts"].view(np.int64)
+            self.open[k] = arrays["hashes"].view(np.uint64), arrays["counts"].view(np.uint32 if len(arrays["counts"]) < len(arrays["hashes"]) else np.int64)
         return self.open[k]
 
     def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,34 +146,41 @@ class Level:
             self.open[k] = EliasFano.of(arrays, "codes"), EliasFano.of(arrays, "pointers"), arrays["a"], arrays["back"]
         return self.open[k]
 
-    def look_up(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node (or -1) and its a (or 0) of each child of a context; unknown parents and children are -1."""
-        node, a = np.full(len(parent), -1, np.int64), np.zeros(len(parent))
-        ok = np.flatnonzero((parent >= 0) & (child >= 0))
-        code, back = np.unique(parent[ok] * self.parts.fan + child[ok], return_inverse=True)
+    def both(self, parent: np.ndarray, child: np.ndarray, heads: bool = True) -> tuple[np.ndarray, ...]:
+        """Node (or -1) and its a (or 0) of each child of a context, first child's node (if ``heads``) and back-off weight of each context.
+
+        Unknown parents and children are -1; an unknown context has no child and weight 1. A part is opened once.
+        """
+        fan, cuts, base = self.parts.fan, self.parts.cuts, self.parts.base
+        ok, known = np.flatnonzero((parent >= 0) & (child >= 0)), np.flatnonzero(parent >= 0)
+        code, code_back = np.unique(parent[ok] * fan + child[ok], return_inverse=True)
+        wanted, wanted_back = np.unique(parent[known], return_inverse=True)
         found, value = np.full(len(code), -1, np.int64), np.zeros(len(code))
-        above = code // self.parts.fan
-        for k, some in slices(above, self.parts.cuts):
-            codes, _, weights, _ = self.part(k)
-            at = codes.find(code[some] - self.parts.cuts[k] * self.parts.fan)
-            found[some] = np.where(at >= 0, at + self.parts.base[k], -1)
-            value[some] = np.where(at >= 0, VALUES[weights[at]] if len(weights) else 0.0, 0.0)
-        node[ok], a[ok] = found[back], value[back]
-        return node, a
-
-    def of_parents(self, parent: np.ndarray, heads: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """First child's node (if ``heads``) and back-off weight of each context; unknown ones are -1: no child, weight 1."""
-        first, weight = np.zeros(len(parent), np.int64), np.ones(len(parent))
-        ok = np.flatnonzero(parent >= 0)
-        wanted, back = np.unique(parent[ok], return_inverse=True)
-        f, w = np.zeros(len(wanted), np.int64), np.ones(len(wanted))
-        for k, some in slices(wanted, self.parts.cuts):
-            _, pointers, _, weights = self.part(k)
-            at = wanted[some] - self.parts.cuts[k]
-            f[some] = pointers.get(at) + self.parts.base[k] if heads else 0
-            w[some] = VALUES[weights[at]]
-        first[ok], weight[ok] = f[back], w[back]
-        return first, weight
+        first, weight = np.zeros(len(wanted), np.int64), np.ones(len(wanted))
+        of_code = dict(slices(code // fan, cuts))
+        for k, some in slices(wanted, cuts):  # a code's parent is wanted as well
+            codes, pointers, weights, backs = self.part(k)
+            above = wanted[some] - cuts[k]
+            weight[some] = VALUES[backs[above]]
+            if heads:
+                first[some] = pointers.get(above) + base[k]
+            if k in of_code:
+                own = of_code[k]
+                at = codes.find(code[own] - cuts[k] * fan)
+                found[own] = np.where(at >= 0, at + base[k], -1)
+                value[own] = np.where(at >= 0, VALUES[weights[at]] if len(weights) else 0.0, 0.0)
+        n = len(parent)
+        node, a, head, back = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, np.int64), np.ones(n)
+        node[ok], a[ok], head[known], back[known] = found[code_back], value[code_back], first[wanted_back], weight[wanted_back]
+        return node, a, head, back
+
+    def look_up(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Node (or -1) and its a (or 0) of each child of a context."""
+        return self.both(parent, child, heads=False)[:2]
+
+    def of_parents(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child's node and back-off weight of each context."""
+        return self.both(parent, np.full(len(parent), -1))[2:]
 
 
 _opened: dict[str, Vocabulary | Level] = {}
@@ -276,9 +283,8 @@ def contexts(model: Model, texts: Texts, deeper: bool = True) -> tuple[np.ndarra
     context[begin] = model.vocabulary.nodes  # the start of a text
     child, chain = number, []
     for parts in model.levels:
-        node, a = opened(parts).look_up(context, child)
         more = deeper or parts is not model.levels[-1]
-        head, weight = opened(parts).of_parents(context, more)
+        node, a, head, weight = opened(parts).both(context, child, more)
         chain.append((context, child, a, weight))
         if more:  # the context is the node of the two tokens before, its child is the place among the last one's successors
             child = np.where(node >= 0, node - head, -1)
@@ -305,7 +311,7 @@ def learn(docs: DataFrame, order: int = 3, least: int = 1) -> Model:
     target = f"{folder}/level1"
 
     def write_words(k: int, code: np.ndarray, count: np.ndarray) -> tuple[int, int]:
-        save(f"{target}-{k:05d}.arrow", hashes=code, counts=count)
+        save(f"{target}-{k:05d}.arrow", hashes=code, counts=count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count)
         return len(code), int(count.sum())
 
     vocabulary, total = finish(spark, texts_only.mapInArrow(words, BLOCK), write_words, folder, 1, cuts, 0)
