@@ -113,47 +113,25 @@ def calibrated(p: Column, slope: float, intercept: float) -> Column:
     return F.round(stats.sigmoid(slope * stats.logit(p) + intercept), 3)
 
 
-def fit_calibration(pairs: DataFrame, rounds: int = 100) -> tuple[float, float]:
-    """Platt's slope and intercept for (posterior, correct), by Newton's method on sums over all pairs.
+def fit_calibration(pairs: DataFrame) -> tuple[float, float]:
+    """Platt's slope and intercept for (posterior, correct).
 
-    Each round is one aggregation to a single row. Smoothed targets and backtracking after Lin, Lin and Weng (2007).
+    A logistic regression on the log odds, by Spark's own solver. Platt's smoothed targets are weights: a pair with
+    target t is an example of class 1 with weight t and one of class 0 with weight 1 - t. Pairs of equal log odds
+    are summed first.
     """
-    data = pairs.select(stats.logit(F.col("posterior")).alias("z"), "correct").cache()
-    n, right = data.agg(F.count("*"), F.sum(F.col("correct").cast("int"))).first()
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    n, right = pairs.agg(F.count("*"), F.count_if("correct")).first()
     if not n:
-        data.unpersist()
         return 1.0, 0.0
     target = F.when(F.col("correct"), (right + 1) / (right + 2)).otherwise(1 / (n - right + 2))
-
-    def loss(points: list[tuple[float, float]]) -> list[float]:
-        def one(a: float, b: float) -> Column:
-            s = a * F.col("z") + b
-            return F.sum(F.greatest(s, F.lit(0.0)) + F.log1p(F.exp(-F.abs(s))) - target * s)
-
-        return list(data.agg(*(one(*p).alias(f"l{k}") for k, p in enumerate(points))).first())
-
-    share = (right + 1) / (n + 2)
-    a, b = 0.0, math.log(share / (1 - share))
-    current = loss([(a, b)])[0]
-    for _ in range(rounds):
-        q = stats.sigmoid(a * F.col("z") + b)
-        d, w, z = q - target, q * (1 - q), F.col("z")
-        ga, gb, haa, hab, hbb = data.agg(*(F.sum(x) for x in (d * z, d, w * z * z, w * z, w))).first()
-        haa, hbb = haa + 1e-12, hbb + 1e-12
-        determinant = haa * hbb - hab * hab
-        if abs(ga) + abs(gb) < 1e-6 or determinant <= 1e-12:
-            break
-        da, db = (hbb * ga - hab * gb) / determinant, (haa * gb - hab * ga) / determinant
-        gain = ga * da + gb * db
-        sizes = [0.5**k for k in range(34)]
-        losses = loss([(a - s * da, b - s * db) for s in sizes])  # all step sizes at once
-        fits = [(s, x) for s, x in zip(sizes, losses, strict=True) if x <= current - 1e-4 * s * gain]
-        if not fits:
-            break
-        step, current = fits[0]
-        a, b = a - step * da, b - step * db
-    data.unpersist()
-    return round(max(a, 1e-3), 6), round(b, 6)
+    sums = pairs.groupBy(stats.logit(F.col("posterior")).alias("z")).agg(F.sum(target).alias("yes"), F.sum(1 - target).alias("no"))
+    classes = F.array(*(F.struct(F.lit(label).alias("label"), F.col(weight).alias("weight")) for label, weight in ((1.0, "yes"), (0.0, "no"))))
+    examples = VectorAssembler(inputCols=["z"], outputCol="features").transform(sums.select("z", F.inline(classes)))
+    model = LogisticRegression(weightCol="weight", maxIter=200, tol=1e-12, standardization=False).fit(examples)
+    return round(max(float(model.coefficients[0]), 1e-3), 6), round(float(model.intercept), 6)
 
 
 def metrics(pairs: DataFrame, threshold: float) -> DataFrame:

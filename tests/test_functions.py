@@ -1,6 +1,7 @@
 """Scalar functions against small tables of examples."""
 
 import hashlib
+import random
 import re
 import uuid
 from datetime import date, datetime
@@ -63,6 +64,15 @@ def test_merchant_keys_and_their_patterns(spark):
     assert not re.search(text.merchant_pattern("ACME"), "ACME TOOLS")
 
 
+def test_merchant_pattern_finds_the_descriptions_of_its_key(spark):
+    rng = random.Random(3)
+    words = ["SQ", "POS", "ACME", "Tools", "x1", "O'NEIL", "web"]
+    said = sorted({rng.choice(["", "12 ", "#"]) + rng.choice([" ", "*", " 7 "]).join(rng.choices(words, k=rng.randint(0, 4))) + rng.choice(["", " 9", "!"]) for _ in range(150)})
+    keys = {r.d: r.k for r in spark.createDataFrame([(d,) for d in said], "d string").select("d", text.merchant_key(F.col("d")).alias("k")).collect()}
+    for key in sorted(set(keys.values()) - {""}):
+        assert {d for d in said if re.search(text.merchant_pattern(key), d)} == {d for d in said if keys[d] == key}, key
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Pacific/Kiritimati", "Etc/GMT+12", "America/New_York", "Australia/Lord_Howe"])
 def test_day_anchor_is_on_the_day_in_both_zones(spark, zone):
     days = [date(2024, 1, 1), date(2024, 3, 10), date(2024, 10, 6), date(2024, 11, 3)]

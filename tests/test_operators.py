@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import money
@@ -81,13 +82,19 @@ def test_runs_and_last_before(spark):
 
 
 def roll(flows, quantity="12", old="10", basis="100", prices=(("2024-01-05", "11"),), lag=0):
-    step = {"start": date(2024, 1, 1), "end": date(2024, 1, 31), "old_quantity": Decimal(old), "old_basis": Decimal(basis), "quantity": Decimal(quantity), "settlement_days": lag}
-    as_day = date.fromisoformat
-    return holdings.roll(step, [(as_day(d), Decimal(a), None if s is None else Decimal(s)) for d, a, s in flows], [(as_day(d), Decimal(p)) for d, p in prices])
-
-
-def test_rolled_cost():
-    assert roll([("2024-01-05", "22", "1")]) == (Decimal(100) + 22) / 12
+    """The rolled cost of one asset; flows: (day, amount, share), share None for a description that is not listed."""
+    spark = SparkSession.getActiveSession()
+    as_day, q = date.fromisoformat, "decimal(28,10)"
+    steps = spark.createDataFrame([("a", "s", "n", date(2024, 1, 1), date(2024, 1, 31), Decimal(old), Decimal(basis), Decimal(quantity), lag)], f"asset_id string, source_id string, name_key string, start date, end date, old_quantity {q}, old_basis {q}, quantity {q}, settlement_days int")
+    rows = spark.createDataFrame([("s", as_day(d), Decimal(a), f"d{k}", False) for k, (d, a, _) in enumerate(flows)], f"source_id string, posted_day date, amount {q}, description string, pending boolean")
+    shares = spark.createDataFrame([("s", f"d{k}", "n", Decimal(x)) for k, (_, _, x) in enumerate(flows) if x is not None], f"source_id string, description string, name_key string, share {q}")
+    quotes = spark.createDataFrame([("a", as_day(d), Decimal(p)) for d, p in prices], f"asset_id string, day date, price {q}")
+    (found,) = holdings.rolled_forward(steps, rows, shares, quotes).collect()
+    return found.rolled_cost
+
+
+def test_rolled_cost(spark):
+    assert roll([("2024-01-05", "22", "1")]) == round((Decimal(100) + 22) / 12, 10)
     assert roll([], quantity="8") == Decimal(10)
     assert roll([("2024-01-05", "22", None)]) is None
     assert roll([("2024-01-05", "22", "1"), ("2024-01-06", "-5", None)]) is None
@@ -95,7 +102,7 @@ def test_rolled_cost():
     assert roll([("2024-02-05", "22", "1")]) is None
     assert roll([("2024-01-05", "22", "0")]) is None
     assert roll([("2024-01-30", "22", "1")], lag=3) is None
-    assert roll([("2024-01-05", "44", "0.5")]) == (Decimal(100) + 22) / 12
+    assert roll([("2024-01-05", "44", "0.5")]) == round((Decimal(100) + 22) / 12, 10)
 
 
 def test_rolled_cost_in_spark_and_precedence(spark):
@@ -105,7 +112,7 @@ def test_rolled_cost_in_spark_and_precedence(spark):
     shares = spark.createDataFrame([("s", "buy", "F", Decimal(1))], "source_id string, description string, name_key string, share decimal(28,10)")
     prices = spark.createDataFrame([("asset", d, Decimal(11))], "asset_id string, day date, price decimal(28,10)")
     found = holdings.rolled_forward(steps, flows, shares, prices).collect()
-    assert abs(Decimal(found[0].rolled_cost) - Decimal(122) / 12) < Decimal("1e-20")
+    assert found[0].rolled_cost == round(Decimal(122) / 12, 10)  # an amount of money, as all others
     names = "source_id string, position_id string, symbol string, description string, quantity decimal(28,10), value decimal(28,10), currency string, cost_basis decimal(28,10), purchase_price decimal(28,10)"
     rows = [("s", "1", "A", "a", 2, 20, "USD", 10, 7), ("s", "2", "B", "b", 2, 20, None, 0, 7), ("s", "3", "C", "c", 2, 20, "USD", None, None), ("s", "4", "", "cash", 1, 5, "USD", None, None), ("s", "5", "D", "d", -1, 5, "USD", None, None), ("s", "6", "E", "e", 0, 0, "USD", None, None)]
     rows = [tuple(Decimal(x) if isinstance(x, int) else x for x in r) for r in rows]
