@@ -383,10 +383,10 @@ DEFAULTS = {"1": {"default": "A", "patterns": {"(?i)ring": "B", "(?i)pos": "C"}}
 
 @query(
     f"""WITH {ad.TX_SQL} SELECT id, CASE account_id WHEN 1 THEN CASE WHEN regexp_matches(description, '(?i)ring') THEN 'B' WHEN regexp_matches(description, '(?i)pos') THEN 'C' ELSE 'A' END
-  WHEN 2 THEN CASE WHEN regexp_matches(description, '^Pay') THEN 'D' END WHEN 3 THEN 'E' END AS value FROM tx WHERE account_id BETWEEN 1 AND 4"""
+  WHEN 2 THEN CASE WHEN regexp_matches(description, '^Pay') THEN 'D' END WHEN 3 THEN 'E' END AS value FROM tx"""
 )
 def account_default_first_pattern(spark, folder):
-    rows = ad.transactions(spark, folder).where("account_id between 1 and 4").withColumnRenamed("description", "notes")
+    rows = ad.transactions(spark, folder).withColumnRenamed("description", "notes")
     return rules.account_default(rows, DEFAULTS, "value").select("id", "value")
 
 
@@ -536,10 +536,10 @@ def _merchant_rows(spark, folder) -> DataFrame:
     rows, n = ad.transactions(spark, folder), F.col("id")
     ids = F.when((n % 7 == 0) & (F.length("merchant") % 3 != 0), F.array(F.concat(F.lit("c"), F.length("merchant") % 4))).otherwise(F.array().cast("array<string>"))
     words = F.transform(F.split("merchant", " "), lambda w: F.concat(F.lit("w:"), w))
-    return rows.where("account_id % 3 <> 0 or length(merchant) % 2 = 0").select("id", n.alias("ord"), "merchant", "kind", "amount", ids.alias("category_ids"), F.lit(0).alias("splits"), F.when(n % 14 == 0, "manual").otherwise("rule").alias("source"), words.alias("features"), F.col("description").alias("notes"), F.lit(None).cast("string").alias("payee"), F.lit(None).cast("string").alias("mcc"), "account_kind")
+    return rows.select("id", n.alias("ord"), "merchant", "kind", "amount", ids.alias("category_ids"), F.lit(0).alias("splits"), F.when(n % 14 == 0, "manual").otherwise("rule").alias("source"), words.alias("features"), F.col("description").alias("notes"), F.lit(None).cast("string").alias("payee"), F.lit(None).cast("string").alias("mcc"), "account_kind")
 
 
-MR_SQL = "mr AS (SELECT id, merchant, kind, amount, account_kind, description, CASE WHEN id % 7 = 0 AND length(merchant) % 3 <> 0 THEN 'c' || (length(merchant) % 4) END AS c, id % 14 = 0 AS manual FROM tx WHERE (account_id % 3 <> 0 OR length(merchant) % 2 = 0))"
+MR_SQL = "mr AS (SELECT id, merchant, kind, amount, account_kind, description, CASE WHEN id % 7 = 0 AND length(merchant) % 3 <> 0 THEN 'c' || (length(merchant) % 4) END AS c, id % 14 = 0 AS manual FROM tx)"
 
 
 @query(f"WITH {ad.TX_SQL}, {MR_SQL} SELECT merchant, CAST(sum(abs(amount)) AS DOUBLE) AS dollars FROM mr WHERE merchant <> '' GROUP BY merchant HAVING NOT bool_or(c IS NOT NULL OR starts_with(kind, 'TRANSFER'))")
@@ -605,16 +605,16 @@ def nb_stats(spark, folder):
 
 
 @query(
-    f"""WITH {ad.TX_SQL}, {EX_SQL}, tr AS (SELECT * FROM ex WHERE id % 5 <> 0), {NB_SQL.format(train='tr')}, q AS (SELECT id, unnest(features) AS feature FROM ex WHERE id % 5 = 0), known AS (SELECT q.* FROM q WHERE feature IN (SELECT feature FROM fs)),
+    f"""WITH {ad.TX_SQL}, {EX_SQL}, tr AS (SELECT * FROM ex WHERE id % 5 <> 0), {NB_SQL.format(train='tr')}, q AS (SELECT id, unnest(features) AS feature FROM ex), known AS (SELECT q.* FROM q WHERE feature IN (SELECT feature FROM fs)),
 sc AS (SELECT i.id, cl.label, ln((prior + 1) / (w + k)) + coalesce(sum(CASE WHEN kn.feature IS NOT NULL THEN ln((coalesce(fs.weight, 0) + 0.5) / (total + 0.5 * (v + 1))) END), 0) AS s
-  FROM (SELECT id FROM ex WHERE id % 5 = 0) i CROSS JOIN cl JOIN ct USING (label) CROSS JOIN v CROSS JOIN w LEFT JOIN known kn ON kn.id = i.id LEFT JOIN fs ON fs.label = cl.label AND fs.feature = kn.feature GROUP BY i.id, cl.label, prior, w, k),
+  FROM (SELECT id FROM ex) i CROSS JOIN cl JOIN ct USING (label) CROSS JOIN v CROSS JOIN w LEFT JOIN known kn ON kn.id = i.id LEFT JOIN fs ON fs.label = cl.label AND fs.feature = kn.feature GROUP BY i.id, cl.label, prior, w, k),
 p AS (SELECT id, label, exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s - max_s)) OVER (PARTITION BY id) AS posterior FROM (SELECT *, max(s) OVER (PARTITION BY id) AS max_s FROM sc))
 SELECT id, label, round(posterior, 6) AS posterior FROM p"""
 )
 def nb_predict(spark, folder):
     rows = _examples(spark, folder)
     model = naive_bayes.fit(rows.where("id % 5 <> 0"), ["k0", "k1", "k2"])
-    return naive_bayes.scores(rows.where("id % 5 = 0"), model).select("id", "label", F.round("posterior", 6).alias("posterior"))
+    return naive_bayes.scores(rows, model).select("id", "label", F.round("posterior", 6).alias("posterior"))
 
 
 def _pairs(spark, folder) -> DataFrame:
@@ -652,9 +652,23 @@ def class_summary(spark, folder):
     return views.class_summary(_examples(spark, folder))
 
 
-@query(None)
+OUT_OF_FOLD_SQL = f"""WITH {ad.TX_SQL}, {EX_SQL},
+ef AS (SELECT *, list_sum(list_transform(string_split(sha1(features[1]), ''), lambda d: instr('0123456789abcdef', d) - 1))::INTEGER % 5 AS fold FROM ex),
+tr AS (SELECT h, ef.* FROM ef, range(5) r(h) WHERE fold <> h), fe AS (SELECT h, label, weight, unnest(features) AS feature FROM tr),
+fs AS (SELECT h, label, feature, sum(weight) AS weight FROM fe GROUP BY ALL), cl AS (SELECT h, label, sum(weight) AS prior FROM tr GROUP BY ALL), ct AS (SELECT h, label, sum(weight) AS total FROM fe GROUP BY ALL),
+v AS (SELECT h, count(DISTINCT feature) AS v FROM fe GROUP BY h), w AS (SELECT h, sum(prior) AS w, count(*) AS k FROM cl GROUP BY h),
+kn AS (SELECT q.* FROM (SELECT id, fold AS h, unnest(features) AS feature FROM ef) q SEMI JOIN fs ON q.h = fs.h AND q.feature = fs.feature),
+sc AS (SELECT i.id, i.truth, cl.label, ln((prior + 1) / (w + k)) + coalesce(sum(CASE WHEN kn.feature IS NOT NULL THEN ln((coalesce(fs.weight, 0) + 0.5) / (total + 0.5 * (v + 1))) END), 0) AS s
+  FROM (SELECT id, fold AS h, label AS truth FROM ef) i JOIN cl ON cl.h = i.h JOIN ct ON ct.h = i.h AND ct.label = cl.label JOIN v ON v.h = i.h JOIN w ON w.h = i.h LEFT JOIN kn ON kn.id = i.id
+  LEFT JOIN fs ON fs.h = i.h AND fs.label = cl.label AND fs.feature = kn.feature GROUP BY i.id, i.truth, cl.label, prior, w, k),
+p AS (SELECT id, truth, label, exp(s - max_s) / sum(exp(s - max_s)) OVER (PARTITION BY id) AS posterior FROM (SELECT *, max(s) OVER (PARTITION BY id) AS max_s FROM sc))
+SELECT id, truth, label AS guess, round(posterior, 6) AS posterior FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(posterior, 9) DESC, label) = 1"""
+
+
+@query(OUT_OF_FOLD_SQL)
 def out_of_fold_guesses(spark, folder):
-    return naive_bayes.out_of_fold(_examples(spark, folder), ["k0", "k1", "k2"])
+    found = naive_bayes.out_of_fold(_examples(spark, folder), ["k0", "k1", "k2"])
+    return found.select("id", "truth", "guess", F.round("posterior", 6).alias("posterior"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")
@@ -669,12 +683,12 @@ def event_tiles(spark, folder):
 ANCHOR_SQL = """SELECT day, zone, CASE WHEN noon >= lo AND noon < hi THEN noon WHEN lo < hi THEN make_timestamp((epoch_us(lo) + epoch_us(hi)) // 2) END AS at FROM (
 SELECT day, zone, greatest(b, u) AS lo, least(e, u + INTERVAL 1 DAY) AS hi, noon FROM (SELECT day, zone, CAST(day AS TIMESTAMP) AS u,
   timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP))) AS b, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY)) AS e, timezone('UTC', timezone(zone, CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR)) AS noon
-  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), (VALUES ('UTC'), ('America/New_York'), ('Pacific/Kiritimati'), ('Etc/GMT+12'), ('Asia/Kolkata')) z(zone)))"""
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), (VALUES ('UTC'), ('America/New_York'), ('Pacific/Kiritimati'), ('Etc/GMT+12'), ('Asia/Kolkata')) z(zone)))"""
 
 
 @query(ANCHOR_SQL)
 def day_anchor(spark, folder):
-    days = ad.table(spark, folder, "orders").where("o_orderdate < timestamp '1998-01-01'").select(F.to_date("o_orderdate").alias("day")).distinct()
+    days = ad.table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     zones = [F.lit(z) for z in ("UTC", "America/New_York", "Pacific/Kiritimati", "Etc/GMT+12", "Asia/Kolkata")]
     rows = days.select("day", F.explode(F.array(*zones)).alias("zone"))
     return rows.select("day", "zone", money.day_anchor(F.col("day"), F.col("zone")).cast("timestamp_ntz").alias("at"))
@@ -779,7 +793,7 @@ def suggest_category(spark, folder):
 
 @query(None)
 def calibration(spark, folder):
-    slope, intercept = naive_bayes.fit_calibration(_pairs(spark, folder).where("confidence > 0").select(F.col("confidence").alias("posterior"), (F.col("guess") == F.col("truth")).alias("correct")))
+    slope, intercept = naive_bayes.fit_calibration(_pairs(spark, folder).select(F.col("confidence").alias("posterior"), (F.col("guess") == F.col("truth")).alias("correct")))
     return spark.createDataFrame([(slope, intercept)], "slope double, intercept double")
 
 
@@ -787,5 +801,4 @@ def calibration(spark, folder):
 def prediction_reasons(spark, folder):
     rows = _examples(spark, folder)
     model = naive_bayes.fit(rows.where("id % 5 <> 0"), ["k0", "k1", "k2"])
-    few = rows.where("id % 5 = 0")
-    return naive_bayes.reasons(few, model, naive_bayes.scores(few, model)).select("id", F.to_json("reasons").alias("reasons"))
+    return naive_bayes.reasons(rows, model, naive_bayes.scores(rows, model)).select("id", F.to_json("reasons").alias("reasons"))

@@ -22,7 +22,7 @@ STRONG, MIN_LIFT = 3, math.log(1.25)
 
 @dataclass
 class Statistics:
-    """class_stats: label, prior, total; feature_stats: label, feature, weight, seen; vocabulary size and weight of all."""
+    """class_stats: label, ord, prior, total; feature_stats: label, feature, weight, seen; vocabulary size and weight of all."""
 
     classes: list[str]
     class_stats: DataFrame
@@ -36,31 +36,43 @@ def fit(examples: DataFrame, classes: list[str]) -> Statistics:
     exploded = examples.select("label", "weight", F.explode("features").alias("feature"))
     features = exploded.groupBy("label", "feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("seen"))
     prior = examples.groupBy("label").agg(F.sum("weight").alias("prior"))
-    total = exploded.groupBy("label").agg(F.sum("weight").alias("total"))
+    total = features.groupBy("label").agg(F.sum("weight").alias("total"))
     every = spark.createDataFrame([(c, k) for k, c in enumerate(classes)], "label string, ord int")
     by_class = every.join(prior, "label", "left").join(total, "label", "left").fillna(0.0, ["prior", "total"])
-    size, weight = exploded.agg(F.count_distinct("feature")).first()[0], examples.agg(F.sum("weight")).first()[0] or 0.0
+    size, weight = features.agg(F.count_distinct("feature")).first()[0], examples.agg(F.sum("weight")).first()[0] or 0.0
     return Statistics(classes, by_class, features, size, weight)
 
 
+def _scored(rows: DataFrame, features: DataFrame, models: DataFrame, classes: list[str]) -> DataFrame:
+    """(id, label, ord, posterior) of rows (id, model, features) by the model that each one names.
+
+    features: model, feature, label, weight; models: model, vocabulary, weight, classes (array of prior and total in
+    the order of ``classes``). A feature's weights are side by side in one row, so a row's features are joined once and
+    summed once for all classes.
+    """
+    wide = features.groupBy("model", "feature").agg(*(F.ln((F.coalesce(F.sum(F.when(F.col("label") == c, F.col("weight"))), F.lit(0.0)) + ALPHA) / ALPHA).alias(f"g{k}") for k, c in enumerate(classes)))
+    found = rows.select("id", "model", F.explode("features").alias("feature")).join(wide, ["model", "feature"])
+    sums = found.groupBy("id").agg(F.count("*").alias("n"), F.array(*(F.sum(f"g{k}") for k in range(len(classes)))).alias("gains"))
+    every = rows.select("id", "model").join(sums, "id", "left").join(F.broadcast(models), "model")  # a row a fold
+
+    def log_score(k: int) -> Column:
+        prior, total = F.col("classes")[k]["prior"], F.col("classes")[k]["total"]
+        empty = F.ln(ALPHA / (total + ALPHA * (F.col("vocabulary") + 1)))
+        return F.ln((prior + 1) / (F.col("weight") + len(classes))) + F.coalesce("n", F.lit(0)) * empty + F.coalesce(F.col("gains")[k], F.lit(0.0))
+
+    scores = every.select("id", F.array(*(log_score(k) for k in range(len(classes)))).alias("s")).withColumn("top", F.array_max("s"))
+    powers = scores.select("id", F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    labels = F.array(*map(F.lit, classes))
+    return powers.withColumn("whole", whole).select("id", "whole", F.posexplode("e").alias("ord", "e")).select("id", F.get(labels, F.col("ord")).alias("label"), "ord", (F.col("e") / F.col("whole")).alias("posterior"))
+
+
 def scores(rows: DataFrame, model: Statistics) -> DataFrame:
-    """(id, label, posterior) of every row and class."""
-    prior = F.ln((F.col("prior") + 1) / (model.weight + len(model.classes)))
-    empty = F.ln(ALPHA / (F.col("total") + ALPHA * (model.vocabulary + 1)))
-    classes = F.broadcast(model.class_stats.select("label", "ord", "total", prior.alias("log_prior"), empty.alias("log_empty")))  # a row a class
-    known = model.feature_stats.select("feature").distinct()
-    found = rows.select("id", F.explode("features").alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("times"))
-    found = found.join(known, "feature", "left_semi")
-    size = found.groupBy("id").agg(F.sum("times").alias("n"))
-    weighted = found.join(model.feature_stats, "feature").join(classes, "label")
-    gain = F.ln((F.col("weight") + ALPHA) / F.lit(ALPHA))
-    gains = weighted.groupBy("id", "label").agg(F.sum(F.col("times") * gain).alias("gain"))
-    every = rows.select("id").join(size, "id", "left").crossJoin(classes).join(gains, ["id", "label"], "left")
-    total = F.col("log_prior") + F.coalesce("n", F.lit(0)) * F.col("log_empty") + F.coalesce("gain", F.lit(0.0))
-    by_row = Window.partitionBy("id")
-    every = every.withColumn("score", total)
-    every = every.withColumn("e", F.exp(F.col("score") - F.max("score").over(by_row)))
-    return every.select("id", "label", "ord", (F.col("e") / F.sum("e").over(by_row)).alias("posterior"))
+    """(id, label, ord, posterior) of every row and class."""
+    one = F.lit(0).alias("model")
+    of_class = F.array_sort(F.collect_list(F.struct("ord", "prior", "total")))
+    models = model.class_stats.agg(of_class.alias("classes")).select(one, F.lit(model.vocabulary).alias("vocabulary"), F.lit(model.weight).alias("weight"), "classes")
+    return _scored(rows.select("id", one, "features"), model.feature_stats.select(one, "feature", "label", "weight"), models, model.classes)
 
 
 def best(scored: DataFrame) -> DataFrame:
@@ -97,16 +109,28 @@ def fold_column(features: Column, identity: Column) -> Column:
 def out_of_fold(examples: DataFrame, classes: list[str], k: int = 5) -> DataFrame:
     """(id, truth, guess, posterior): each example by a model that never saw its merchant.
 
-    A model for each held fold, from sums over the other folds, so that features seen only there are not in its
-    vocabulary.
+    Sums by fold are taken once; the model of a held fold is what the other folds' sums make, so that features seen
+    only in the held one are not in its vocabulary.
     """
-    folded = examples.withColumn("fold", fold_column(F.col("features"), F.col("id")))
-    parts = None
-    for held in range(k):
-        own = folded.where(F.col("fold") == held)
-        guess = best(scores(own, fit(folded.where(F.col("fold") != held), classes))).join(own.select("id", F.col("label").alias("truth")), "id")
-        parts = guess if parts is None else parts.unionByName(guess)
-    return parts.select("id", "truth", "guess", "posterior")
+    folded = examples.withColumn("model", fold_column(F.col("features"), F.col("id")))
+    every = F.explode(F.array(*map(F.lit, range(k)))).alias("held")
+
+    def others(sums: DataFrame, keys: list[str]) -> DataFrame:
+        """Weights and counts of all folds but the held one."""
+        return sums.select("*", every).where("held <> model").groupBy("held", *keys).agg(F.sum("weight").alias("weight"), F.sum("seen").alias("seen")).withColumnRenamed("held", "model")
+
+    count = F.count("*").alias("seen")
+    features = others(folded.select("model", "label", "weight", F.explode("features").alias("feature")).groupBy("model", "label", "feature").agg(F.sum("weight").alias("weight"), count), ["label", "feature"])
+    prior = others(folded.groupBy("model", "label").agg(F.sum("weight").alias("weight"), count), ["label"])
+    total = features.groupBy("model", "label").agg(F.sum("weight").alias("total"))
+    listed = examples.sparkSession.createDataFrame([(c, o, h) for o, c in enumerate(classes) for h in range(k)], "label string, ord int, model int")
+    by_class = listed.join(prior.select("model", "label", F.col("weight").alias("prior")), ["model", "label"], "left").join(total, ["model", "label"], "left").fillna(0.0, ["prior", "total"])
+    models = by_class.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ord", "prior", "total"))).alias("classes"))
+    size = features.groupBy("model").agg(F.count_distinct("feature").alias("vocabulary"))
+    weight = prior.groupBy("model").agg(F.sum("weight").alias("weight"))
+    models = models.join(size, "model").join(weight, "model").select("model", "vocabulary", "weight", "classes")
+    guess = best(_scored(folded.select("id", "model", "features"), features.select("model", "feature", "label", "weight"), models, classes))
+    return guess.join(examples.select("id", F.col("label").alias("truth")), "id").select("id", "truth", "guess", "posterior")
 
 
 def calibrated(p: Column, slope: float, intercept: float) -> Column:

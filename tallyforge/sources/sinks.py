@@ -48,16 +48,36 @@ def newer_kept(observed: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a folder's content: written aside first, then renamed, so that readers see the old or the new one."""
+    """Replace a folder's content: written aside, then the old folder is renamed away and the new one renamed in.
+
+    Nothing is deleted before the new content is in place. After a crash between the two renames there is no folder of
+    that name for a moment, but both contents are whole beside it, and ``recover`` puts one back.
+    """
     spark: SparkSession = df.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    aside, before = (f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex[:12]}" for word in ("new", "old"))
     df.write.parquet(aside)
     jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    target, source, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside, before))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"could not rename {path} to {before}")
     if not fs.rename(source, target):
-        raise OSError(f"could not rename {aside} to {path}")
+        raise OSError(f"could not rename {aside} to {path}; the old content is {before}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back what a swap that did not end left beside ``path``: the new content if it is whole, else the old."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return False
+    beside = [x.getPath() for word in ("new", "old") for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}.{word}-*"))]
+    for found in beside:
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(found, "_SUCCESS")):
+            return bool(fs.rename(found, target))
+    return False
 
 
 def report(df: DataFrame, path: str) -> None:
