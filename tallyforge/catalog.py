@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import money, stats, text
 from .operators import asof, balances, holdings, merge_plan, rules, validation
 from .plans import adapters as ad
-from .plans import decisions, naive_bayes, proposals, views
+from .plans import actions, decisions, naive_bayes, proposals, views
 from .sources import sinks
 from .streaming import replay
 
@@ -802,3 +802,178 @@ def prediction_reasons(spark, folder):
     rows = _examples(spark, folder)
     model = naive_bayes.fit(rows.where("id % 5 <> 0"), ["k0", "k1", "k2"])
     return naive_bayes.reasons(rows, model, naive_bayes.scores(rows, model)).select("id", F.to_json("reasons").alias("reasons"))
+
+
+# Actions: what they write, and how they are taken back
+
+
+def _choices(spark, folder) -> DataFrame:
+    keys = _merchant_rows(spark, folder).where("merchant <> '' and length(merchant) % 2 = 0").select("merchant").distinct()
+    return keys.select("merchant", F.concat(F.lit("c"), (F.length("merchant") + 1) % 4).alias("category_id"), F.lit(None).cast("string").alias("note"))
+
+
+def _known_rules(spark, folder) -> DataFrame:
+    own = _choices(spark, folder).where("length(merchant) % 3 = 0")
+    return own.select(actions.rule_of("rules", F.col("merchant")).alias("rule_id"), F.to_json(F.struct("merchant")).alias("rule"))
+
+
+CHOICES_SQL = "ch AS (SELECT DISTINCT merchant, 'c' || ((length(merchant) + 1) % 4) AS category_id FROM mr WHERE merchant <> '' AND length(merchant) % 2 = 0)"
+
+
+@query(f"WITH {ad.TX_SQL}, {MR_SQL}, {CHOICES_SQL} SELECT merchant, category_id AS value, count(*) FILTER (c IS NULL) AS filled, count(*) FILTER (c <> category_id) AS kept, length(merchant) % 3 = 0 AS replaced FROM ch JOIN mr USING (merchant) GROUP BY ALL")
+def categorise_keys(spark, folder):
+    entries, _ = actions.categorised_keys(_choices(spark, folder), _merchant_rows(spark, folder), _known_rules(spark, folder), "me", "act")
+    return entries.select("merchant", "value", "filled", "kept", F.col("previous_rule").isNotNull().alias("replaced"))
+
+
+@query(f"WITH {ad.TX_SQL}, {MR_SQL}, {CHOICES_SQL} SELECT id, category_id AS value FROM mr JOIN ch USING (merchant) WHERE c IS NULL")
+def categorise_keys_fills(spark, folder):
+    return actions.categorised_keys(_choices(spark, folder), _merchant_rows(spark, folder), _known_rules(spark, folder), "me", "act")[1].select("id", "value")
+
+
+@query(f"WITH {ad.TX_SQL}, {MR_SQL} SELECT CAST(id AS BIGINT) AS activity_id, 'c9' AS value, c AS was FROM mr WHERE id % 3 = 0")
+def categorise_rows(spark, folder):
+    rows = _merchant_rows(spark, folder)
+    choices = rows.where("id % 3 = 0").select("id", F.lit("c9").alias("category_id"))
+    entries, before = actions.categorised_rows(choices, rows, "me", "act")
+    return entries.join(before.select(F.col("id").alias("activity_id"), "was"), "activity_id").select("activity_id", "value", "was")
+
+
+@query(f"WITH {ad.TX_SQL}, {MR_SQL}, b AS (SELECT id, 'c1' AS value, CASE WHEN id % 5 = 0 THEN 'c2' END AS was, c FROM mr WHERE id % 2 = 0) SELECT id, CASE WHEN was IS NULL THEN 'clear' ELSE 'assign' END AS operation, was AS category_id FROM b WHERE was IS NOT NULL OR c = 'c1'")
+def undo_row_inverses(spark, folder):
+    rows = _merchant_rows(spark, folder)
+    before = rows.where("id % 2 = 0").select("id", F.lit("c1").alias("value"), F.when(F.col("id") % 5 == 0, "c2").alias("was"))
+    return actions.row_inverses(before, rows)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CASE WHEN p_partkey % 4 = 0 THEN 'delete' ELSE 'restore' END AS operation, CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS rule FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 4 <> 0")
+def undo_rule_inverses(spark, folder):
+    k = F.col("p_partkey")
+    entries = ad.table(spark, folder, "part").select(F.when(k % 3 == 0, "rule-removed").otherwise("category").alias("field"), k.cast("string").alias("rule_id"), F.when(k % 4 != 0, F.col("p_name")).alias("previous_rule"))
+    return actions.rule_inverses(entries)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rule_id, p_name AS previous_rule FROM part WHERE p_size < 10")
+def removed_rules(spark, folder):
+    p = ad.table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_name").alias("rule"), "p_size")
+    return actions.rules_removed(p.drop("p_size"), p.where("p_size < 10"), "me", "act")[1].select("rule_id", "previous_rule")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 = 0")
+def setup_inserts(spark, folder):
+    c = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    return actions.found_or_created(c.where("id % 5 = 0"), c.where("id % 3 = 0"), ["id"])
+
+
+@query("SELECT min(CAST(o_orderdate AS DATE)) AS first_day FROM orders")
+def first_day(spark, folder):
+    return actions.first_day(ad.table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("day")))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS merchant, row_number() OVER (ORDER BY p_size < 5 DESC, sha1(CAST(p_partkey AS VARCHAR))) - 1 AS place FROM part QUALIFY place < 100")
+def asking_order(spark, folder):
+    p = ad.table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("merchant"), F.when(F.col("p_size") < 5, "manual").otherwise("rule").alias("source"))
+    first = actions.asking_order(p).select("merchant").limit(100)  # the order itself, of a page
+    return first.select("merchant", F.monotonically_increasing_id().alias("place"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events QUALIFY place < 200")
+def posted_order(spark, folder):
+    e = ad.table(spark, folder, "events").select("event_id", F.col("ts").alias("posted"), F.col("event_id").alias("position"))
+    return actions.in_posted_order(e).limit(200).select("event_id", F.monotonically_increasing_id().alias("place"))
+
+
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS source_id, count(*) AS positions, count(*) FILTER (l_discount = 0) AS missing_basis FROM lineitem GROUP BY ALL")
+def missing_basis(spark, folder):
+    rows = ad.table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"), F.when(F.col("l_discount") != 0, F.col("l_extendedprice")).alias("average_cost"))
+    return actions.without_basis(rows)
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 AND c_acctbal >= 0 THEN 'HOLDINGS' ELSE 'TRANSACTIONS' END AS mode, c_custkey % 4 <> 0 AND c_acctbal < 0 AS rolled_back FROM customer"""
+)
+def switched_modes(spark, folder):
+    c = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    staged = c.where("id % 4 <> 0").select("id", F.lit("HOLDINGS").alias("mode"), F.col("c_acctbal").alias("seen"))
+    return actions.switched(c.select("id", F.lit("TRANSACTIONS").alias("mode")), staged, lambda joined: F.col("s.seen") >= 0)
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL} SELECT id, day, amount, account, merchant, array_to_string(category_ids, ', ') AS category, label, label_source,
+  CASE label_source WHEN 'merchant' THEN 'all of the merchant' WHEN 'user' THEN 'this row' WHEN 'app-ui' THEN 'set in the app' WHEN 'account' THEN 'account default' WHEN 'cardmember' THEN 'cardmember on statement'
+    WHEN 'model' THEN 'model ' || CAST(CAST(round(label_confidence * 100) AS INTEGER) AS VARCHAR) || '%' END AS label_said, guess FROM res"""
+)
+def row_views(spark, folder):
+    found = actions.row_views(_resolved(spark, folder))
+    return found.select("id", "day", "amount", "account", "merchant", "category", "label", "label_source", "label_said", "guess")
+
+
+@query(f"WITH {ad.RESOLVED_SQL} SELECT (SELECT count(DISTINCT name) FROM res WHERE {ad.UNDONE_SQL}) AS groups, (SELECT count(*) FROM res WHERE {ad.UNDONE_SQL}) AS rows, (SELECT round(sum(abs(amount)), 2) FROM res WHERE {ad.UNDONE_SQL}) AS amount, (SELECT count(*) FROM res) AS total")
+def queue_counts(spark, folder):
+    return actions.queue_counts(_resolved(spark, folder))
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL}, m AS (SELECT *, {ad.UNDONE_SQL} AS todo FROM res), g AS (SELECT name, guess, count(*) AS n FROM m WHERE todo GROUP BY ALL), t AS (SELECT name, guess AS predicted FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, guess DESC) = 1)
+SELECT name, count(*) FILTER (todo) AS rows, count(*) FILTER (todo AND label IS NULL) AS missing_label, count(*) FILTER (todo AND len(category_ids) = 0) AS missing_category, count(*) FILTER (NOT todo) AS elsewhere,
+  round(sum(abs(amount)) FILTER (todo), 2) AS total, greatest(count(*) FILTER (todo) - 60, 0) AS more, any_value(predicted) AS predicted FROM m JOIN t USING (name) GROUP BY name"""
+)
+def card_summaries(spark, folder):
+    return actions.card_summary(_resolved(spark, folder)).drop("keys")
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL}, p AS (SELECT guess, guess_confidence AS confidence, label AS truth, label_source IN ('user', 'app-ui', 'merchant') AS hand, label_source = 'cardmember' AS card, held_out, k % 5 = 0 AS later FROM res WHERE label IS NOT NULL),
+s AS (SELECT 'labels' AS slice, * FROM p WHERE hand AND NOT held_out UNION ALL SELECT 'cardmember', * FROM p WHERE card UNION ALL SELECT 'later', * FROM p WHERE hand AND later UNION ALL SELECT 'check', * FROM p WHERE hand AND held_out),
+b AS (SELECT slice, least(floor(confidence * 10), 9) AS bin, count(*) AS n, sum(confidence) AS c, count(*) FILTER (guess = truth) AS r, count(*) FILTER (confidence >= 0.8) AS cov, count(*) FILTER (confidence >= 0.8 AND guess = truth) AS hit FROM s GROUP BY ALL)
+SELECT slice, CAST(sum(n) AS BIGINT) AS n, round(sum(r) / sum(n), 3) AS accuracy, round(sum(cov) / sum(n), 3) AS coverage, round(sum(hit) / sum(cov), 3) AS precision, round(sum(abs(c - r)) / sum(n), 3) AS calibration_error FROM (VALUES ('labels'), ('cardmember'), ('later'), ('check')) v(slice) LEFT JOIN b USING (slice) GROUP BY slice"""
+)
+def evaluation_slices(spark, folder):
+    rows = _resolved(spark, folder).withColumn("later", F.col("ord") % 5 == 0)
+    return actions.evaluation(actions.label_slices(rows), 0.8)
+
+
+@query(
+    """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS name, event_id, CASE WHEN user_id % 3 = 0 THEN event_type END AS payee, CASE WHEN user_id % 2 = 0 THEN 'x' || event_type END AS export FROM events),
+p AS (SELECT name, payee FROM x WHERE payee IS NOT NULL GROUP BY name, payee QUALIFY row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, min(event_id)) = 1), e AS (SELECT name, export FROM x WHERE export IS NOT NULL GROUP BY name, export QUALIFY row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, min(event_id)) = 1)
+SELECT n.name, coalesce(payee, export, n.name) AS suggestion FROM (SELECT DISTINCT name FROM x) n LEFT JOIN p USING (name) LEFT JOIN e USING (name)"""
+)
+def suggested_names(spark, folder):
+    u = F.col("user_id")
+    rows = ad.table(spark, folder, "events").select(u.cast("string").alias("name"), F.col("event_id").alias("ord"), F.when(u % 3 == 0, F.col("event_type")).alias("payee"), F.when(u % 2 == 0, F.concat(F.lit("x"), "event_type")).alias("export_name"))
+    return actions.suggested_name(rows)
+
+
+@query(f"WITH {ad.TX_SQL}, {ad.LOG_SQL}, l AS (SELECT * FROM alive WHERE merchant IS NOT NULL QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY seq DESC) = 1), k AS (SELECT DISTINCT 'M' || (account_id % 40) AS merchant, {RULE_SQL} AS rule_id FROM tx WHERE account_id = 7) SELECT r.id, r.c AS sets FROM (VALUES ('r1', 'c1'), ('r2', 'c2'), ('r7', 'c7')) r(id, c) WHERE id IN (SELECT rule_id FROM k) UNION ALL SELECT 'spender:' || seq, value FROM l WHERE value IS NOT NULL AND merchant IN (SELECT merchant FROM k)")
+def rules_of_a_card(spark, folder):
+    card = _matched(spark, folder).where("account_id = 7").select(F.concat(F.lit("M"), F.col("account_id") % 40).alias("merchant"), "rule_id")
+    return actions.card_rules(rules_list_union(spark, folder), card).select("id", "sets")
+
+
+@query(f"WITH {ad.LOG_SQL} SELECT seq AS reverts FROM alive WHERE merchant IS NOT NULL AND seq % 3 = 0")
+def labels_withdrawn(spark, folder):
+    log = ad.decision_log(spark, folder)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    return actions.labels_removed(log, log.where("seq % 3 = 0").select("seq"), "me").where(F.col("seq") > top).select("reverts")
+
+
+ROLL_SQL = """WITH st AS (SELECT p_partkey AS k, 10.0::DOUBLE AS old, (100 + p_size)::DOUBLE AS basis, CASE WHEN p_partkey % 4 = 0 THEN 8.0 ELSE 12.0 END::DOUBLE AS new FROM part),
+fl AS (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_linenumber = 7 THEN -1.0 ELSE l_quantity END::DOUBLE AS amount, CASE WHEN l_linenumber <= 2 THEN 1.0 WHEN l_linenumber <= 4 THEN 0.0 END::DOUBLE AS share FROM lineitem WHERE l_linenumber IN (1, 3, 7)),
+f AS (SELECT k, sum(greatest(amount * share, 0)) AS bought, count(*) FILTER (amount * share <> 0) AS parts, min(day) FILTER (amount * share <> 0) AS since, coalesce(bool_or(share IS NULL AND amount > 0), false) AS ub, coalesce(bool_or(share IS NULL AND amount < 0), false) AS us FROM fl GROUP BY k),
+q AS (SELECT l_partkey AS k, min(round(l_extendedprice / 4000, 2)) AS low, max(round(l_extendedprice / 4000, 2)) AS high FROM lineitem JOIN f ON f.k = l_partkey WHERE CAST(l_shipdate AS DATE) >= since GROUP BY ALL),
+j AS (SELECT st.*, coalesce(bought, 0) AS bought, coalesce(parts, 0) * 0.005 AS slack, coalesce(ub, false) AS ub, coalesce(us, false) AS us, low, high, new - old AS change FROM st LEFT JOIN f USING (k) LEFT JOIN q USING (k))
+SELECT CAST(k AS VARCHAR) AS asset_id, round(CASE WHEN ub THEN NULL WHEN change < 0 AND bought = 0 THEN basis / old
+  WHEN change > 0 AND bought > 0 AND NOT us AND bought + slack >= greatest(change - 1, 1) * low AND bought - slack <= (change + 1) * high THEN (basis + bought) / new END, 6) AS rolled_cost FROM j"""
+
+
+@query(ROLL_SQL)
+def rolled_cost(spark, folder):
+    li, k = ad.table(spark, folder, "lineitem"), F.col("l_partkey").cast("string")
+    exact = lambda x, name: F.lit(x).cast(money.MONEY).alias(name) if not isinstance(x, F.Column) else x.cast(money.MONEY).alias(name)
+    p = ad.table(spark, folder, "part")
+    steps = p.select(F.col("p_partkey").cast("string").alias("asset_id"), F.col("p_partkey").cast("string").alias("source_id"), F.lit("n").alias("name_key"), F.lit("1900-01-01").cast("date").alias("start"), F.lit("2100-01-01").cast("date").alias("end"), exact(10, "old_quantity"), exact(F.col("p_size") + 100, "old_basis"), exact(F.when(F.col("p_partkey") % 4 == 0, 8).otherwise(12), "quantity"), F.lit(2).alias("settlement_days"))
+    rows = li.where("l_linenumber in (1, 3, 7)").select(k.alias("source_id"), F.to_date("l_shipdate").alias("posted_day"), exact(F.when(F.col("l_linenumber") == 7, F.lit(-1.0)).otherwise(F.col("l_quantity")), "amount"), F.col("l_linenumber").cast("string").alias("description"), F.lit(False).alias("pending"))
+    shares = p.select(F.col("p_partkey").cast("string").alias("source_id"), F.explode(F.array(F.lit("1"), F.lit("3"))).alias("description"), F.lit("n").alias("name_key")).withColumn("share", F.when(F.col("description") == "1", 1).otherwise(0).cast(money.MONEY))
+    quotes = li.select(k.alias("asset_id"), F.to_date("l_shipdate").alias("day"), exact(F.round(F.col("l_extendedprice") / 4000, 2), "price"))
+    found = holdings.rolled_forward(steps, rows, shares, quotes)
+    return found.select("asset_id", F.round(F.col("rolled_cost").cast("double"), 6).alias("rolled_cost"))
