@@ -34,7 +34,7 @@ from .text import DARK, Hasher, Texts, find, from_planes, group_sums, pack_sorte
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of text whose n-grams are looked up together.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Different n-grams that a task holds before it sends them on.
 HELD = 1_500_000
 #: Bytes of text for each part of a level, about.
