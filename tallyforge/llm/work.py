@@ -26,14 +26,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
+def written(df: DataFrame, name: str, scratch: list[str] | None = None, **options: object) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    scratch: a list that the folder's name is put on, for ``delete``.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if scratch is not None:
+        scratch.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for name in scratch:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI; plain paths are local."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
