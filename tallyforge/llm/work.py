@@ -39,8 +39,14 @@ def written(df: DataFrame, name: str, scratch: list[str] | None = None, **option
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended: it does so once the driver's JVM collects their plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, scratch: list[str]) -> None:
-    """Delete written tables that nothing reads any more."""
+    """Delete written tables that nothing reads any more, and the shuffle files of the queries that wrote or read them."""
+    free_shuffles(spark)
     jvm = spark.sparkContext._jvm
     for name in scratch:
         path = jvm.org.apache.hadoop.fs.Path(name)
