@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lm, mixing, neardup, quality, repeats, rules, secrets, token_files, warc, work
+from . import contamination, lm, main_text, mixing, neardup, quality, repair, repeats, rules, secrets, spelling, token_files, warc, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +118,93 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repaired(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+#: Table of CRC-32 by byte, and the checksum of a key's bytes; two fixed polynomial constants.
+CRC_SQL = r"""
+crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n::UBIGINT], list_transform(range(0, 8), lambda k: k::UBIGINT)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+sums AS (SELECT key, xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(0, strlen(key)),
+            lambda i: (16 * (instr('0123456789ABCDEF', substr(hex(key), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(key), 2 * i + 2, 1)) - 1)::UBIGINT)),
+            lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS h
+         FROM keys, crc)
+"""
+
+#: The best (cost, audit, text so far) for each last role, row by row; two insertions in a row are the most that can pay.
+OP12_SQL = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                              coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+keys AS (SELECT DISTINCT key FROM raw),
+{CRC_SQL},
+kinds AS (SELECT raw.*, h % 20 AS kind FROM raw JOIN sums USING (key)),
+rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || chr(0) || text), copy) AS k FROM rows),
+faulty AS (SELECT conv_id, turn, role, text, k, left(role, 1) AS i,
+                  CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+                       WHEN right(bare, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS f FROM placed),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (f = 'b') AS blank,
+                  count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (p || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+           FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS p FROM faulty) GROUP BY conv_id),
+-- edges out of each last role by what a row is; done: rows so far; s: '' nothing, else the last initial
+closed AS (SELECT * FROM (VALUES ('', '', 0, '', ''), ('', 'u', 5, 'I', 'user:'), ('', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:'), ('s', 's', 0, '', ''), ('s', 'u', 5, 'I', 'user:'),
+              ('s', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:'), ('u', 'u', 0, '', ''), ('u', 'a', 5, 'I', 'assistant:'), ('a', 'a', 0, '', ''), ('a', 'u', 5, 'I', 'user:')) AS c(s, z, price, letters, said)),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS done, z AS s, CAST(price AS BIGINT) AS cost, letters AS audit, said FROM convs, closed WHERE s = ''
+  UNION ALL
+  SELECT conv_id, done, s, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) AS r FROM (
+      SELECT e.conv_id, e.done, c.z AS s, e.cost + c.price AS cost, e.audit || c.letters AS audit, e.said || CASE WHEN e.said <> '' AND c.said <> '' THEN chr(10) ELSE '' END || c.said AS said FROM (
+        SELECT p.conv_id, p.done + 1 AS done, x.z AS s, p.cost + x.price + CASE WHEN x.letter <> 'D' AND f.f = 't' THEN 5 ELSE 0 END AS cost, p.audit || x.letter AS audit,
+               p.said || CASE x.letter WHEN 'D' THEN '' ELSE CASE WHEN p.said <> '' THEN chr(10) ELSE '' END || coalesce(x.name, f.role) || ':' || f.text END AS said
+        FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.done + 1
+        JOIN (SELECT s, s AS z, 'D' AS letter, 2 AS price, NULL AS name, '' AS i FROM (VALUES (''), ('s'), ('u'), ('a')) AS d(s)
+              UNION ALL SELECT * FROM (VALUES ('', 'u', 'R', 1, 'user', ''), ('s', 'u', 'R', 1, 'user', ''), ('a', 'u', 'R', 1, 'user', ''), ('u', 'a', 'R', 1, 'assistant', '')) AS g(s, z, letter, price, name, i)
+              UNION ALL SELECT s, i, 'K', 0, NULL, i FROM (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) AS h(s, i)) x
+          ON x.s = p.s AND (x.letter = 'D' OR f.f IN ('.', 't')) AND (x.letter <> 'K' OR x.i = f.i)) e
+      JOIN closed c ON c.s = e.s)) WHERE r = 1),
+best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.conv_id ORDER BY cost, audit) AS r FROM paths p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+                        WHERE done = coalesce(n, 0) AND s IN ('', 'a')) WHERE r = 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(said) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT doc, word, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS word FROM documents) GROUP BY ALL),
+keys AS (SELECT doc || ':' || word AS key FROM runs),
+{CRC_SQL},
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, CAST(h % length(word) AS BIGINT)) || substr(word, CAST(h % length(word) AS BIGINT) + 2) ELSE word END AS word, times
+         FROM runs JOIN sums ON key = doc || ':' || word),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+shorter AS (SELECT DISTINCT w.word AS short, w.n AS short_n, less.word AS long, less.n AS long_n FROM less JOIN w ON w.word = less.a || less.b),
+near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM less x JOIN less y USING (a, b) WHERE x.word <> y.word
+         UNION ALL SELECT short, long, long_n FROM shorter UNION ALL SELECT long, short, short_n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = root WHERE form IS NOT NULL)
+SELECT word, form, root, forms.n, n_near, form_n FROM forms
+JOIN (SELECT chain.word, root FROM chain JOIN forms ON forms.word = root WHERE form IS NULL) USING (word)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_repeated_strings": op2_repeated_strings,
@@ -129,9 +216,14 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_quality_bands": op9_quality_bands,
     "op10_language_model": op10_language_model,
+    "op11_main_text": op11_main_text,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op3_warc_segments": OP3_SQL,
     "op5_contamination": OP5_SQL,
+    "op12_conversation_repair": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
