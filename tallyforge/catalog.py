@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import money, stats, text
 from .operators import asof, balances, holdings, merge_plan, rules, validation
 from .plans import adapters as ad
-from .plans import actions, decisions, naive_bayes, proposals, views
-from .sources import sinks
+from .plans import actions, decisions, naive_bayes, proposals, sync, views
+from .sources import scratch, sinks, store
 from .streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -977,3 +977,100 @@ def rolled_cost(spark, folder):
     quotes = li.select(k.alias("asset_id"), F.to_date("l_shipdate").alias("day"), exact(F.round(F.col("l_extendedprice") / 4000, 2), "price"))
     found = holdings.rolled_forward(steps, rows, shares, quotes)
     return found.select("asset_id", F.round(F.col("rolled_cost").cast("double"), 6).alias("rolled_cost"))
+
+
+# The composed sync and its publication
+
+
+def _world(spark, folder) -> sync.World:
+    """Customers are cash and card accounts with the orders as transactions, suppliers are securities accounts; some of all kinds are unfit."""
+    day = lambda d: F.lit(d).cast("date")
+    k, s, none = F.col("c_custkey"), F.col("s_suppkey"), lambda kind: F.lit(None).cast(kind)
+    tx = ad.transactions(spark, folder)
+    signed = money.activity_amount(F.col("kind"), F.col("amount"), F.col("account_kind"))
+    told = tx.where((F.col("id") % 4 != 0) | (F.col("day") > day("1996-12-31"))).where(F.col("day") <= day("1998-06-30")).groupBy(F.col("account_id").alias("c_custkey")).agg(F.sum(signed).alias("told"))
+    customers = ad.table(spark, folder, "customer").join(told, "c_custkey", "left")
+    balance = F.when(k % 17 == 0, -F.abs("c_acctbal").cast("decimal(18,2)")).when((k % 2 == 0) & (F.col("c_mktsegment") != "BUILDING"), F.when(k % 8 == 0, 0).otherwise(F.col("c_acctbal").cast("decimal(18,2)")))
+    balance = balance.otherwise(F.coalesce("told", F.lit(0)) + F.when(k % 3 == 0, 1).otherwise(0)).cast(money.MONEY)
+    positions = _positions(spark, folder).drop("n").withColumn("source_id", F.concat(F.lit("s"), "source_id"))
+    value = positions.groupBy("source_id").agg(F.sum("value").alias("balance"))
+    name = F.concat(F.lit("s"), s)
+    suppliers = ad.table(spark, folder, "supplier").withColumn("source_id", name).join(value, "source_id")
+    sources = customers.select(k.cast("string").alias("source_id"), F.lit("USD").alias("currency"), balance.alias("balance"), day("1998-06-30").alias("balance_day"), none("date").alias("balance_utc_day"), F.when(k % 10 == 9, day("1998-07-10")).otherwise(day("1998-07-01")).alias("as_of"))
+    sources = sources.unionByName(suppliers.select("source_id", F.lit("USD").alias("currency"), (F.col("balance") + F.when(s % 7 == 0, 1).otherwise(0)).cast(money.MONEY).alias("balance"), day("1998-06-30").alias("balance_day"), none("date").alias("balance_utc_day"), day("1998-07-01").alias("as_of")))
+    common = [F.lit(True).alias("local_sync"), F.lit("account").alias("source_scope"), day("1996-12-31").alias("history_through"), F.lit("UTC").alias("zone")]
+    mapping = customers.where(k % 11 != 0).select(k.cast("string").alias("source_id"), F.when(k % 13 == 0, "exclude").otherwise("sync").alias("action"), k.cast("string").alias("account_id"), F.when(k % 17 == 0, F.concat(F.lit("l"), k)).alias("liability_id"), *common, k.cast("string").alias("purchase_account"), F.lit(False).alias("per_unit"))
+    mapping = mapping.unionByName(suppliers.select("source_id", F.lit("sync").alias("action"), F.col("source_id").alias("account_id"), none("string").alias("liability_id"), *common, none("string").alias("purchase_account"), F.lit(True).alias("per_unit")))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "CREDIT_CARD").otherwise("CASH")
+    by_holdings = F.when(kind == "CASH", k % 2 == 0).otherwise(k % 23 == 0)
+    mode = lambda test: F.when(test, "HOLDINGS").otherwise("TRANSACTIONS").alias("mode")
+    accounts = customers.select(k.cast("string").alias("account_id"), kind.alias("account_kind"), F.lit("USD").alias("account_currency"), (k % 19 != 0).alias("is_active"), mode(by_holdings))
+    accounts = accounts.unionByName(suppliers.select(F.col("source_id").alias("account_id"), F.lit("SECURITIES").alias("account_kind"), F.lit("USD").alias("account_currency"), F.lit(True).alias("is_active"), mode(s % 2 == 0)))
+    seen = lambda late: F.when(late, day("1998-07-05")).otherwise(day("1998-06-01")).alias("day")
+    snapshots = customers.select(k.cast("string").alias("account_id"), seen(k % 3 == 0), F.lit("MANUAL_ENTRY").alias("kind"), F.lit(5).cast(money.MONEY).alias("cash"))
+    snapshots = snapshots.unionByName(suppliers.select(F.col("source_id").alias("account_id"), seen(s % 5 == 0), F.lit("MANUAL_ENTRY").alias("kind"), F.lit(0).cast(money.MONEY).alias("cash")))
+    strange = customers.where(k % 29 == 0).select(k.cast("string").alias("source_id"), F.lit("p").alias("position_id"), F.lit("X").alias("symbol"), F.lit("X").alias("description"), *(F.lit(1).cast(money.MONEY).alias(c) for c in ("quantity", "value")), F.lit("USD").alias("currency"), *(none(money.MONEY).alias(c) for c in ("cost_basis", "purchase_price")))
+    liabilities = customers.where(k % 17 == 0).select(F.concat(F.lit("l"), k).alias("id"), F.lit(10).cast(money.MONEY).alias("value"), day("1998-06-01").alias("day"), F.lit("USD").alias("currency"))
+    tables = (sources, mapping, accounts, _sources(spark, folder)[0], _ledger(spark, folder), positions.unionByName(strange), snapshots, liabilities)
+    return sync.World(*(scratch.written(t, "world") for t in tables))
+
+
+SYNC_SQL = f"""WITH {ad.TX_SQL}, {POS_SQL},
+p AS (SELECT *, {OPS_SQL} AS op, 'src:' || account_id || ':' || id AS key FROM tx),
+told AS (SELECT account_id, sum({ad.SIGNED_SQL}) FILTER (day <= DATE '1998-06-30') AS told, sum({ad.SIGNED_SQL}) AS all_told FROM tx WHERE id % 4 <> 0 OR day > DATE '1996-12-31' GROUP BY account_id),
+c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS owner, c_mktsegment = 'BUILDING' AS card, c_mktsegment <> 'BUILDING' AND c_custkey % 2 = 0 AS seen, coalesce(told, 0) AS told,
+   CASE WHEN c_mktsegment <> 'BUILDING' AND c_custkey % 8 = 0 THEN 0 ELSE CAST(c_acctbal AS DECIMAL(18,2)) END AS observed, abs(CAST(c_acctbal AS DECIMAL(18,2))) AS owed, coalesce(all_told, 0) AS all_told,
+   CASE WHEN c_custkey % 11 = 0 THEN 'not mapped' WHEN c_custkey % 13 = 0 THEN 'skipped' WHEN c_custkey % 17 = 0 THEN 'liability' WHEN c_custkey % 19 = 0 THEN 'inactive' END AS code
+   FROM customer LEFT JOIN told ON account_id = c_custkey),
+bad AS (SELECT k, p.key, op AS detail FROM c JOIN p ON p.account_id = k WHERE code IS NULL AND op LIKE 'error%'
+   UNION ALL SELECT k, NULL, 'a card needs transaction tracking' FROM c WHERE code IS NULL AND card AND k % 23 = 0
+   UNION ALL SELECT k, NULL, 'a cash account with positions' FROM c WHERE code IS NULL AND NOT card AND k % 29 = 0),
+sums AS (SELECT k, NULL AS key, 'does not reconcile' AS detail FROM c WHERE code IS NULL AND NOT card AND NOT seen AND k % 3 = 0 AND k NOT IN (SELECT k FROM bad)),
+good AS (SELECT * FROM c WHERE code IS NULL AND k NOT IN (SELECT k FROM bad) AND k NOT IN (SELECT k FROM sums)),
+shown AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'newer' WHEN observed = 0 THEN 'zero' ELSE 'ok' END AS what FROM good WHERE seen),
+s AS (SELECT l_suppkey AS k, 's' || l_suppkey AS owner, sum(value) AS total, sum(CASE WHEN n % 50 = 0 THEN value ELSE 0 END) AS cash, count(*) FILTER (n % 50 <> 0 AND n % 5 NOT IN (0, 1)) AS uncosted FROM pos GROUP BY l_suppkey),
+fine AS (SELECT * FROM s WHERE k % 5 <> 0 AND k % 7 <> 0)
+SELECT op AS step, owner, key, day, abs(amount)::DOUBLE AS amount, kind AS detail FROM p JOIN good ON k = p.account_id WHERE op IN ('create', 'update')
+UNION ALL SELECT 'snapshot', owner, NULL, DATE '1998-06-30', observed::DOUBLE, 'MANUAL_ENTRY' FROM shown WHERE what = 'ok'
+UNION ALL SELECT 'snapshot', owner, NULL, DATE '1998-06-30', cash::DOUBLE, 'MANUAL_ENTRY' FROM fine
+UNION ALL SELECT 'position', owner, CAST(n AS VARCHAR), DATE '1998-06-30', quantity::DOUBLE, CASE n % 5 WHEN 0 THEN 'provider' WHEN 1 THEN 'purchase price' END FROM fine JOIN pos ON l_suppkey = k WHERE n % 50 <> 0
+UNION ALL SELECT 'quote', owner, CAST(n AS VARCHAR), DATE '1998-06-30', (CAST(value * 100 AS BIGINT) * 10000 // CAST(quantity * 100 AS BIGINT)) / 10000, 'USD' FROM fine JOIN pos ON l_suppkey = k WHERE n % 50 <> 0
+UNION ALL SELECT 'mode', owner, NULL, NULL, NULL, 'HOLDINGS' FROM fine WHERE k % 2 = 1
+UNION ALL SELECT 'valuation', 'l' || k, NULL, DATE '1998-06-30', owed::DOUBLE, NULL FROM c WHERE code = 'liability'
+UNION ALL SELECT 'expected', owner, NULL, NULL, (all_told + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE, 'TRANSACTIONS' FROM good WHERE NOT seen
+UNION ALL SELECT 'expected', owner, NULL, NULL, observed::DOUBLE, 'HOLDINGS' FROM shown WHERE what = 'ok'
+UNION ALL SELECT 'expected', owner, NULL, NULL, total::DOUBLE, 'HOLDINGS' FROM fine
+UNION ALL SELECT 'error', CAST(k AS VARCHAR), key, NULL, NULL, detail FROM (SELECT * FROM bad UNION ALL SELECT * FROM sums)
+UNION ALL SELECT 'error', owner, NULL, NULL, NULL, code FROM c WHERE code = 'not mapped'
+UNION ALL SELECT 'error', owner, NULL, NULL, NULL, 'positions do not add up to the balance' FROM s WHERE k % 5 <> 0 AND k % 7 = 0
+UNION ALL SELECT 'warning', owner, NULL, NULL, NULL, 'balance is old' FROM c WHERE k % 10 = 9 AND coalesce(code, '') <> 'skipped'
+UNION ALL SELECT 'warning', owner, '1998-07-05', NULL, NULL, 'kept a newer balance' FROM shown WHERE what = 'newer'
+UNION ALL SELECT 'warning', owner, '1998-06-01', NULL, NULL, 'an empty balance without a purchase: kept the last one' FROM shown WHERE what = 'zero'
+UNION ALL SELECT 'warning', owner, '1998-07-05', NULL, NULL, 'kept newer holdings' FROM s WHERE k % 5 = 0
+UNION ALL SELECT 'warning', owner, CAST(uncosted AS VARCHAR), NULL, NULL, 'positions without an acquisition cost' FROM fine WHERE uncosted > 0"""
+
+
+@query(SYNC_SQL)
+def sync_plan(spark, folder):
+    """Every row that one payload would write, and all errors and warnings; positions are shown by the provider's number."""
+    world = _world(spark, folder)
+    found = sync.plan(world).rows()
+    asset = money.uuid5(money.NAMESPACE_URL, F.concat_ws(":", F.lit("src"), "source_id", "position_id"))
+    known = world.positions.select(F.col("source_id").alias("of"), asset.alias("asset_id"), "position_id")
+    joined = found.join(known, (F.col("owner") == F.col("of")) & (F.col("key") == F.col("asset_id")), "left")
+    amount = F.when(F.col("step") == "quote", F.floor(F.col("amount") * 10000) / 10000).otherwise(F.col("amount").cast("double"))
+    return joined.select("step", "owner", F.coalesce("position_id", "key").alias("key"), "day", amount.alias("amount"), "detail")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 10 = 0")
+def bucketed_upsert(spark, folder):
+    """Customers in a bucketed store after one commit of replaced, new and removed rows."""
+    kept = store.Store(spark, scratch.folder(spark, "store"))
+    c = ad.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    changed = c.where("id % 6 = 0").select("id", F.lit("new").alias("segment")).unionByName(c.where("id % 10 = 0").select((-F.col("id") - 1).alias("id"), F.lit("new").alias("segment")))
+    with kept.begin() as t:
+        t.create("customers", c, ["id"], 16)
+    with kept.begin() as t:
+        t.upsert("customers", changed, verify=True)
+        t.remove("customers", c.where("id % 7 = 0").select("id"))
+    return kept.read("customers")
