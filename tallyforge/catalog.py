@@ -979,6 +979,33 @@ def rolled_cost(spark, folder):
     return found.select("asset_id", F.round(F.col("rolled_cost").cast("double"), 6).alias("rolled_cost"))
 
 
+SENT_SQL = """WITH st AS (SELECT p_partkey AS k, CAST(100 + p_size AS DECIMAL(18,6)) AS basis, ['10', '10.000', '10.5', '9.75'][1 + p_partkey % 4] AS old_sent, CASE p_partkey % 5 WHEN 0 THEN '12.000' WHEN 1 THEN '12' WHEN 2 THEN '12.5' WHEN 3 THEN '8.25' ELSE '40.00' END AS new_sent FROM part),
+d AS (SELECT *, CAST(old_sent AS DECIMAL(18,6)) AS old, CAST(new_sent AS DECIMAL(18,6)) AS new, greatest(length(split_part(old_sent, '.', 2)), length(split_part(new_sent, '.', 2))) AS places FROM st),
+fl AS (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS day, CAST(CASE WHEN l_linenumber = 4 THEN -l_quantity / 10000 ELSE l_quantity END AS DECIMAL(18,6)) AS amount, CASE WHEN l_linenumber = 1 THEN CAST(0.75 AS DECIMAL(6,4)) ELSE CAST(1 AS DECIMAL(6,4)) END AS share FROM lineitem WHERE l_linenumber IN (1, 3, 4) AND l_suppkey % 10 = 1),
+f AS (SELECT k, sum(greatest(amount * share, 0)) AS bought, sum(greatest(-amount * share, 0)) AS sold, count(*) AS parts, min(day) AS since FROM fl GROUP BY k),
+q AS (SELECT l_partkey AS k, CAST(min(round(l_extendedprice / 4000, 2)) AS DECIMAL(18,6)) AS low, CAST(max(round(l_extendedprice / 4000, 2)) AS DECIMAL(18,6)) AS high FROM lineitem JOIN f ON f.k = l_partkey WHERE CAST(l_shipdate AS DATE) >= since GROUP BY ALL),
+j AS (SELECT d.*, coalesce(bought, 0)::DOUBLE AS bought, coalesce(sold, 0)::DOUBLE AS sold, coalesce(parts, 0) * 0.005 AS slack, low::DOUBLE AS low, high::DOUBLE AS high, (new - old)::DOUBLE AS change, (basis / old)::DOUBLE AS average, power(10, -places) AS digit FROM d LEFT JOIN f USING (k) LEFT JOIN q USING (k))
+SELECT CAST(k AS VARCHAR) AS asset_id, sold > 0 AS has_sold, round(CASE WHEN change < 0 AND bought = 0 THEN average
+  WHEN change > 0 AND bought > 0 AND average * (sold / low - sold / high) < 0.005 AND bought + slack >= greatest(change + sold / high - digit, digit) * low AND bought - slack <= (change + sold / low + digit) * high
+    THEN (basis::DOUBLE - average * (sold / low + sold / high) / 2 + bought) / new::DOUBLE END, 5) AS rolled_cost FROM j"""
+
+
+@query(SENT_SQL)
+def rolled_cost_as_sent(spark, folder):
+    """Roll-forward of quantities as texts, with zeros behind the point, fractions, and sales that have a share."""
+    li, p, n = ad.table(spark, folder, "lineitem"), ad.table(spark, folder, "part"), F.col("p_partkey")
+    sent = lambda texts, by: F.element_at(F.array(*map(F.lit, texts)), (1 + n % by).cast("int"))
+    steps = p.select(n.cast("string").alias("asset_id"), n.cast("string").alias("source_id"), F.lit("n").alias("name_key"), F.lit("1900-01-01").cast("date").alias("start"), F.lit("2100-01-01").cast("date").alias("end"), sent(["10", "10.000", "10.5", "9.75"], 4).alias("old_quantity"), (F.col("p_size") + 100).cast(money.MONEY).alias("old_basis"), sent(["12.000", "12", "12.5", "8.25", "40.00"], 5).alias("quantity"), F.lit(2).alias("settlement_days"))
+    key = F.col("l_partkey").cast("string")
+    amount = F.when(F.col("l_linenumber") == 4, -F.col("l_quantity") / 10000).otherwise(F.col("l_quantity")).cast(money.MONEY)
+    rows = li.where("l_linenumber in (1, 3, 4) and l_suppkey % 10 = 1").select(key.alias("source_id"), F.to_date("l_shipdate").alias("posted_day"), amount.alias("amount"), F.col("l_linenumber").cast("string").alias("description"), F.lit(False).alias("pending"))
+    shares = p.select(n.cast("string").alias("source_id"), F.explode(F.array(F.lit("1"), F.lit("3"), F.lit("4"))).alias("description"), F.lit("n").alias("name_key")).withColumn("share", F.when(F.col("description") == "1", "0.75").otherwise("1").cast(money.MONEY))
+    quotes = li.select(key.alias("asset_id"), F.to_date("l_shipdate").alias("day"), F.round(F.col("l_extendedprice") / 4000, 2).cast(money.MONEY).alias("price"))
+    found = holdings.rolled_forward(steps, rows, shares, quotes)
+    sold = holdings.flow_sums(steps, rows, shares).select("asset_id", (F.coalesce("sold", F.lit(0)) > 0).alias("has_sold"))
+    return found.join(sold, "asset_id", "left").select("asset_id", F.coalesce("has_sold", F.lit(False)).alias("has_sold"), F.round(F.col("rolled_cost").cast("double"), 5).alias("rolled_cost"))
+
+
 # The composed sync and its publication
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 
 def latest(rows: DataFrame, keys: list[str], day: str, where: Column | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -17,18 +18,45 @@ def latest(rows: DataFrame, keys: list[str], day: str, where: Column | None = No
     return best.select(*keys, *(F.col(f"row_.{c}") for c in rest))
 
 
+def _cell(at: str, kind: DataType) -> Column:
+    """Ranges of the time axis: a month of days, an hour of instants, 1,024 numbers."""
+    if isinstance(kind, DateType):
+        return F.trunc(at, "month")
+    return F.date_trunc("hour", F.col(at)) if isinstance(kind, (TimestampType, TimestampNTZType)) else F.floor(F.col(at) / 1024)
+
+
+def _same(left: str, right: str, names: list[str]) -> Column:
+    test = F.lit(True)
+    for n in names:
+        test = test & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
+    return test
+
+
 def before(facts: DataFrame, observations: DataFrame, keys: list[str], day: str, observed: str, strict: bool = True) -> DataFrame:
-    """``facts`` with the last observation of their key before (or on) their day.
+    """``facts`` with the last observation of their key before (or on) their day; of equal ones the greatest.
 
-    Both sides are one stream for each key, in order of day; the last observation is carried forward. No range join.
+    The answer depends on a key and a day only, so both sides are reduced to one row for each of them first. A key's
+    days are cut into ranges; within a range the last observation is carried forward, and each range's last one is
+    handed to the ranges after it: one row a key and range. So a key with a third of all rows is many ranges in many
+    tasks, and no task sorts a key's rows.
     """
-    rank = F.lit(0 if strict else 1)
     values = [c for c in observations.columns if c not in keys]
-    left = facts.select(*keys, F.col(day).alias("at_"), rank.alias("rank_"), F.struct(*facts.columns).alias("fact_"), F.lit(None).alias("seen_"))
-    right = observations.select(*keys, F.col(observed).alias("at_"), F.lit(0 if not strict else 1).alias("rank_"), F.lit(None).alias("fact_"), F.struct(*values).alias("seen_"))
-    order = Window.partitionBy(*keys).orderBy("at_", "rank_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = left.unionByName(right).withColumn("seen_", F.last("seen_", ignorenulls=True).over(order))
-    return carried.where("fact_ is not null").select("fact_.*", *(F.col(f"seen_.{c}").alias(c if c not in facts.columns else f"seen_{c}") for c in values))
+    asked = facts.select(*keys, F.col(day).alias("at_")).distinct().select(*keys, "at_", F.lit(0 if strict else 1).alias("rank_"))
+    seen = observations.groupBy(*keys, F.col(observed).alias("at_")).agg(F.max(F.struct(*values)).alias("seen_"))
+    stream = asked.withColumn("seen_", F.lit(None).cast(seen.schema["seen_"].dataType)).unionByName(seen.withColumn("rank_", F.lit(1 if strict else 0)))
+    stream = stream.withColumn("cell_", _cell("at_", stream.schema["at_"].dataType))
+    inside = Window.partitionBy(*keys, "cell_").orderBy("at_", "rank_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = stream.withColumn("carried_", F.last("seen_", ignorenulls=True).over(inside)).where("seen_ is null")
+    ranges = stream.groupBy(*keys, "cell_").agg(F.max_by("seen_", F.when(F.col("seen_").isNotNull(), F.col("at_"))).alias("end_"))
+    earlier = Window.partitionBy(*keys).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ranges.withColumn("handed_", F.last("end_", ignorenulls=True).over(earlier))
+    answers = carried.alias("c").join(handed.alias("h"), _same("c", "h", [*keys, "cell_"]), "left")
+    answers = answers.select(*(F.col(f"c.{k}").alias(f"{k}_of_") for k in keys), F.col("c.at_").alias("at_"), F.coalesce("carried_", "handed_").alias("answer_"))
+    same = F.col(f"f.{day}").eqNullSafe(F.col("a.at_"))
+    for k in keys:
+        same = same & F.col(f"f.{k}").eqNullSafe(F.col(f"a.{k}_of_"))
+    joined = facts.alias("f").join(answers.alias("a"), same, "left")
+    return joined.select("f.*", *(F.col(f"answer_.{c}").alias(c if c not in facts.columns else f"seen_{c}") for c in values))
 
 
 def near(left: DataFrame, right: DataFrame, keys: list[str], value: tuple[str, str], tolerance: str, how: str = "left_semi", also: Column | None = None) -> DataFrame:

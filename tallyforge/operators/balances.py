@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
+from . import asof
 
 
 def tolerance(difference: Column, limit: str) -> Column:
@@ -72,11 +73,9 @@ def unexplained_zeros(sources: DataFrame, snapshots: DataFrame, transactions: Da
     sources: source_id, account_id, purchase_account, balance, balance_day; snapshots: account_id, day, kind, cash;
     transactions: source_id, posted_day, amount.
     """
-    from .asof import before
-
     empty = sources.where("balance = 0 and purchase_account is not null")
     seen = snapshots.where("kind <> 'CALCULATED'").select("account_id", "day", "cash")
-    last = before(empty, seen, ["account_id"], "balance_day", "day").where("day is not null and cash <> 0")
+    last = asof.before(empty, seen, ["account_id"], "balance_day", "day").where("day is not null and cash <> 0")
     bought = transactions.select(F.col("source_id").alias("purchase_account"), F.abs("amount").alias("paid"), "posted_day")
-    pairs = last.join(bought, "purchase_account").where((F.abs(F.col("paid") - F.col("cash")) <= F.lit(limit).cast(money.MONEY)) & (F.col("posted_day") >= F.date_sub("day", 7)))
-    return last.join(pairs.select("source_id").distinct(), "source_id", "left_anti").select("source_id", F.col("day").alias("kept_day"))
+    since = F.col("r.posted_day") >= F.date_sub("l.day", 7)
+    return asof.near(last, bought, ["purchase_account"], ("cash", "paid"), limit, "left_anti", since).select("source_id", F.col("day").alias("kept_day"))
