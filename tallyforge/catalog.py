@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import money, stats, text
-from .operators import asof, balances, holdings, merge_plan, rules, validation
+from .operators import asof, balances, holdings, merge_plan, pattern_index, rules, validation
 from .plans import adapters as ad
 from .plans import actions, decisions, naive_bayes, proposals, sync, views
 from .sources import scratch, sinks, store
@@ -979,6 +979,26 @@ def rolled_cost(spark, folder):
     return found.select("asset_id", F.round(F.col("rolled_cost").cast("double"), 6).alias("rolled_cost"))
 
 
+@query(
+    f"""WITH {ad.TX_SQL}, r AS (SELECT 'r' || p_partkey AS id, p_partkey AS k, p_name AS name, p_brand AS brand FROM part),
+t AS (SELECT id AS row_id, account_id, kind, abs(amount) AS size, description, upper(description) AS up FROM tx),
+m AS (SELECT row_id, r.id, r.k FROM t, r WHERE (r.k % 3 <> 0 OR account_id = r.k) AND (r.k % 5 <> 0 OR size > 50000) AND CASE r.k % 4 WHEN 0 THEN contains(up, upper(r.name)) WHEN 1 THEN starts_with(up, upper('sq *' || r.name))
+    WHEN 2 THEN up = upper('POS 12 ' || r.name || ' ' || r.brand) ELSE regexp_matches(description, '^(?:SQ \\*|POS [0-9]+ )?' || r.name || '.*') END
+  UNION ALL SELECT row_id, 'short', 1000000 FROM t WHERE regexp_matches(description, 'b.[a-z]k') UNION ALL SELECT row_id, 'one', 1000001 FROM t WHERE kind = 'DEPOSIT' AND contains(up, 'E'))
+SELECT t.row_id AS id, rule_id FROM t LEFT JOIN (SELECT row_id, id AS rule_id FROM m QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY k % 7 DESC, k) = 1) USING (row_id)"""
+)
+def rule_index_match(spark, folder):
+    """A rule for every part, and two without a literal, against all transactions: found by index, no list on the driver."""
+    k, m = F.col("p_partkey"), F.col("p_partkey") % 4
+    kinds = F.when(m == 0, "contains").when(m == 1, "starts_with").when(m == 2, "exact").otherwise("regex")
+    pattern = F.when(m == 0, F.col("p_name")).when(m == 1, F.concat(F.lit("sq *"), "p_name")).when(m == 2, F.concat(F.lit("POS 12 "), "p_name", F.lit(" "), "p_brand")).otherwise(F.concat(F.lit(r"^(?:SQ \*|POS [0-9]+ )?"), "p_name", F.lit(".*")))
+    some = lambda test, x: F.when(test, x)
+    listed = ad.table(spark, folder, "part").select(F.concat(F.lit("r"), k).alias("id"), k.alias("pos"), kinds.alias("match"), pattern.alias("pattern"), F.lit("c").alias("category_id"), (k % 7).alias("priority"), (k % 3 != 0).alias("is_global"), k.cast("string").alias("account_id"), F.lit(None).cast("string").alias("kind"), some(k % 5 == 0, "gt").alias("amount_op"), some(k % 5 == 0, 50000.0).alias("amount_value"), F.lit(None).cast("double").alias("amount_value2"))
+    more = [("short", 1000000, "regex", "b.[a-z]k", "c", 1000000 % 7, True, None, None, None, None, None), ("one", 1000001, "contains", "e", "c", 1000001 % 7, True, None, "DEPOSIT", None, None, None), ("broken", 1, "regex", "(unclosed", "c", 9, True, None, None, None, None, None)]
+    listed = listed.unionByName(spark.createDataFrame(more, listed.schema))
+    return pattern_index.first_match(ad.transactions(spark, folder).withColumnRenamed("description", "notes"), listed).select("id", "rule_id")
+
+
 SENT_SQL = """WITH st AS (SELECT p_partkey AS k, CAST(100 + p_size AS DECIMAL(18,6)) AS basis, ['10', '10.000', '10.5', '9.75'][1 + p_partkey % 4] AS old_sent, CASE p_partkey % 5 WHEN 0 THEN '12.000' WHEN 1 THEN '12' WHEN 2 THEN '12.5' WHEN 3 THEN '8.25' ELSE '40.00' END AS new_sent FROM part),
 d AS (SELECT *, CAST(old_sent AS DECIMAL(18,6)) AS old, CAST(new_sent AS DECIMAL(18,6)) AS new, greatest(length(split_part(old_sent, '.', 2)), length(split_part(new_sent, '.', 2))) AS places FROM st),
 fl AS (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS day, CAST(CASE WHEN l_linenumber = 4 THEN -l_quantity / 10000 ELSE l_quantity END AS DECIMAL(18,6)) AS amount, CASE WHEN l_linenumber = 1 THEN CAST(0.75 AS DECIMAL(6,4)) ELSE CAST(1 AS DECIMAL(6,4)) END AS share FROM lineitem WHERE l_linenumber IN (1, 3, 4) AND l_suppkey % 10 = 1),

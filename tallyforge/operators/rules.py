@@ -8,6 +8,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pattern_index
+
 
 def compiles(spark, pattern: str) -> bool:
     """Whether the engine's regular expressions accept the pattern."""
@@ -78,11 +80,11 @@ def match_counts(matched: DataFrame, rules: DataFrame, name: str = "rule_id") ->
 def descriptions_matching(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(key, id): rows whose own merchant key is the wanted one or whose notes match its pattern.
 
-    patterns: key, pattern; a stated list, which is compared with the rows in blocks.
+    patterns: key, pattern; any number of them, found by the literals that they have (``pattern_index``).
     """
     wanted = patterns.select(F.col("key").alias("wanted"), "pattern")
     by_key = rows.join(wanted.select("wanted"), F.col("merchant") == F.col("wanted")).select(F.col("wanted").alias("key"), "id")
-    listed = [(r["wanted"], r["pattern"]) for r in wanted.collect()]
-    found = F.array_compact(F.array(*(F.when(F.coalesce("notes", F.lit("")).rlike(p), k) for k, p in listed))) if listed else F.array().cast("array<string>")
-    by_text = rows.select(F.explode(found).alias("key"), "id")
+    text = F.coalesce("notes", F.lit(""))
+    fit = pattern_index.matches(rows.select(text.alias("text")), wanted.select(F.col("wanted").alias("id"), F.lit("regex").alias("match"), "pattern"))
+    by_text = rows.join(fit.select("text", F.col("id").alias("key")), text == F.col("text")).select("key", "id")
     return by_key.unionByName(by_text).distinct()
