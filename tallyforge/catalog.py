@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import money, stats, text
-from .operators import asof, balances, holdings, merge_plan, pattern_index, rules, validation
+from .operators import asof, balances, holdings, merge_plan, pattern_index, rules, selection, validation
 from .plans import adapters as ad
-from .plans import actions, decisions, naive_bayes, proposals, sync, views
+from .plans import actions, decisions, naive_bayes, paging, proposals, sync, upkeep, views
 from .sources import scratch, sinks, store
-from .streaming import replay
+from .streaming import replay, settling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1121,3 +1121,50 @@ def bucketed_upsert(spark, folder):
         t.upsert("customers", changed, verify=True)
         t.remove("customers", c.where("id % 7 = 0").select("id"))
     return kept.read("customers")
+
+
+# Stable reads, medians, pages, sums that are kept up
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS k, n AS attempt, CAST(c_acctbal AS DECIMAL(18,2)) + CASE WHEN (c_custkey + n) % 3 = 0 OR c_custkey % 10 = 0 THEN 1 WHEN n % 2 = 0 THEN 0.004 ELSE 0 END AS total, CAST(c_acctbal AS DECIMAL(18,2)) AS expected
+  FROM customer, (SELECT unnest(range(1, 19)) AS n) WHERE n <= 1 + c_custkey % 18), o AS (SELECT *, abs(total - expected) <= 0.005 AS ok FROM r WHERE attempt <= 15),
+s AS (SELECT *, ok AND coalesce(lag(ok) OVER (PARTITION BY k ORDER BY attempt), false) AS stable FROM o),
+e AS (SELECT k, min(attempt) FILTER (stable) AS first, max(attempt) AS last FROM s GROUP BY k)
+SELECT CAST(e.k AS VARCHAR) AS account_id, first IS NOT NULL AS settled, CAST(coalesce(first, last) AS INTEGER) AS attempts, CAST(total AS DOUBLE) AS total FROM e JOIN o ON o.k = e.k AND o.attempt = coalesce(first, last) WHERE first IS NOT NULL OR last >= 15"""
+)
+def settled_reads(spark, folder):
+    c, k, n = ad.table(spark, folder, "customer"), F.col("c_custkey"), F.col("attempt")
+    rows = c.select(k, F.col("c_acctbal").cast("decimal(18,2)").alias("expected"), F.explode(F.sequence(F.lit(1), (1 + k % 18).cast("int"))).alias("attempt"))
+    off = F.when(((k + n) % 3 == 0) | (k % 10 == 0), F.lit("1")).when(n % 2 == 0, F.lit("0.004")).otherwise(F.lit("0")).cast(money.MONEY)
+    return settling.settled(rows.select(k.alias("account_id"), "attempt", "expected", (F.col("expected") + off).alias("total"))).withColumn("total", real("total"))
+
+
+@query("SELECT l_returnflag AS flag, median(CAST(l_extendedprice AS DOUBLE)) AS median FROM lineitem GROUP BY l_returnflag")
+def exact_medians(spark, folder):
+    """Three keys, one of which has half of all rows."""
+    return selection.medians(ad.table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), "flag", "l_extendedprice")
+
+
+@query(f"WITH {ad.RESOLVED_SQL}, p AS (SELECT id, guess, guess_confidence, row_number() OVER (ORDER BY guess_confidence DESC, k) - 1 AS place FROM res WHERE NOT held_out AND {ad.OPEN_SQL}) SELECT place, id, guess, guess_confidence FROM p WHERE place >= 20 AND place < 30 OR place > 34 AND place <= 44")
+def indexed_pages(spark, folder):
+    """The third page of ten unlabeled rows, and the ten rows after a cursor, from the same index."""
+    rows = _resolved(spark, folder)
+    rows = rows.where(~F.col("held_out") & views.unlabeled(rows))
+    index = paging.PageIndex(rows.select("id", "ord", "guess", "guess_confidence"), [F.col("guess_confidence").desc(), F.col("ord").asc()], 15)
+    return index.page(2, 10).unionByName(index.after(34, 10)).select("place", "id", "guess", "guess_confidence")
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, {EX_SQL}, fin AS (SELECT * FROM ex WHERE id % 11 <> 0), {NB_SQL.format(train="fin")}
+SELECT label, feature, round(weight, 4) AS weight, seen FROM fs UNION ALL SELECT label, NULL, round(sum(weight), 4), count(*) FROM fin GROUP BY label"""
+)
+def nb_sums_kept_up(spark, folder):
+    """Sums of earlier examples with what has changed since added and taken away: other labels, new examples, examples that are gone."""
+    now, n = _examples(spark, folder).select("id", "features", "label", "weight"), F.col("id")
+    before = now.where("id % 3 <> 0").withColumn("label", F.when(n % 7 == 0, "k0").otherwise(F.col("label")))
+    changed = (n % 3 == 0) | (n % 7 == 0) | (n % 11 == 0)
+    signed = before.where(changed).withColumn("sign", F.lit(-1)).unionByName(now.where(changed & (n % 11 != 0)).withColumn("sign", F.lit(1)))
+    total = upkeep.added(upkeep.sums(before), upkeep.sums(signed, F.col("sign")))
+    whole = total.groupBy("label", "feature").agg(F.sum("weight").cast("double").alias("weight"), F.sum("seen").alias("seen"))
+    return whole.select("label", "feature", F.round("weight", 4).alias("weight"), "seen")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: The strength of each source.
 RANK = {"user": 4, "app-ui": 4, "merchant": 3, "cardmember": 2, "account": 1, "model": 0}
 #: Weights of training examples by source.
@@ -101,10 +103,18 @@ def last_action(log: DataFrame, by: str) -> DataFrame:
 
 
 def appended(log: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
-    """``log`` and the entries with the next seqs, in order; entries are what one action adds."""
+    """``log`` and the entries with the next seqs, in order; entries are what one action adds.
+
+    The entries are sorted by range and written; a range's first number is the number of entries in the ranges before.
+    """
     top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    numbered = entries.withColumn("n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top)).withColumn("seq", F.col("top") + F.col("n")).drop("n", "top")
-    return log.unionByName(numbered, allowMissingColumns=True)
+    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    ranged = scratch.written(ranged, "entries").withColumn("range_", F.shiftright("place_", 33))
+    before = F.sum("n").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    ends = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n")).select("range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    numbered = ranged.join(F.broadcast(ends), "range_").crossJoin(F.broadcast(top))
+    seq = F.col("top") + F.col("before_") + F.col("place_").bitwiseAND((1 << 33) - 1) + 1
+    return log.unionByName(numbered.withColumn("seq", seq).drop("range_", "before_", "place_", "top"), allowMissingColumns=True)
 
 
 def undone(log: DataFrame, by: str) -> DataFrame:
@@ -154,8 +164,8 @@ def renamed(log: DataFrame, merchants: list[str], name: str | None, by: str, act
     from ..functions.text import clean_name
 
     value = F.nullif(clean_name(F.lit(name).cast("string")), F.col("merchant"))
-    entries = keys.select("merchant", F.lit("merchant-name").alias("field"), F.lit("merchant").alias("source"), value.alias("value"), F.lit(by).alias("by"), F.lit(action).alias("action"))
-    return appended(log, entries, ["merchant"])
+    entries = keys.select("merchant", F.lit("merchant-name").alias("field"), F.lit("merchant").alias("source"), value.alias("value"), F.lit(by).alias("by"), F.lit(action).alias("action"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("boolean").alias("check"))
+    return appended(log, without_repeats(entries, log, "merchant"), ["merchant"])
 
 
 def external_edits(shown: DataFrame, applied: DataFrame, known_events: list[str]) -> DataFrame:

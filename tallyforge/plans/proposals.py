@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..operators import selection
 from . import naive_bayes
 
 
@@ -40,7 +41,9 @@ def top_values(rows: DataFrame, key: str, value: str, most: int = 5) -> DataFram
 def cards(rows: DataFrame) -> DataFrame:
     """What a model is shown of each merchant: no days, account names, numbers or categories."""
     own = rows.where("merchant <> ''")
-    base = own.groupBy("merchant").agg(F.count("*").alias("transactions"), F.round(F.median(F.abs(F.col("amount").cast("double"))), 2).alias("typical_amount"))
+    base = own.groupBy("merchant").agg(F.count("*").alias("transactions"))
+    typical = selection.medians(own.select("merchant", F.abs(F.col("amount").cast("double")).alias("size")), "merchant", "size", "typical_amount")
+    base = base.join(typical, "merchant", "left").withColumn("typical_amount", F.round("typical_amount", 2))
     for column, name in (("notes", "descriptions"), ("payee", "payees"), ("mcc", "mccs"), ("account_kind", "account_kinds"), ("kind", "kinds")):
         base = base.join(top_values(own, "merchant", column).withColumnRenamed("values", name), "merchant", "left")
     return base
