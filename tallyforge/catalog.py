@@ -1168,3 +1168,94 @@ def nb_sums_kept_up(spark, folder):
     total = upkeep.added(upkeep.sums(before), upkeep.sums(signed, F.col("sign")))
     whole = total.groupBy("label", "feature").agg(F.sum("weight").cast("double").alias("weight"), F.sum("seen").alias("seen"))
     return whole.select("label", "feature", F.round("weight", 4).alias("weight"), "seen")
+
+
+# Row by row: the merge plan, its payloads, problems, costs; cards and explanations
+
+
+@query(f"WITH {ad.TX_SQL} SELECT CAST(account_id AS VARCHAR) AS source_id, CAST(id AS VARCHAR) AS txn_id, {OPS_SQL} AS op, day, CAST(amount AS DOUBLE) AS amount, kind, CASE WHEN id % 4 <> 0 THEN 'a' || id END AS activity_id FROM tx")
+def merge_plan_rows(spark, folder):
+    source, mapping = _sources(spark, folder)
+    planned = merge_plan.plan(source, mapping, _ledger(spark, folder))
+    return planned.select("source_id", "txn_id", "op", "day", real("amount"), F.col("new_kind").alias("kind"), "activity_id")
+
+
+@query(
+    f"""WITH {ad.TX_SQL}, p AS (SELECT *, {OPS_SQL} AS op FROM tx) SELECT op, CASE WHEN op = 'update' THEN 'a' || id END AS id, CAST(account_id AS VARCHAR) AS account_id, kind, day, CAST(abs(amount) AS DOUBLE) AS amount, description AS comment,
+  'src:' || account_id || ':' || id AS key, '{{"source":{{"amount":"' || amount || '","date":"' || day || '","description":"' || description || '"}},"flow":{{"is_external":' || (kind IN ('TRANSFER_IN', 'TRANSFER_OUT')) || '}}}}' AS metadata FROM p WHERE op IN ('create', 'update')"""
+)
+def merge_payload_rows(spark, folder):
+    source, mapping = _sources(spark, folder)
+    made = merge_plan.payloads(merge_plan.plan(source, mapping, _ledger(spark, folder)))
+    return made.select("op", "id", "account_id", "kind", "day", real("amount"), "comment", "key", "metadata")
+
+
+@query(
+    """WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey || '-' || l_linenumber END AS txn_id, l_linenumber = 7 AS pending, CASE WHEN l_partkey % 37 = 0 THEN 'NaN' ELSE CAST(l_partkey AS VARCHAR) END AS amount, l_orderkey % 43 AS posted FROM lineitem),
+q AS (SELECT * FROM p WHERE NOT pending) SELECT source_id, txn_id, 'transaction without id' AS code FROM q WHERE txn_id IS NULL UNION ALL SELECT source_id, txn_id, 'amount is not finite' FROM q WHERE amount = 'NaN' UNION ALL SELECT source_id, txn_id, 'no valid date' FROM q WHERE posted = 0
+UNION ALL SELECT source_id, txn_id, 'conflicting versions' FROM q WHERE txn_id IS NOT NULL GROUP BY source_id, txn_id HAVING count(DISTINCT (amount, posted)) > 1"""
+)
+def payload_problem_rows(spark, folder):
+    n = F.col("l_orderkey")
+    rows = ad.table(spark, folder, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_id"), F.when(n % 41 != 0, F.concat_ws("-", n, "l_linenumber")).alias("txn_id"), (F.col("l_linenumber") == 7).alias("pending"), F.when(F.col("l_partkey") % 37 == 0, "NaN").otherwise(F.col("l_partkey").cast("string")).alias("amount"), (n % 43).cast("string").alias("posted"), F.lit("d").alias("description"))
+    return validation.payload_problems(rows)
+
+
+@query(
+    f"""WITH {POS_SQL} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CAST(n AS VARCHAR) AS position_id, CASE WHEN n % 5 = 0 THEN 'provider' WHEN n % 5 = 1 THEN 'purchase price' WHEN n % 5 = 2 THEN 'verified' WHEN n % 5 = 3 THEN 'retained' END AS cost_from,
+ CAST(CASE n % 5 WHEN 0 THEN value WHEN 1 THEN n WHEN 2 THEN 7 WHEN 3 THEN 2 END AS DOUBLE) AS average_cost, CAST(quantity AS DOUBLE) AS quantity, CAST(value AS DOUBLE) AS value FROM pos WHERE n % 50 <> 0"""
+)
+def cost_rows(spark, folder):
+    positions = _positions(spark, folder)
+    none = F.lit(None).cast(money.MONEY)
+    verified = positions.where("n % 5 = 2").select("source_id", F.col("symbol").alias("name_key"), F.lit(7).cast(money.MONEY).alias("unit_cost"), none.alias("verified_quantity"), none.alias("verified_basis"))
+    asset = money.uuid5(money.NAMESPACE_URL, F.concat_ws(":", F.lit("src"), "source_id", "position_id"))
+    current = positions.where("n % 5 = 3").select(asset.alias("asset_id"), F.col("quantity").alias("held_quantity"), (F.col("quantity") * 2).cast(money.MONEY).alias("held_basis"))
+    return holdings.planned(positions, _owners(spark, folder), current, verified).select("source_id", "position_id", "cost_from", real("average_cost"), real("quantity"), real("value"))
+
+
+@query(
+    f"""WITH {ad.EV_SQL}, m AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'HOLDINGS' ELSE 'TRANSACTIONS' END AS mode FROM ev GROUP BY ALL),
+s AS (SELECT ev.user_id, mode, CAST(ts AS DATE) AS day, CASE WHEN event_type IN ('view', 'click') THEN 'CALCULATED' ELSE 'MANUAL_ENTRY' END AS kind, value AS cash, event_type <> 'error' AS valid FROM ev JOIN m USING (user_id))
+SELECT CAST(user_id AS VARCHAR) AS account_id, day, kind, CAST(cash AS DOUBLE) AS cash FROM s WHERE (kind = 'CALCULATED') = (mode = 'TRANSACTIONS') AND valid AND day <= DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC, kind, cash) = 1"""
+)
+def readable_snapshots(spark, folder):
+    e, user = ad.events(spark, folder), F.col("user_id").cast("string").alias("account_id")
+    kind = F.when(F.col("event_type").isin("view", "click"), "CALCULATED").otherwise("MANUAL_ENTRY")
+    snapshots = e.select(user, F.to_date("ts").alias("day"), kind.alias("kind"), F.col("value").alias("cash"), (F.col("event_type") != "error").alias("valid"))
+    modes = e.select(user, F.when(F.col("user_id") % 2 == 0, "HOLDINGS").otherwise("TRANSACTIONS").alias("mode")).distinct()
+    return balances.readable(snapshots, modes, "2024-01-20").select("account_id", "day", "kind", real("cash"))
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL}, m AS (SELECT *, {ad.UNDONE_SQL} AS todo, greatest(abs(amount), 0.01) AS w FROM res), i AS (SELECT * FROM m WHERE todo),
+g AS (SELECT name, string_agg(guess || '=' || n, ',' ORDER BY n DESC, guess) AS predicted FROM (SELECT name, guess, count(*) AS n FROM i GROUP BY ALL) GROUP BY name),
+l AS (SELECT name, string_agg(label || '=' || n, ',' ORDER BY n DESC, label) AS labelled FROM (SELECT name, label, count(*) AS n FROM i WHERE label_source IN ('user', 'merchant') AND label IS NOT NULL GROUP BY ALL) GROUP BY name),
+s AS (SELECT name, count(*) AS rows, count(*) FILTER (label IS NULL) AS missing_label, count(*) FILTER (len(category_ids) = 0) AS missing_category, round(sum(abs(amount)), 2) AS total, round(sum(w * guess_confidence) / sum(w), 3) AS confidence, greatest(count(*) - 60, 0) AS more FROM i GROUP BY name),
+o AS (SELECT name, count(*) AS elsewhere FROM m WHERE NOT todo GROUP BY name)
+SELECT s.*, coalesce(elsewhere, 0) AS elsewhere, predicted, labelled FROM s LEFT JOIN o USING (name) LEFT JOIN g USING (name) LEFT JOIN l USING (name)"""
+)
+def card_details(spark, folder):
+    spoken = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["value"], x["n"])), ",").alias(c)
+    found = views.card_details(_resolved(spark, folder))
+    return found.select("name", "rows", "missing_label", "missing_category", "total", "confidence", "more", "elsewhere", spoken("predicted"), spoken("labelled"))
+
+
+@query(
+    f"""WITH {ad.RESOLVED_SQL}, x AS (SELECT *, k % 7 = 1 AS split, CASE WHEN k % 3 = 0 THEN category_ids[1] END AS category_id, CASE WHEN k % 2 = 0 THEN 'rule' WHEN k % 5 = 0 THEN 'import' END AS category_source, k % 4 = 0 AS ours, k % 8 = 0 AS preset, k % 12 = 0 AS logged FROM res),
+y AS (SELECT *, CASE WHEN split THEN 'the app' WHEN category_source = 'rule' THEN CASE WHEN ours AND logged THEN 'You' WHEN ours AND preset THEN 'app preset' ELSE 'app rule' END WHEN logged THEN 'You' ELSE 'You (in the app)' END AS who FROM x)
+SELECT id, CASE label_source WHEN 'merchant' THEN 'all of ' || name WHEN 'user' THEN 'this row' WHEN 'app-ui' THEN 'set in the app' WHEN 'account' THEN 'account default' WHEN 'cardmember' THEN 'cardmember on statement' WHEN 'model' THEN 'model ' || CAST(round(label_confidence * 100) AS INTEGER) || '%' END AS label_said_by,
+ {ORIGIN_SQL} AS label_origin, CASE label_source WHEN 'merchant' THEN 'a rule for every charge of ' || name WHEN 'user' THEN 'labelled by hand, this row only' WHEN 'app-ui' THEN 'edited in the app, which wins' WHEN 'account' THEN 'the account''s default' WHEN 'cardmember' THEN 'the issuer''s file names the cardmember' WHEN 'model' THEN 'the model''s prediction' END
+   || CASE WHEN k % 2 = 0 THEN ' · set 2024-05-06' ELSE '' END || CASE WHEN k % 3 = 0 THEN ' · r1 · r2' ELSE '' END || CASE WHEN k % 5 = 0 THEN ' · note: n' ELSE '' END AS label_why,
+ CASE WHEN split OR category_id IS NOT NULL THEN who END AS category_origin, CASE WHEN split THEN 'split' WHEN category_id IS NULL THEN NULL WHEN category_source = 'rule' THEN CASE WHEN ours AND preset THEN 'preset' ELSE 'rule' END ELSE coalesce(category_source, 'manual') END AS category_said_by,
+ CASE WHEN split THEN 'split across categories' WHEN category_id IS NOT NULL THEN CASE WHEN category_source = 'rule' AND ours THEN 'rule ''R'' (contains x)' WHEN category_source = 'rule' THEN 'a rule that no longer matches this row' WHEN category_source IS NULL THEN 'set by hand' ELSE 'source: ' || category_source END || ' · originator: ' || who END AS category_why FROM y"""
+)
+def explained_rows(spark, folder):
+    rows, k, none = _resolved(spark, folder), F.col("ord"), F.lit(None).cast("string")
+    when = lambda test, x: F.when(test, x)
+    rows = rows.select(
+        "*", F.lit("labeling serve").alias("label_by"), when(k % 2 == 0, "2024-05-06T07:08:09").alias("label_at"), F.lit(False).alias("label_accepted"), when(k % 3 == 0, F.array(F.lit("r1"), F.lit("r2"))).alias("label_reasons"), when(k % 5 == 0, "n").otherwise("").alias("label_note"),
+        when(k % 3 == 0, F.get("category_ids", F.lit(0))).alias("category_id"), (k % 7 == 1).alias("split"), when(k % 2 == 0, "rule").when(k % 5 == 0, "import").otherwise(none).alias("category_source"),
+        F.lit("R").alias("rule_name"), when(k % 4 == 0, F.get("category_ids", F.lit(0))).alias("rule_category"), F.lit("contains x").alias("rule_pattern"), (k % 8 == 0).alias("rule_preset"), when(k % 12 == 0, F.struct(F.lit("user").alias("source"), F.lit("labeling serve").alias("by"))).alias("category_entry"),
+    )
+    return views.explained(rows).select("id", "label_said_by", "label_origin", "label_why", "category_origin", "category_said_by", "category_why")

@@ -23,12 +23,23 @@ def projection(accounts: DataFrame, activities: DataFrame) -> DataFrame:
     value = money.activity_amount(F.col("kind"), F.col("amount"), F.col("account_kind"))
     after = F.coalesce("utc_day", "day") > F.col("balance_day")
     bad = F.col("amount").isNull() | (F.col("currency") != F.col("own_currency"))
-    sums = posted.groupBy("account_id").agg(F.sum(F.when(after, value)).alias("later"), F.sum(value).alias("actual"), F.max(bad).alias("unfit"))
+    sums = posted.groupBy("account_id").agg(F.sum(F.when(after, value)).alias("later"), F.sum(value).alias("actual"), F.max(bad).alias("unfit"), F.max(value.isNull()).alias("strange"))
     joined = accounts.join(sums, "account_id", "left")
     zero = F.lit(0).cast("decimal(38,10)")
     joined = joined.withColumn("expected", F.col("balance") + F.coalesce("later", zero)).withColumn("actual", F.coalesce("actual", zero))
     problem = F.when(F.coalesce("unfit", F.lit(False)), "not a cash-only ledger in one currency").when(~tolerance(F.col("actual") - F.col("expected"), money.HALF_CENT), "does not reconcile")
-    return joined.withColumn("problem", F.when(F.col("account_kind") == "CASH", problem)).drop("later", "unfit")
+    strange = F.when(F.coalesce("strange", F.lit(False)), "an activity of a kind that is no cash activity")
+    return joined.withColumn("problem", F.coalesce(strange, F.when(F.col("account_kind") == "CASH", problem))).drop("later", "unfit", "strange")
+
+
+def readable(snapshots: DataFrame, modes: DataFrame, today: str) -> DataFrame:
+    """Each account's last snapshot up to today that its mode reads: calculated ones by transactions, observed ones by holdings.
+
+    snapshots: account_id, day, kind, cash, valid (null: valid); modes: account_id, mode. Of several of one day the one with the least kind and cash.
+    """
+    fits = (F.col("kind") == "CALCULATED") == (F.col("mode") == "TRANSACTIONS")
+    seen = snapshots.join(modes.where(F.col("mode").isin("TRANSACTIONS", "HOLDINGS")).select("account_id", "mode"), "account_id")
+    return asof.latest(seen.where(fits & F.coalesce("valid", F.lit(True)) & (F.col("day") <= F.lit(today).cast("date"))).select("account_id", "mode", "day", "kind", "cash"), ["account_id"], "day")
 
 
 def settled(expected: DataFrame, actual: DataFrame) -> DataFrame:

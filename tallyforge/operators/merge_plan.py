@@ -94,7 +94,8 @@ def payloads(planned: DataFrame, zone: str = "UTC") -> DataFrame:
     transfer = F.col("new_kind").isin(*money.TRANSFERS)
     previous = F.try_variant_get(money.metadata(F.col("a_metadata")), "$.source.description", "string")
     comment = F.when(F.col("a_id").isNull() | F.col("a_comment").eqNullSafe(previous), F.col("description")).otherwise(F.col("a_comment"))
-    source = F.struct(F.col("amount").cast("string").alias("amount"), F.col("day").cast("string").alias("date"), "description")
+    utc_day = F.when(F.col("posted_at").isNotNull(), F.col("posted_day"))  # told apart where the day was moved to the account's zone
+    source = F.struct(F.col("amount").cast("string").alias("amount"), F.col("day").cast("string").alias("date"), "description", utc_day.cast("string").alias("utcDate"))
     meta = F.to_json(F.struct(source.alias("source"), F.struct((transfer & F.col("a_group_id").isNull()).alias("is_external")).alias("flow")))
     return planned.where("op in ('create', 'update')").select(
         "op", F.col("a_id").alias("id"), "account_id", F.col("new_kind").alias("kind"), F.lit("POSTED").alias("status"), "day",

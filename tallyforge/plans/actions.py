@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from . import decisions, naive_bayes, views
+from . import decisions, naive_bayes, paging, views
 
 
 def rule_of(prefix: str, merchant: Column) -> Column:
@@ -118,18 +118,16 @@ def without_basis(planned: DataFrame) -> DataFrame:
 def applied_in_batches(proposals: DataFrame, open_now: Callable[[], DataFrame], apply: Callable[[DataFrame], None], size: int = 50) -> int:
     """Apply proposals ``size`` at a time, in order of merchant; each batch keeps only merchants that are open by then.
 
-    ``open_now`` reads the merchants still without a category again. Gives the number of batches. One batch a round
-    comes from the table and is handed over as a table, so nothing is held by the driver but the last merchant.
+    ``open_now`` reads the merchants still without a category again. Gives the number of batches. The merchants are
+    sorted once, into an index whose pages are the batches; a batch is handed over as a table.
     """
-    after, rounds = "", 0
-    while True:
-        batch = proposals.where(F.col("merchant") > after).orderBy("merchant").limit(size)
-        last = batch.agg(F.max("merchant")).first()[0]
-        if last is None:
-            return rounds
-        inside = proposals.where((F.col("merchant") > after) & (F.col("merchant") <= last))
-        apply(inside.join(open_now().select("merchant").distinct(), "merchant", "left_semi"))
-        after, rounds = last, rounds + 1
+    index = paging.PageIndex(proposals.select("merchant").where("merchant is not null").distinct(), [F.col("merchant").asc()])
+    rounds = -(-index.total // size)
+    for number in range(rounds):
+        batch = index.page(number, size).select("merchant")
+        still = batch.join(open_now().select("merchant").distinct(), "merchant", "left_semi")
+        apply(proposals.join(still, "merchant", "left_semi"))
+    return rounds
 
 
 def switched(current: DataFrame, staged: DataFrame, accepted: Callable[[DataFrame], Column]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources import scratch
 
 ALPHA = 0.5
 BINS = 10
@@ -32,15 +33,16 @@ class Statistics:
 
 
 def fit(examples: DataFrame, classes: list[str]) -> Statistics:
+    """Sums by class and feature, from one pass over the examples: a class's own sums are those of a null feature."""
     spark = examples.sparkSession
-    exploded = examples.select("label", "weight", F.explode("features").alias("feature"))
-    features = exploded.groupBy("label", "feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("seen"))
-    prior = examples.groupBy("label").agg(F.sum("weight").alias("prior"))
+    exploded = examples.select("label", "weight", F.explode(F.concat(F.array(F.lit(None).cast("string")), "features")).alias("feature"))
+    sums = scratch.written(exploded.groupBy("label", "feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("seen")), "classifier")
+    features, prior = sums.where("feature is not null"), sums.where("feature is null").select("label", F.col("weight").alias("prior"))
     total = features.groupBy("label").agg(F.sum("weight").alias("total"))
     every = spark.createDataFrame([(c, k) for k, c in enumerate(classes)], "label string, ord int")
     by_class = every.join(prior, "label", "left").join(total, "label", "left").fillna(0.0, ["prior", "total"])
-    size, weight = features.agg(F.count_distinct("feature")).first()[0], examples.agg(F.sum("weight")).first()[0] or 0.0
-    return Statistics(classes, by_class, features, size, weight)
+    size, weight = sums.agg(F.count_distinct("feature"), F.sum(F.when(F.col("feature").isNull(), F.col("weight")))).first()  # one row
+    return Statistics(classes, by_class, features, size, weight or 0.0)
 
 
 def _scored(rows: DataFrame, features: DataFrame, models: DataFrame, classes: list[str]) -> DataFrame:

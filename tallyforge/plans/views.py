@@ -143,3 +143,75 @@ def account_report(accounts: DataFrame) -> DataFrame:
 
     count = F.count("*").over(Window.partitionBy("org"))
     return accounts.select("org", "name", "currency", F.format_number("balance", 2).alias("balance"), count.alias("accounts")).orderBy("org", "name")
+
+
+def _votes(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(name, votes): each different value of a card with its number, most frequent first, then by value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy("name", value).agg(F.count("*").alias("n"))
+    item = F.struct((-F.col("n")).alias("less"), F.col(value).alias("value"), "n")
+    return counts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(name))
+
+
+def card_details(rows: DataFrame, most: int = 60) -> DataFrame:
+    """Of each name with work left: rows, more than are shown, what is missing, dollars, labels elsewhere, all guesses with
+    their numbers, the queue's confidence, and labels by hand with their numbers (as classes are few, so are the votes of a card).
+
+    Only the name's rows that are in the queue count, but for ``elsewhere``.
+    """
+    left = incomplete(rows)
+    own = rows.where(F.coalesce("name", F.lit("")) != "")
+    inside = own.where(left)
+    amount = F.abs(F.coalesce(F.col("amount").cast("double"), F.lit(0.0)))
+    weight = F.greatest(amount, F.lit(0.01))
+    sums = inside.groupBy("name").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("label").isNull()).alias("missing_label"), F.count_if(F.size("category_ids") == 0).alias("missing_category"), F.round(F.sum(amount), 2).alias("total"),
+        F.round(F.sum(weight * F.col("guess_confidence")) / F.sum(weight), 3).alias("confidence"),
+    )
+    elsewhere = own.where(~left).groupBy("name").agg(F.count("*").alias("elsewhere"))
+    by_hand = inside.where(F.col("label_source").isin("user", "merchant"))
+    joined = sums.join(elsewhere, "name", "left").join(_votes(inside, "guess", "predicted"), "name", "left").join(_votes(by_hand, "label", "labelled"), "name", "left")
+    return joined.withColumn("more", F.greatest(F.col("rows") - most, F.lit(0))).fillna(0, ["elsewhere"])
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """Rows with what a reader is told of the label and of the category: who (``_origin``), how (``_by``) and why (``_why``).
+
+    rows: id, name, label_source, label_by, label_at, label_accepted, label_confidence, label_reasons, label_note;
+    category_id, split (whether it is split), category_source (rule, manual or another), and of the rule that matches the
+    row: rule_name, rule_category, rule_pattern, rule_preset; category_entry (source, by): the log's last category
+    decision on that rule or row. Without a label or category the columns are null.
+    """
+    source = F.col("label_source")
+    name, percent = F.coalesce("name", F.lit("")), F.round(F.coalesce("label_confidence", F.lit(0.0)) * 100).cast("int").cast("string")
+    of = lambda texts: F.coalesce(*(F.when(source == k, v) for k, v in texts.items()))
+    by = of({
+        "merchant": F.concat(F.lit("all of "), name), "user": F.when(F.coalesce("label_accepted", F.lit(False)), "this row (accepted prediction)").otherwise("this row"),
+        "app-ui": F.lit("set in the app"), "account": F.lit("account default"), "cardmember": F.lit("cardmember on statement"), "model": F.concat(F.lit("model "), percent, F.lit("%")),
+    })
+    why = of({
+        "merchant": F.concat(F.lit("a rule for every charge of "), name), "user": F.lit("labelled by hand, this row only"), "app-ui": F.lit("edited in the app, which wins"),
+        "account": F.lit("the account's default"), "cardmember": F.lit("the issuer's file names the cardmember"), "model": F.lit("the model's prediction"),
+    })
+    extra = F.concat(
+        F.coalesce(F.concat(F.lit(" · set "), F.substring(F.col("label_at").cast("string"), 1, 10)), F.lit("")),
+        F.coalesce(F.array_join(F.transform("label_reasons", lambda r: F.concat(F.lit(" · "), r)), ""), F.lit("")),
+        F.coalesce(F.concat(F.lit(" · note: "), F.nullif("label_note", F.lit(""))), F.lit("")),
+    )
+    found = rows.withColumns({"label_origin": F.when(source.isNotNull(), origin(source, F.col("label_by"))), "label_said_by": by, "label_why": F.concat(why, extra)})
+    split, by_rule = F.coalesce("split", F.lit(False)), F.col("category_source") == "rule"
+    ours = F.coalesce(F.col("rule_category") == F.col("category_id"), F.lit(False))
+    preset = ours & F.coalesce("rule_preset", F.lit(False))
+    has = split | F.col("category_id").isNotNull()
+    kind = F.coalesce(F.nullif("category_source", F.lit("")), F.lit("manual"))
+    told = F.when(F.col("category_entry").isNotNull(), origin(F.col("category_entry.source"), F.col("category_entry.by")))
+    who = F.when(split, "the app").when(by_rule, F.coalesce(F.when(ours, told), F.when(preset, "app preset"), F.lit("app rule"))).otherwise(F.coalesce(told, F.lit("You (in the app)")))
+    reason = (
+        F.when(by_rule & ours, F.concat(F.lit("rule '"), "rule_name", F.lit("' ("), "rule_pattern", F.lit(")")))
+        .when(by_rule, "a rule that no longer matches this row")
+        .when(kind == "manual", "set by hand")
+        .otherwise(F.concat(F.lit("source: "), kind))
+    )
+    return found.withColumns({
+        "category_origin": F.when(has, who), "category_said_by": F.when(has, F.when(split, "split").when(by_rule, F.when(preset, "preset").otherwise("rule")).otherwise(kind)),
+        "category_why": F.when(has, F.when(split, "split across categories").otherwise(F.concat(reason, F.lit(" · originator: "), who))),
+    })
