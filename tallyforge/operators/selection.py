@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 
 #: Cells of a histogram.
-CELLS = 256
+CELLS = 4096
 
 
 def medians(rows: DataFrame, key: str, value: str, name: str = "median") -> DataFrame:
@@ -19,6 +19,7 @@ def medians(rows: DataFrame, key: str, value: str, name: str = "median") -> Data
     CELLS or more. Keys that are done are not read for again.
     """
     data = rows.select(F.col(key).alias("key_"), F.col(value).cast("double").alias("v_")).where("v_ is not null and not isnan(v_)")
+    data = scratch.written(data, "values")  # read once a turn
     sums = data.groupBy("key_").agg(F.count(F.lit(1)).alias("n"), F.min("v_").alias("low"), F.max("v_").alias("high"))
     ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
     state = scratch.written(sums.select("key_", ranks, F.lit(0).cast("long").alias("below"), "low", "high"), "medians")
