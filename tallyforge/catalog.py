@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import money, stats, text
 from .operators import asof, balances, holdings, merge_plan, pattern_index, rules, selection, validation
 from .plans import adapters as ad
-from .plans import actions, decisions, naive_bayes, paging, proposals, sync, upkeep, views
+from .plans import actions, decisions, evaluation, naive_bayes, paging, proposals, sync, upkeep, views
 from .sources import scratch, sinks, store
 from .streaming import replay, settling
 
@@ -1259,3 +1259,11 @@ def explained_rows(spark, folder):
         F.lit("R").alias("rule_name"), when(k % 4 == 0, F.get("category_ids", F.lit(0))).alias("rule_category"), F.lit("contains x").alias("rule_pattern"), (k % 8 == 0).alias("rule_preset"), when(k % 12 == 0, F.struct(F.lit("user").alias("source"), F.lit("labeling serve").alias("by"))).alias("category_entry"),
     )
     return views.explained(rows).select("id", "label_said_by", "label_origin", "label_why", "category_origin", "category_said_by", "category_why")
+
+
+@query(None)
+def evaluation_report(spark, folder):
+    """Fits and all: unseen merchants, a later period and the blind check set of customers as rows and events as decisions."""
+    rows = ad.labelled_rows(spark, folder)
+    features = F.array(F.concat(F.lit("m:"), "merchant"), F.concat(F.lit("acc:"), "account"), F.concat(F.lit("amt:"), text.amount_bucket(F.col("amount")).cast("string")))
+    return evaluation.report(rows.withColumn("features", features), ad.decision_log(spark, folder), ["v0", "v1", "v2", "d0", "d1", "card"], 0.5)

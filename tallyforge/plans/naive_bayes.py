@@ -160,6 +160,56 @@ def fit_calibration(pairs: DataFrame) -> tuple[float, float]:
     return round(max(float(model.coefficients[0]), 1e-3), 6), round(float(model.intercept), 6)
 
 
+def fit_calibrations(pairs: DataFrame, folds: int = 5, turns: int = 50) -> dict[int | None, tuple[float, float]]:
+    """Platt's slope and intercept without each fold, and (None) of all, for (fold, posterior, correct): as ``fit_calibration``.
+
+    Newton's method for all of them at once: every turn is one sum over the written counts by fold and log odds, whose
+    result is one row.
+    """
+    z = stats.logit(F.col("posterior")).alias("z")
+    counts = scratch.written(pairs.groupBy("fold", z).agg(F.count_if("correct").alias("r"), F.count_if(~F.col("correct")).alias("w")), "calibration")
+    keys: list[int | None] = [*range(folds), None]
+    used = {k: F.lit(True) if k is None else F.col("fold") != k for k in keys}
+    sizes = counts.agg(*(F.coalesce(F.sum(F.when(used[k], F.col(c))), F.lit(0)).alias(f"{c}{i}") for i, k in enumerate(keys) for c in "rw")).first()
+    at = {k: (0.0, math.log((sizes[f"r{i}"] + 1) / (sizes[f"w{i}"] + 1))) for i, k in enumerate(keys)}
+    loss: dict[int | None, float] = {}
+    step = {k: (0.0, 0.0) for k in keys}
+    left = {k for i, k in enumerate(keys) if sizes[f"r{i}"] + sizes[f"w{i}"]}
+    found: dict[int | None, tuple[float, float]] = {k: (1.0, 0.0) for k in keys if k not in left}
+    for _ in range(turns):
+        if not left:
+            break
+        wanted = []
+        for k in sorted(left, key=str):
+            i = keys.index(k)
+            (a, b), right, wrong = at[k], sizes[f"r{i}"], sizes[f"w{i}"]
+            n, margin = F.col("r") + F.col("w"), F.lit(a) * F.col("z") + b
+            yes = F.col("r") * ((right + 1) / (right + 2)) + F.col("w") * (1 / (wrong + 2))
+            p = stats.sigmoid(margin)
+            off, curve = n * p - yes, n * p * (1 - p)
+            cost = n * (F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))) - yes * margin
+            parts = {"l": cost, "g0": off, "g1": off * F.col("z"), "h0": curve, "h1": curve * F.col("z"), "h2": curve * F.col("z") * F.col("z")}
+            wanted += [F.sum(F.when(used[k], x)).alias(f"{c}{i}") for c, x in parts.items()]
+        row = counts.agg(*wanted).first()
+        for k in sorted(left, key=str):
+            i = keys.index(k)
+            cost, g0, g1, h0, h1, h2 = (row[f"{c}{i}"] for c in ("l", "g0", "g1", "h0", "h1", "h2"))
+            if k in loss and cost > loss[k] + 1e-12 * abs(loss[k]):  # too far: half the way back
+                step[k] = tuple(s / 2 for s in step[k])
+                at[k] = tuple(x - s for x, s in zip(at[k], step[k], strict=True))
+                continue
+            loss[k] = cost
+            h0, h2 = h0 + 1e-12, h2 + 1e-12
+            det = h0 * h2 - h1 * h1
+            move = (-(h0 * g1 - h1 * g0) / det, -(h2 * g0 - h1 * g1) / det) if det > 1e-18 else (0.0, -g0 / h0)
+            step[k], at[k] = move, (at[k][0] + move[0], at[k][1] + move[1])
+            if max(map(abs, move)) < 1e-9:
+                left.discard(k)
+                found[k] = at[k]
+    found |= {k: at[k] for k in left}
+    return {k: (round(max(a, 1e-3), 6), round(b, 6)) for k, (a, b) in found.items()}
+
+
 def metrics(pairs: DataFrame, threshold: float) -> DataFrame:
     """One row: n, accuracy, coverage, precision (null if nothing is covered) and calibration error of (guess, confidence, truth)."""
     right, sure = (F.col("guess") == F.col("truth")).cast("int"), F.col("confidence") >= threshold

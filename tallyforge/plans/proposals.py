@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import selection
+from ..sources import scratch
 from . import naive_bayes
 
 
@@ -79,12 +80,11 @@ def evaluated(answers: DataFrame, truth: DataFrame) -> tuple[DataFrame, tuple[fl
     """
     rows = answers.where("p is not null").select("merchant", F.col("p").alias("posterior"), F.col("category_id").alias("guess")).join(truth.withColumnRenamed("category_id", "truth"), "merchant")
     rows = rows.withColumn("fold", stats.fold(F.col("merchant"))).withColumn("correct", F.col("guess").eqNullSafe(F.col("truth")))
-    parts = None
-    for held in range(5):
-        slope, intercept = naive_bayes.fit_calibration(rows.where(F.col("fold") != held))
-        part = rows.where(F.col("fold") == held).select("merchant", "guess", naive_bayes.calibrated(F.col("posterior"), slope, intercept).alias("confidence"), "truth", "source")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts, naive_bayes.fit_calibration(rows)
+    rows = scratch.written(rows, "evaluated")
+    fits = naive_bayes.fit_calibrations(rows.select("fold", "posterior", "correct"))
+    pick = lambda k: F.coalesce(*(F.when(F.col("fold") == fold, fits[fold][k]) for fold in range(5)))
+    z = pick(0) * stats.logit(F.col("posterior")) + pick(1)
+    return rows.select("merchant", "guess", F.round(stats.sigmoid(z), 3).alias("confidence"), "truth", "source"), fits[None]
 
 
 def chosen(proposals: DataFrame, rows: DataFrame, threshold: float | None) -> DataFrame:
