@@ -34,7 +34,8 @@ def report(rows: DataFrame, log: DataFrame, classes: list[str], threshold: float
     examples = scratch.written(found.join(rows.select("id", "day"), "id"), "examples")
     if calibration is None:
         held = naive_bayes.out_of_fold(examples, classes)
-        calibration = naive_bayes.fit_calibration(held.select("posterior", (F.col("guess") == F.col("truth")).alias("correct")))
+        judged = held.select(F.lit(0).alias("fold"), "posterior", (F.col("guess") == F.col("truth")).alias("correct"))
+        calibration = naive_bayes.fit_calibrations(judged, folds=0)[None]
     sure = naive_bayes.calibrated(F.col("posterior"), *calibration).alias("confidence")
     pairs = {}
     for name, weight in (("labels", 1.0), ("cardmember", 0.3)):
