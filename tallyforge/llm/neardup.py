@@ -195,5 +195,8 @@ def firsts(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     kept = docs.alias("d").join(first, same, "left_semi")
     if not rooted.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return kept
-    hashed = kept.withColumn("text_hash_", F.xxhash64("text"))  # equal rows
-    return hashed.dropDuplicates(["doc_id", "text_hash_"]).select(*docs.columns)
+    name = "text_hash"
+    while name in docs.columns:
+        name += "_"
+    hashed = kept.withColumn(name, F.xxhash64("text"))  # equal rows
+    return hashed.dropDuplicates(["doc_id", name]).select(*docs.columns)

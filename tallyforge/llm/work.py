@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``.
 
-    A session without that setting (tests, one machine) gets a folder of its own, once.
+    A session on one machine without that setting (tests) gets a folder of its own, once; several machines need it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("several machines need a shared folder: set spark.checkpoint.dir")
         own = tempfile.mkdtemp(prefix="tallyforge-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
