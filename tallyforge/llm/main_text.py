@@ -2,11 +2,12 @@
 
 1. Each page is read into blocks of text with what their elements say: inside the main element (``article``, ``main``,
    an article body), never article text (menus, forms, side bars, comments ...), or neither.
-2. The blocks outside main elements are token streams (``Cut`` words a token, cut where the words say so, never across
-   blocks). A host's streams are concatenated in shards, their suffixes sorted as far as LONG words go, and equal ones
-   put together; the shards' intervals meet in one sum by substring, so a host of any size is dealt out evenly.
-3. A substring found on at least PAGES pages of the host with different content covers its blocks. Copies of a page count
-   once, so an article that is published many times is no boilerplate.
+2. The blocks outside main elements are streams of words; each word begins a suffix. A host's streams are concatenated in
+   shards, their suffixes sorted as far as LONG words go, and equal ones put together; the shards' intervals meet in one
+   sum by substring, so a host of any size is dealt out evenly. A longer repeat is the union of its LONG-word windows.
+3. A substring found on at least PAGES pages of the host with different content covers its words, and a block of which
+   more than half is covered is taken away whole. Copies of a page count once, so an article that is published many times
+   is no boilerplate. Main elements are kept whatever repeats in them, so their words are no suffixes.
 4. Kept are, in page order: all blocks of main elements, repeated or not; and the uncovered ones outside that no element
    speaks against, where the page has no main element (else only its headline).
 
@@ -28,10 +29,8 @@ from pyspark.sql import functions as F
 
 from .work import written
 
-#: Words that a repeated substring has at least (fewer where a stream ends), and pages that it is on.
+#: Words that a repeated substring has at least (fewer where whole blocks end a stream), and pages that it is on.
 LONG, PAGES = 6, 3
-#: A token ends at about one in so many words of a block.
-CUT = 32
 
 # Fixed names of HTML and usual names of page parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,14 +205,8 @@ def _hash(text: str) -> int:
 
 
 def tokens(block: str) -> list[tuple[int, int]]:
-    """A block's tokens (hash, words): cut after words whose hash says so."""
-    out, begin = [], 0
-    words = block.split(" ")
-    for k, word in enumerate(words):
-        if k + 1 == len(words) or _hash(word) % CUT == 0:
-            out.append((_hash(" ".join(words[begin : k + 1])), k + 1 - begin))
-            begin = k + 1
-    return out
+    """A block's tokens (hash, words): its words."""
+    return [(_hash(word), 1) for word in block.split(" ")]
 
 
 _PARSED = "row long, page_id long, url string, host long, content long, main boolean, text string, blocks array<struct<text: string, says: int, headline: boolean, after: int>>"
@@ -240,64 +233,81 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in re.sub("<.*>", "", _PARSED).split(", ")])
 
 
-def _sorted_suffixes(host: np.ndarray, token: np.ndarray, size: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated streams: the order of the suffixes, cut at LONG words, where equal ones begin, and how many tokens each has.
+def _sorted_suffixes(host: np.ndarray, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated streams: the order of the suffixes, cut at LONG words, where equal ones begin, and how many words each has.
 
     ends: for each place, the end of its stream.
     """
     n = len(token)
-    at, words, columns = np.arange(n), np.zeros(n, np.int64), []
-    taken = np.zeros(n, np.int64)
-    for k in range(LONG):  # a token has a word or more
-        go = (words < LONG) & (at + k < ends)
-        where = np.minimum(at + k, n - 1)
-        columns.append(np.where(go, token[where], -1))
-        words += np.where(go, size[where], 0)
-        taken += go
+    at, columns = np.arange(n), []
+    for k in range(LONG):
+        columns.append(np.where(at + k < ends, token[np.minimum(at + k, n - 1)], -1))
     order = np.lexsort([*columns[::-1], host])
     new = np.zeros(n, bool)
     new[:1] = True
     for x in (host, *columns):
         new[1:] |= x[order[1:]] != x[order[:-1]]
-    return order, new, taken
+    return order, new, np.minimum(ends - at, LONG)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a shard of pages: each suffix's substring (a hash with its host), page content, page row, first and last block."""
+    """Of a shard of pages: each suffix's substring (a hash with its host), page content, page row, first word (of all the page's) and words.
+
+    A suffix of fewer than LONG words counts from the beginning of a block only.
+    """
     for batch in batches:
-        host, row, content, token, size, block, ends = [], [], [], [], [], [], []
+        host, row, content, token, word, starts, ends = [], [], [], [], [], [], []
         for h, r, c, blocks in zip(*(batch.column(x).to_pylist() for x in ("host", "row", "content", "blocks")), strict=True):
-            begin = len(token)
+            page = begin = len(token)
             for k, b in enumerate(blocks):
                 if k and b["after"] != blocks[k - 1]["after"]:  # main text lies between
                     ends += [len(token)] * (len(token) - begin)
                     begin = len(token)
-                for t, words in tokens(b["text"]):
-                    token.append(t)
-                    size.append(words)
-                    block.append(k)
-                    host.append(h)
-                    row.append(r)
-                    content.append(c)
+                own = [t for t, _ in tokens(b["text"])]
+                token += own
+                starts += [True, *[False] * (len(own) - 1)]
             ends += [len(token)] * (len(token) - begin)
+            n = len(token) - page
+            word += range(n)
+            host += [h] * n
+            row += [r] * n
+            content += [c] * n
         if not token:
             continue
-        host, row, content, token, size, block, ends = (np.array(x, np.int64) for x in (host, row, content, token, size, block, ends))
-        order, new, taken = _sorted_suffixes(host, token, size, ends)
+        host, row, content, token, word, ends = (np.array(x, np.int64) for x in (host, row, content, token, word, ends))
+        order, new, taken = _sorted_suffixes(host, token, ends)
         first = order[np.flatnonzero(new)]
         name = np.fromiter((xxhash.xxh3_64_intdigest(np.append(token[a : a + taken[a]], host[a]).tobytes()) >> 1 for a in first.tolist()), np.int64, len(first))
         name = name[np.cumsum(new) - 1]
-        last = block[order + taken[order] - 1]
-        yield pa.record_batch([pa.array(name), pa.array(content[order]), pa.array(row[order]), pa.array(block[order].astype(np.int32)), pa.array(last.astype(np.int32))], ["substring", "content", "row", "first", "last"])
+        good = (taken[order] == LONG) | np.array(starts, bool)[order]
+        name, order = name[good], order[good]
+        yield pa.record_batch([pa.array(name), pa.array(content[order]), pa.array(row[order]), pa.array(word[order].astype(np.int32)), pa.array(taken[order].astype(np.int32))], ["substring", "content", "row", "word", "words"])
 
 
 def covered(parsed: DataFrame) -> DataFrame:
-    """Blocks (row, block) outside main elements that lie in a substring which PAGES or more pages of the host have."""
-    outside = parsed.where(F.size("blocks") > 0).select("row", "host", "content", "blocks")
-    suffixes = written(outside.mapInArrow(_suffixes, "substring long, content long, row long, first int, last int"), "page-suffixes")
+    """Blocks (row, block) outside main elements that lie by more than half in substrings which PAGES or more pages of the host have."""
+    outside = parsed.where(F.size("blocks") > 0)
+    suffixes = written(outside.select("row", "host", "content", "blocks").mapInArrow(_suffixes, "substring long, content long, row long, word int, words int"), "page-suffixes", compression="zstd")
     pages = suffixes.select("substring", "content").distinct().groupBy("substring").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES)
-    hit = suffixes.select("substring", "row", "first", "last").join(pages.select("substring"), "substring")
-    return hit.select("row", F.explode(F.sequence("first", "last")).alias("block")).distinct()
+    hit = suffixes.select("substring", "row", "word", "words").join(pages.select("substring"), "substring")
+    hit = hit.select("row", F.explode(F.sequence("word", F.col("word") + F.col("words") - 1)).alias("word")).distinct()
+    # of each block: its words before (of the page's blocks) and its own
+    sizes = outside.select("row", F.transform("blocks", lambda b: F.size(F.split(b["text"], " "))).alias("sizes"))
+    upto = sizes.join(hit.groupBy("row").agg(F.sort_array(F.collect_list("word")).alias("hit")), "row")
+    return upto.mapInArrow(_mostly, "row long, block int")
+
+
+def _mostly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks more than half of whose words (sizes) are hit."""
+    for batch in batches:
+        rows, found = [], []
+        for r, sizes, hit in zip(*(batch.column(x) for x in ("row", "sizes", "hit")), strict=True):
+            end = np.cumsum(np.asarray(sizes.values))
+            n = np.diff(np.searchsorted(np.asarray(hit.values), end), prepend=0)
+            most = np.flatnonzero(2 * n > np.asarray(sizes.values))
+            rows += [r.as_py()] * len(most)
+            found += most.tolist()
+        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(found, pa.int32())], ["row", "block"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:

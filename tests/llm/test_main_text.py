@@ -116,3 +116,13 @@ def test_long_and_broken_pages_take_time_in_proportion():
         main_text.Reader("<main>" + piece * 60_000).blocks  # noqa: B018
     text = "word " * 400_000
     assert main_text.Reader(f"<article><p>{text}</article>").blocks[0][0] == text.strip()
+
+
+def test_repeats_are_found_wherever_they_begin_in_a_block(spark):
+    rng = random.Random(11)
+    notice = "printed by the Daily Paper of the Town and Country, all rights reserved"
+    articles = {k: say(rng, 60) for k in range(4)}
+    quote = say(rng, 7)  # in the middle of articles: the rest of those is unique
+    pages = {k: f"<div>{a} {quote} {say(rng, 60)} end.</div>" for k, a in articles.items()}
+    rows = [(k, f"http://paper.example/{k}", f"{p}<div>Issue {k} of week {k + 20}, {notice} - page {k + 7}</div>") for k, p in pages.items()]
+    assert found(spark, rows) == {k: p[5:-6] for k, p in pages.items()}
