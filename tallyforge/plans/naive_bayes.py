@@ -69,6 +69,24 @@ def _scored(rows: DataFrame, features: DataFrame, models: DataFrame, classes: li
     return powers.withColumn("whole", whole).select("id", "whole", F.posexplode("e").alias("ord", "e")).select("id", F.get(labels, F.col("ord")).alias("label"), "ord", (F.col("e") / F.col("whole")).alias("posterior"))
 
 
+def _patterns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (model, features and others) and their different (id, model, features), written: rows of one pattern have one score."""
+    different = rows.select("model", "features").distinct().withColumn("id", F.monotonically_increasing_id())
+    return rows, scratch.written(different.select("id", "model", "features"), "patterns")
+
+
+def _of_pattern(rows: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with what was ``found`` (id of the pattern and others) for their pattern."""
+    kept = scratch.written(patterns.join(found, "id").select(F.col("model").alias("model_"), F.col("features").alias("features_"), *(c for c in found.columns if c != "id")), "pattern-scores")
+    return rows.join(kept, (F.col("model") == F.col("model_")) & F.col("features").eqNullSafe(F.col("features_"))).drop("model_", "features_")
+
+
+def guesses(rows: DataFrame, model: Statistics) -> DataFrame:
+    """(id, guess, posterior) of rows (id, features), as ``best`` of their ``scores``; equal features are scored once."""
+    asked, patterns = _patterns(rows.select("id", F.lit(0).alias("model"), "features"))
+    return _of_pattern(asked, patterns, best(scores(patterns.select("id", "features"), model))).select("id", "guess", "posterior")
+
+
 def scores(rows: DataFrame, model: Statistics) -> DataFrame:
     """(id, label, ord, posterior) of every row and class."""
     one = F.lit(0).alias("model")
@@ -114,7 +132,7 @@ def out_of_fold(examples: DataFrame, classes: list[str], k: int = 5) -> DataFram
     Sums by fold are taken once; the model of a held fold is what the other folds' sums make, so that features seen
     only in the held one are not in its vocabulary.
     """
-    folded = examples.withColumn("model", fold_column(F.col("features"), F.col("id")))
+    folded = scratch.written(examples.select("id", "features", "label", "weight", fold_column(F.col("features"), F.col("id")).alias("model")), "folded")
     every = F.explode(F.array(*map(F.lit, range(k)))).alias("held")
 
     def others(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,8 +149,9 @@ def out_of_fold(examples: DataFrame, classes: list[str], k: int = 5) -> DataFram
     size = features.groupBy("model").agg(F.count_distinct("feature").alias("vocabulary"))
     weight = prior.groupBy("model").agg(F.sum("weight").alias("weight"))
     models = models.join(size, "model").join(weight, "model").select("model", "vocabulary", "weight", "classes")
-    guess = best(_scored(folded.select("id", "model", "features"), features.select("model", "feature", "label", "weight"), models, classes))
-    return guess.join(examples.select("id", F.col("label").alias("truth")), "id").select("id", "truth", "guess", "posterior")
+    asked, patterns = _patterns(folded.select("id", F.col("label").alias("truth"), "model", "features"))
+    found = best(_scored(patterns, features.select("model", "feature", "label", "weight"), models, classes))
+    return _of_pattern(asked, patterns, found).select("id", "truth", "guess", "posterior")
 
 
 def calibrated(p: Column, slope: float, intercept: float) -> Column:

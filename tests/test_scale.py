@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import stats
 from tallyforge.operators import asof, balances, selection
-from tallyforge.plans import decisions, paging, upkeep
+from tallyforge.plans import decisions, naive_bayes, paging, upkeep
 from tallyforge.sources.store import Store
 
 
@@ -126,3 +126,20 @@ def test_sums_after_random_actions_and_undos_are_those_of_a_full_fit(spark, tmp_
     assert content(stored) == content(upkeep.sums(upkeep.examples(table, spark.createDataFrame(entries, LOG))))
     whole, part = upkeep.model(stored, ["u", "v", "d0", "c0"]), upkeep.model(stored, ["u", "v", "d0", "c0"], held=0)
     assert whole.weight >= part.weight and whole.vocabulary >= part.vocabulary
+
+
+def test_rows_of_equal_features_are_scored_once(spark):
+    rng = random.Random(4)
+    rows = [(str(k), None if k % 40 == 0 else [f"m:M{k % 7}", f"dow:{rng.randrange(3)}", *([None] if k % 30 == 0 else [])], "LR"[k % 7 > 2], 1.0) for k in range(400)]
+    table = spark.createDataFrame(rows, "id string, features array<string>, label string, weight double")
+    model = naive_bayes.fit(table, ["L", "R"])
+    want = {r.id: (r.guess, round(r.posterior, 9)) for r in naive_bayes.best(naive_bayes.scores(table, model)).collect()}
+    assert {r.id: (r.guess, round(r.posterior, 9)) for r in naive_bayes.guesses(table, model).collect()} == want and len(want) == 400
+    _, patterns = naive_bayes._patterns(table.select("id", F.lit(0).alias("model"), "features"))
+    assert patterns.count() == len({str(r[1]) for r in rows})
+    held = naive_bayes.out_of_fold(table, ["L", "R"])
+    assert held.count() == 400 and {(r.id, r.truth) for r in held.collect()} == {(r[0], r[2]) for r in rows}
+    names = spark.createDataFrame([(f"n{k}",) for k in range(50)] + [(None,), ("",)], "name string")
+    import hashlib
+
+    assert all(r.fold == (None if r.name is None else int(hashlib.sha1(r.name.encode()).hexdigest(), 16) % 5) for r in names.withColumn("fold", stats.fold(F.col("name"))).collect())
