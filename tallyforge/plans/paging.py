@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 
-#: Rows of a range, about.
-PER_RANGE = 50_000
+#: Rows of a range, about; ranges from which on smaller ones are made larger, up to that.
+PER_RANGE, MANY = 50_000, 256
 
 
 class PageIndex:
     """Rows sorted by range and written once, with each range's number of rows.
 
     order: columns that put the rows in one order (an id last); every row has a ``place`` from 0, which is a cursor.
-    The driver holds one number a range.
+    The driver holds one number a range: a range has ``per_range`` rows, more where that made over MANY ranges, and
+    PER_RANGE at most (or ``per_range``, if that is more).
     """
 
     def __init__(self, rows: DataFrame, order: list[Column], per_range: int = PER_RANGE):
         names = [f"order_{k}_" for k in range(len(order))]
-        ranges = max(1, -(-rows.count() // per_range))
+        rows = scratch.written(rows, "paged")  # counted, sampled and dealt out
+        n = rows.count()
+        ranges = max(1, -(-n // max(per_range, min(PER_RANGE, -(-n // MANY)))))
         place = F.monotonically_increasing_id()
         dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", place).withColumn("range_", F.shiftright("place", 33))
         self.columns, self.path = rows.columns, scratch.folder(rows.sparkSession, "pages")
