@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: Letters that a pattern is filed under; patterns of a block.
 GRAM, BLOCK = 3, 256
 #: A character that no pattern has.
@@ -58,59 +60,80 @@ def _fits(kind: Column, pattern: Column, text: Column, upper: Column) -> Column:
     )
 
 
-def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(text, id) of all different texts (text) and patterns (id, match, pattern) that fit.
+def fitting(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text, match, pattern) of all different texts (text) and different patterns (match, pattern; null is '') that fit.
 
     match: regex, contains, starts_with or exact; all but regex without regard to case. An expression that is none fits
     nothing, any other kind of match neither.
     """
     texts = texts.select("text").where("text is not null").distinct()
-    kinds = patterns.where(F.col("match").isin("regex", "contains", "starts_with", "exact")).select("id", "match", F.coalesce("pattern", F.lit("")).alias("pattern"))
+    kinds = patterns.where(F.col("match").isin("regex", "contains", "starts_with", "exact")).select("match", F.coalesce("pattern", F.lit("")).alias("pattern")).distinct()
     sound = kinds.where((F.col("match") != "regex") | compiles(F.col("pattern")))
     plain = F.upper("pattern")
     filed = sound.withColumn("literal", F.when(F.col("match") == "regex", literal(F.col("pattern"))).when(F.length(plain) >= GRAM, plain))
-    keys = filed.where("literal is not null").select("id", "match", "pattern", F.explode(grams(F.col("literal"))).alias("gram"))
+    keys = filed.where("literal is not null").select("match", "pattern", F.explode(grams(F.col("literal"))).alias("gram"))
     spread = texts.select("text", F.explode(grams(F.upper("text"))).alias("gram")).join(keys.select("gram").distinct(), "gram", "left_semi")
     counts = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # three letters that no text has leave the pattern without a match
-    rarest = keys.join(counts, "gram", "left").groupBy("id", "match", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rarest = rarest.where("least.n > 0").select("id", "match", "pattern", F.col("least.gram").alias("gram"))
-    found = spread.join(rarest, "gram").where(_fits(F.col("match"), F.col("pattern"), F.col("text"), F.upper("text"))).select("text", "id")
-    short = filed.where("literal is null").select("id", "match", "pattern")
+    rarest = keys.join(counts, "gram", "left").groupBy("match", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = rarest.where("least.n > 0").select("match", "pattern", F.col("least.gram").alias("gram"))
+    found = spread.join(rarest, "gram").where(_fits(F.col("match"), F.col("pattern"), F.col("text"), F.upper("text"))).select("text", "match", "pattern")
+    short = filed.where("literal is null").select("match", "pattern")
     blocks = -(-short.count() // BLOCK)
     if not blocks:
         return found
-    packed = short.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "match", "pattern")).alias("block_patterns"))
+    packed = short.groupBy(F.pmod(F.xxhash64("match", "pattern"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("match", "pattern")).alias("block_patterns"))
     shout = F.upper("text")
     each = texts.crossJoin(packed).select("text", F.explode("block_patterns").alias("p"))  # blocks of a stated list
-    return found.unionByName(each.where(_fits(F.col("p.match"), F.col("p.pattern"), F.col("text"), shout)).select("text", "p.id"))
+    return found.unionByName(each.where(_fits(F.col("p.match"), F.col("p.pattern"), F.col("text"), shout)).select("text", "p.match", "p.pattern"))
+
+
+def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text, id) of all different texts (text) and patterns (id, match, pattern) that fit, as ``fitting``."""
+    named = patterns.select("id", "match", F.coalesce("pattern", F.lit("")).alias("pattern"))
+    return fitting(texts, patterns).join(named, ["match", "pattern"]).select("text", "id")
+
+
+def choices(rows: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules that texts may take, in order: (text_, shared_) for all accounts, (text__, account_, single_) for one; see ``first_match``."""
+    text = F.coalesce("notes", F.lit(""))
+    said = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    op = said("amount_op")
+    asks = ["account", "of_kind", "op", "low", "high"]
+    usable = rules.where(F.coalesce("category_id", F.lit("")) != "").withColumn("everyone", F.coalesce("is_global", F.lit(False))).where("everyone or account_id is not null").select(
+        "match", F.coalesce("pattern", F.lit("")).alias("pattern"), F.when(~F.col("everyone"), F.col("account_id").cast("string")).alias("account"), said("kind").alias("of_kind"), op.alias("op"),
+        F.when(op.isNotNull(), F.col("amount_value")).alias("low"), F.when(op.isNotNull(), F.col("amount_value2")).alias("high"), F.struct((-F.coalesce("priority", F.lit(0))).alias("less"), "pos", "id").alias("at"),
+    )
+    own = scratch.written(usable.groupBy("match", "pattern", *asks).agg(F.min("at").alias("at")), "rules")
+    fit = scratch.written(fitting(rows.select(text.alias("text")), own.select("match", "pattern")), "fitting")
+    listed = fit.join(own, ["match", "pattern"]).groupBy("text", *asks).agg(F.min("at").alias("at"))
+    end = listed.where(" and ".join(f"{c} is null" for c in ("account", "of_kind", "op"))).select(F.col("text").alias("of"), F.col("at").alias("end"))
+    useful = scratch.written(listed.join(end, F.col("text") == F.col("of"), "left").where("end is null or at <= end").select("text", *asks, "at"), "choices")
+    listed = F.sort_array(F.collect_list(F.struct("at", "of_kind", "op", "low", "high")))
+    shared = scratch.written(useful.where("account is null").groupBy(F.col("text").alias("text_")).agg(listed.alias("shared_")), "choices")
+    single = useful.where("account is not null").groupBy(F.col("text").alias("text__"), F.col("account").alias("account_")).agg(listed.alias("single_"))
+    return shared, scratch.written(single, "choices")
 
 
 def first_match(rows: DataFrame, rules: DataFrame, name: str = "rule_id") -> DataFrame:
     """``rows`` with the id of the first rule that has a category and matches, by priority, then by ``pos``; as ``rules.first_match``.
 
     rules: id, pos, match, pattern, category_id, priority, is_global, account_id, kind, amount_op, amount_value,
-    amount_value2; rows: account_id, kind, amount, notes. The rules of a text are put in order once for each different text, up to
-    the first that asks nothing else, and a row takes the first whose other conditions it meets.
+    amount_value2; rows: account_id, kind, amount, notes. Of the rules of a text that ask the same only the first counts, and none behind
+    the first that asks nothing else: first among rules of one pattern, then of all patterns that fit. What is left for all
+    accounts is listed by text, what is for one account by text and account; a row takes the first of both lists that it meets.
     """
-    usable = rules.where(F.coalesce("category_id", F.lit("")) != "")
     text = F.coalesce("notes", F.lit(""))
-    fit = matches(rows.select(text.alias("text")), usable)
-    own = usable.select((-F.coalesce("priority", F.lit(0))).alias("less"), "pos", "id", F.coalesce("is_global", F.lit(False)).alias("is_global"), F.col("account_id").cast("string").alias("account"), F.col("kind").alias("of_kind"), "amount_op", "amount_value", "amount_value2")
-    always = F.col("is_global") & (F.coalesce("of_kind", F.lit("")) == "") & (F.coalesce("amount_op", F.lit("")) == "")
-    listed = fit.join(own, "id").withColumn("always", always)
-    end = listed.where("always").groupBy(F.col("text").alias("of")).agg(F.min(F.struct("less", "pos")).alias("end"))
-    useful = listed.join(end, F.col("text") == F.col("of"), "left").where(F.col("end").isNull() | (F.struct("less", "pos") <= F.col("end")))
-    choices = useful.groupBy(F.col("text").alias("text_")).agg(F.sort_array(F.collect_list(F.struct("less", "pos", "id", "is_global", "account", "of_kind", "amount_op", "amount_value", "amount_value2"))).alias("choices_"))
+    shared, single = choices(rows, rules)
     size = F.abs(F.coalesce(F.col("amount").cast("double"), F.lit(0.0)))
 
     def meets(c: Column) -> Column:
-        op, low, high = c["amount_op"], c["amount_value"], c["amount_value2"]
+        op, low, high = c["op"], c["low"], c["high"]
         amount = F.when(op == "eq", size == low).when(op == "gt", size > low).when(op == "gte", size >= low).when(op == "lt", size < low).when(op == "lte", size <= low)
         amount = amount.when(op == "between", size.between(low, F.coalesce(high, F.lit(float("-inf"))))).otherwise(F.lit(False))
-        account = c["is_global"] | F.coalesce(F.col("account_id").cast("string") == c["account"], F.lit(False))
-        kind = (F.coalesce(c["of_kind"], F.lit("")) == "") | F.coalesce(F.col("kind") == c["of_kind"], F.lit(False))
-        return account & kind & ((F.coalesce(op, F.lit("")) == "") | F.coalesce(amount, F.lit(False)))
+        kind = c["of_kind"].isNull() | F.coalesce(F.col("kind") == c["of_kind"], F.lit(False))
+        return kind & (op.isNull() | F.coalesce(amount, F.lit(False)))
 
-    joined = rows.join(choices, text == F.col("text_"), "left")
-    return joined.withColumn(name, F.get(F.filter("choices_", meets), F.lit(0))["id"]).drop("text_", "choices_")
+    joined = rows.join(shared, text == F.col("text_"), "left").join(single, (text == F.col("text__")) & (F.col("account_id").cast("string") == F.col("account_")), "left")
+    first = lambda c: F.get(F.filter(c, meets), F.lit(0))["at"]
+    return joined.withColumn(name, F.least(first("shared_"), first("single_"))["id"]).drop("text_", "shared_", "text__", "account_", "single_")

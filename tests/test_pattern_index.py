@@ -81,3 +81,20 @@ def test_patterns_of_merchant_keys_have_literals(spark):
     rows = spark.createDataFrame([(1, "SMALL RING", "sq *small ring 5"), (2, "X", "Small  Ring"), (3, "X", "tiny ring")], "id int, merchant string, notes string")
     wanted = spark.createDataFrame([("SMALL RING", text.merchant_pattern("SMALL RING"))], "key string, pattern string")
     assert sorted(map(tuple, rules.descriptions_matching(rows, wanted).collect())) == [("SMALL RING", 1), ("SMALL RING", 2)]
+
+
+def test_many_rules_of_one_pattern_leave_short_lists(spark):
+    names = "id string, pos long, match string, pattern string, category_id string, priority int, is_global boolean, account_id string, kind string, amount_op string, amount_value double, amount_value2 double"
+    rules = [(f"r{k}", k, "contains", "coffee", "c", 5 if k % 2 else k % 3, k % 2 == 0, str(k), None, "gt", 10.0 if k % 4 == 0 else 20.0, None) for k in range(300)]
+    rules += [("last", 999, "contains", "off", "c", -1, True, None, None, None, None, None), ("never", 1000, "contains", "coffee", "c", -1, True, None, None, None, None, None)]
+    rows = [(k, str(k % 310), "x", float(k % 40), "some Coffee") for k in range(620)]
+    table, listed = spark.createDataFrame(rows, "row long, account_id string, kind string, amount double, notes string"), spark.createDataFrame(rules, names)
+    want = {}
+    for row, account, _, amount, _ in rows:
+        fit = [(-r[5], r[1], r[0]) for r in rules if (r[6] or r[7] == account) and (r[9] is None or amount > r[10])]
+        want[row] = min(fit)[2]
+    found = pattern_index.first_match(table, listed)
+    assert {r.row: r.rule_id for r in found.collect()} == want and len(set(want.values())) > 40
+    shared, single = pattern_index.choices(table, listed)
+    assert [len(r.shared_) for r in shared.collect()] == [3]
+    assert max(len(r.single_) for r in single.collect()) == 1
