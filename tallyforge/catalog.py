@@ -1100,13 +1100,9 @@ UNION ALL SELECT 'warning', owner, CAST(uncosted AS VARCHAR), NULL, NULL, 'posit
 @query(SYNC_SQL)
 def sync_plan(spark, folder):
     """Every row that one payload would write, and all errors and warnings; positions are shown by the provider's number."""
-    world = _world(spark, folder)
-    found = sync.plan(world).rows()
-    asset = money.uuid5(money.NAMESPACE_URL, F.concat_ws(":", F.lit("src"), "source_id", "position_id"))
-    known = world.positions.select(F.col("source_id").alias("of"), asset.alias("asset_id"), "position_id")
-    joined = found.join(known, (F.col("owner") == F.col("of")) & (F.col("key") == F.col("asset_id")), "left")
+    found = sync.plan(_world(spark, folder)).rows("position_id")
     amount = F.when(F.col("step") == "quote", F.floor(F.col("amount") * 10000) / 10000).otherwise(F.col("amount").cast("double"))
-    return joined.select("step", "owner", F.coalesce("position_id", "key").alias("key"), "day", amount.alias("amount"), "detail")
+    return found.select("step", "owner", "key", "day", amount.alias("amount"), "detail")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 10 = 0")

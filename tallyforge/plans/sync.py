@@ -60,8 +60,11 @@ class Plan:
     errors: DataFrame
     warnings: DataFrame
 
-    def rows(self) -> DataFrame:
-        """Everything as (step, owner, key, day, amount, detail); owner: the account, or the source of errors and warnings."""
+    def rows(self, asset: str = "asset_id") -> DataFrame:
+        """Everything as (step, owner, key, day, amount, detail); owner: the account, or the source of errors and warnings.
+
+        asset: what positions and quotes have as key, ``position_id`` for the provider's number.
+        """
 
         def some(table: DataFrame, step: str | Column, owner: str, key: str | None, day: str | None, amount: str | None, detail: str | None) -> DataFrame:
             of = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
@@ -72,8 +75,8 @@ class Plan:
             [
                 some(self.activities, F.col("op"), "account_id", "key", "day", "amount", "kind"),
                 some(self.snapshots, "snapshot", "account_id", None, "day", "cash", "kind"),
-                some(self.positions, "position", "account_id", "asset_id", "day", "quantity", "cost_from"),
-                some(self.quotes, "quote", "account_id", "asset_id", "day", "price", "currency"),
+                some(self.positions, "position", "account_id", asset, "day", "quantity", "cost_from"),
+                some(self.quotes, "quote", "account_id", asset, "day", "price", "currency"),
                 some(self.modes, "mode", "account_id", None, None, None, "mode"),
                 some(self.valuations, "valuation", "id", None, "day", "value", None),
                 some(self.expected, "expected", "account_id", None, None, "total", "mode"),
@@ -144,8 +147,8 @@ def plan(world: World, keep: Callable[[DataFrame], DataFrame] = scratch.written)
     return Plan(
         activities=activities,
         snapshots=snapshots,
-        positions=positions.select("account_id", "asset_id", "day", "quantity", F.col("average_cost").cast(money.MONEY).alias("average_cost"), "cost_from"),
-        quotes=positions.select("account_id", "asset_id", "day", F.col("price").cast(money.MONEY).alias("price"), "currency"),
+        positions=positions.select("account_id", "asset_id", "position_id", "day", "quantity", F.col("average_cost").cast(money.MONEY).alias("average_cost"), "cost_from"),
+        quotes=positions.select("account_id", "asset_id", "position_id", "day", F.col("price").cast(money.MONEY).alias("price"), "currency"),
         modes=both.where(F.col("mode_now") != BY_HOLDINGS).select("account_id", F.lit(BY_HOLDINGS).alias("mode")),
         valuations=valuations,
         expected=expected,
@@ -195,7 +198,8 @@ def _securities(accounts: DataFrame, world: World, keep: Callable[[DataFrame], D
     """Accounts to show with their cash, their positions, and errors."""
     own = accounts.select("source_id", "currency", "per_unit")
     mine = world.positions.join(accounts.select("source_id"), "source_id", "left_semi")
-    planned = keep(holdings.planned(mine, own, world.held, world.verified, world.rolled))
+    planned = keep(holdings.planned(mine, own, world.held, world.verified, world.rolled).drop("asset_id"))  # names of 36 letters are made where they are read
+    planned = planned.withColumn("asset_id", holdings.asset_id())
     sums = keep(holdings.reconciled(mine, accounts.select("source_id", "balance")))
     errors = _told(sums.where("not ok"), "positions do not add up to the balance").unionByName(_told(planned.where("problem is not null"), F.col("problem"), F.col("position_id")))
     shown = _without(accounts, errors).join(sums.select("source_id", F.coalesce("cash", F.lit(0).cast("decimal(28,2)")).alias("cash")), "source_id")

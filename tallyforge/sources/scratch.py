@@ -27,5 +27,5 @@ def written(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write ``df`` and read it back: its lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)

@@ -159,3 +159,17 @@ def test_a_crash_at_any_table_is_seen_by_nobody(s, planned, monkeypatch, table):
     if table == "manifest":
         sync.publish(s, planned, 100)
         assert len(s.read("activities").collect()) == 5
+
+
+def test_positions_keep_the_providers_number_and_their_names_are_not_written(spark):
+    import uuid
+
+    from tallyforge import catalog
+    from tallyforge.sources import scratch
+
+    kept = []
+    planned = sync.plan(catalog._world(spark, "/root/testdata/sf0.001"), lambda t: (kept.append(t.columns), scratch.written(t))[1])
+    assert any("position_id" in c for c in kept) and not any("asset_id" in c for c in kept)
+    rows = planned.positions.limit(50).collect()
+    assert rows and all(r.asset_id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"src:{r.account_id}:{r.position_id}")) for r in rows)
+    assert {r.key for r in planned.rows("position_id").where("step = 'quote'").collect()} >= {r.position_id for r in rows}
