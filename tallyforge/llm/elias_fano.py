@@ -91,6 +91,16 @@ class EliasFano:
             bits = np.where(above, bits >> np.uint64(half), lower)
         return place + PLACE[(bits & np.uint64(0xFF)).astype(np.int64), np.minimum(left, 7)]
 
+    def _run(self, place: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """Set bits from each place to the next clear bit, the ``zero``-th one: seen in the 64 bits from there on, if it is there."""
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        bits = self.high[word] >> shift | after << ONE << (np.uint64(63) - shift)
+        run = np.bitwise_count((bits ^ (bits + ONE)) >> ONE).astype(np.int64)
+        long = np.flatnonzero(run > 62)
+        run[long] = self._select(zero[long], zero=True) - place[long]
+        return run
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by index."""
         high = self._select(i, zero=False) - i
@@ -101,10 +111,14 @@ class EliasFano:
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.width)).astype(np.int64)
         low = values & np.uint64((1 << self.width) - 1)
-        different, back = np.unique(high, return_inverse=True)
-        start = np.where(different > 0, self._select(np.maximum(different - 1, 0), zero=True) + 1, 0) - different
-        end = self._select(different, zero=True) - different
-        lo, hi = start[back], end[back]
+        if (high[1:] >= high[:-1]).all():  # ascending values need no sort
+            new = np.concatenate([[True], high[1:] != high[:-1]])[: len(high)]
+            different, back = high[new], np.cumsum(new) - 1
+        else:
+            different, back = np.unique(high, return_inverse=True)
+        place = np.where(different > 0, self._select(np.maximum(different - 1, 0), zero=True) + 1, 0)
+        start = place - different
+        lo, hi = start[back], (start + self._run(place, different))[back]
         limit = hi.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):

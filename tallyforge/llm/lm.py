@@ -152,26 +152,29 @@ class Level:
         Unknown parents and children are -1; an unknown context has no child and weight 1. A part is opened once.
         """
         fan, cuts, base = self.parts.fan, self.parts.cuts, self.parts.base
-        ok, known = np.flatnonzero((parent >= 0) & (child >= 0)), np.flatnonzero(parent >= 0)
-        code, code_back = np.unique(parent[ok] * fan + child[ok], return_inverse=True)
-        wanted, wanted_back = np.unique(parent[known], return_inverse=True)
+        known = np.flatnonzero(parent >= 0)
+        parent, child, n = parent[known], child[known], len(parent)
+        code, code_back = np.unique(parent * fan + np.maximum(child, 0), return_inverse=True)  # one sort for parents too
+        above = code // fan
+        new = np.concatenate([[True], above[1:] != above[:-1]])[: len(code)]
+        wanted, wanted_back = above[new], (np.cumsum(new) - 1)[code_back]
         found, value = np.full(len(code), -1, np.int64), np.zeros(len(code))
         first, weight = np.zeros(len(wanted), np.int64), np.ones(len(wanted))
-        of_code = dict(slices(code // fan, cuts))
-        for k, some in slices(wanted, cuts):  # a code's parent is wanted as well
+        of_code = dict(slices(above, cuts))
+        for k, some in slices(wanted, cuts):  # every one has a code
             codes, pointers, weights, backs = self.part(k)
-            above = wanted[some] - cuts[k]
-            weight[some] = VALUES[backs[above]]
+            own = wanted[some] - cuts[k]
+            weight[some] = VALUES[backs[own]]
             if heads:
-                first[some] = pointers.get(above) + base[k]
-            if k in of_code:
-                own = of_code[k]
-                at = codes.find(code[own] - cuts[k] * fan)
-                found[own] = np.where(at >= 0, at + base[k], -1)
-                value[own] = np.where(at >= 0, VALUES[weights[at]] if len(weights) else 0.0, 0.0)
-        n = len(parent)
+                first[some] = pointers.get(own) + base[k]
+            own = of_code[k]
+            at = codes.find(code[own] - cuts[k] * fan)
+            found[own] = np.where(at >= 0, at + base[k], -1)
+            value[own] = np.where(at >= 0, VALUES[weights[at]] if len(weights) else 0.0, 0.0)
         node, a, head, back = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, np.int64), np.ones(n)
-        node[ok], a[ok], head[known], back[known] = found[code_back], value[code_back], first[wanted_back], weight[wanted_back]
+        there = child >= 0
+        node[known], a[known] = np.where(there, found[code_back], -1), np.where(there, value[code_back], 0.0)
+        head[known], back[known] = first[wanted_back], weight[wanted_back]
         return node, a, head, back
 
     def look_up(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
