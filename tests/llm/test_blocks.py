@@ -65,3 +65,23 @@ def test_trees_have_the_components_of_all_links(spark, monkeypatch, part):
 
 def test_no_links(spark):
     assert components.forest(spark.createDataFrame([(3, 3)], "x long, y long"), "x", "y").count() == 0
+
+
+def test_edited_copies_of_a_text_are_compared_with_it_once(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "GROUP", 6)
+    rows, longer, written, turns = [], overlap.longer, work.written, []
+    monkeypatch.setattr(overlap, "longer", lambda *args: turns.append(args[3]) or longer(*args))
+    monkeypatch.setattr(work, "written", lambda df, name, *args, **options: rows.append((name, found := written(df, name, *args, **options))) or found)
+    read, rng = {}, np.random.default_rng(9)
+    delete = work.delete
+    monkeypatch.setattr(work, "delete", lambda *args: read.update({k: x.count() for k, (name, x) in enumerate(rows) if name == "overlap-many" and k not in read}) or delete(*args))
+    base, texts = [f"b{k}" for k in range(150)], []
+    for k in range(48):  # up to five words of others; two copies are similar if they have up to three of those
+        text = list(base)
+        for at in rng.choice(20, k % 6, replace=False):
+            text[5 + 7 * at] = f"own{k}.{at}"
+        texts.append(text)
+    texts = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    assert kept(spark, texts) == brute_kept(texts)
+    sizes = [read[k] for k in sorted(read)]
+    assert not turns and sizes[0] > 300 and sizes[-1] == 0 and sum(sizes) < 4 * sizes[0]
