@@ -188,15 +188,16 @@ def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def firsts(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """``docs`` with the first row of each root of ``rooted`` (doc_id, text_hash, root)."""
+    """``docs`` with the first row of each root of ``rooted`` (doc_id, text_hash, root).
+
+    Of rows with equal text and doc_id, as a long, the one whose other columns come first as JSON stays.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = rooted.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash").alias("s")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash"))
     kept = docs.alias("d").join(first, same, "left_semi")
     if not rooted.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return kept
-    name = "text_hash"
-    while name in docs.columns:
-        name += "_"
-    hashed = kept.withColumn(name, F.xxhash64("text"))  # equal rows
-    return hashed.dropDuplicates(["doc_id", name]).select(*docs.columns)
+    rows = kept.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    one = F.min_by("row", F.to_json(F.col("row").dropFields("text"))).alias("row")
+    return rows.groupBy("id", "hash").agg(one).select("row.*")

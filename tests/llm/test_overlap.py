@@ -1,9 +1,10 @@
 """The pipeline's near duplicates against brute force over all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import overlap
+from tallyforge.llm import neardup, overlap
 from tallyforge.llm.text import Texts
 
 
@@ -103,6 +104,26 @@ def test_columns_of_any_name_come_along(spark):
     assert sorted(((r.doc_id, r.text, r.text_hash, r.text_hash_, r.mark, r.root, r.n, r["keys"]) for r in found), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
 
 
+def firsts(spark, rows, schema, parts):
+    table = spark.createDataFrame(rows, schema).repartition(parts)
+    rooted = table.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.crc32(F.coalesce("text", F.lit(""))).alias("root"))
+    found = neardup.firsts(table, rooted)
+    assert found.columns == table.columns
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def test_equal_rows_give_the_same_one_whatever_their_ids_are(spark):
+    text = "one two three four five six"
+    rows = [("7", text, "b"), ("07", text, "a"), (" 7", text, None), ("8", "other words", "c"), (None, "", "e"), (None, "", "d")]
+    for parts in (1, 3, 6):
+        assert firsts(spark, rows, "doc_id string, text string, lang string", parts) == sorted([rows[2], rows[3], rows[5]], key=str)
+
+
+def test_equal_rows_with_columns_of_odd_names(spark):
+    rows = [(7, "one two", "mine", 1), (7, "one two", "mine", 1), (8, "other words", "c", 4)]
+    assert firsts(spark, rows, "doc_id long, text string, TEXT_HASH string, `a.b` int", 2) == rows[1:]
+
+
 def test_no_documents(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
 
