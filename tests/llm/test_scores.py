@@ -51,3 +51,30 @@ def test_scores_against_brute_force(spark):
     assert [i for i, _ in found] == [i for i, _ in want]
     for (_, a), (_, b) in zip(found, want, strict=True):
         assert a == pytest.approx(b, rel=1e-6)
+
+
+class Noted(lm.Parts):
+    """Parts that note each time one of their files is opened."""
+
+    def uri(self, k):
+        with open(f"{self.folder.removeprefix('file://')}/opened", "a") as file:
+            file.write(f"{self.level} {k}\n")
+        return super().uri(k)
+
+
+def test_a_part_is_opened_once_however_many_texts_ask_it(spark):
+    rng = np.random.default_rng(8)
+    texts = docs(spark, [(k, " ".join(f"w{i}" for i in rng.integers(0, 3000, 400))) for k in range(48)]).repartition(12)
+    model = lm.learn(texts)
+    noted = lm.Model(Noted(**vars(model.vocabulary)), [Noted(**vars(p)) for p in model.levels], model.total)
+    found = sorted((r.doc_id, r.n_known, r.score) for r in lm.score(texts, noted).collect())
+    with open(f"{model.vocabulary.folder.removeprefix('file://')}/opened") as file:
+        times = Counter(file.read().splitlines())
+    assert set(times.values()) == {1} and len(times) == 3 * (len(model.vocabulary.cuts) - 1)
+    assert found == sorted((r.doc_id, r.n_known, r.score) for r in lm.score(texts, model).collect())
+
+
+def test_scores_do_not_depend_on_how_texts_are_dealt_out(spark):
+    rows = docs(spark, [r for r in odd() if len(r[1] or "") < 10_000])
+    dealt = [sorted(((str(r.doc_id), r.base_score, r.score) for r in lm.learned_and_scored(rows.repartition(n)).collect())) for n in (1, 5)]
+    assert dealt[0] == dealt[1]
