@@ -9,9 +9,15 @@ context. Probabilities are Witten-Bell estimates, P(w | context) = a + back * P(
 rounded down to steps of 0.04 in log10 (a byte each), so that a context's probabilities never exceed 1 together.
 
 Each level is cut by parent into parts, more of them the more text there is (PART), each a file in the shared folder
-that workers map and read where it is, so nothing of the model is sent to or gathered by the driver but a row per file.
-A context's children are in one part, as its weights need all their counts. Counting sends blocks of
-ascending codes and their counts, summed within each partition first, so a frequent n-gram costs a few rows.
+that is read where it is, so nothing of the model is sent to or gathered by the driver but a row per file.
+A context's children are in one part, as its weights need all their counts.
+
+Texts are cut into chunks (STEP). For each level a chunk sends every part the different codes it has there, ascending,
+with how often they occur in texts to learn from. The part adds them up into its file, opens that once, looks all codes
+up and sends each chunk its answers; the codes of the next level, and at last the scores, rest on them. Work so grows
+with the text, not with chunks times parts. What is kept of a chunk meanwhile is its texts as places among its words,
+and the answers, as files in the shared folder that are deleted at the end. One process may look words up by itself too
+(``contexts``).
 
 Null texts are empty: one end. A null doc_id is learned from. Repeated rows count as often as they occur.
 """
@@ -40,7 +46,7 @@ STEP = 8 << 20
 HELD = 1_500_000
 #: Bytes of text for each part of a level, about.
 PART = 16 << 20
-#: Bytes of a level's files that a worker keeps open; it opens others anew.
+#: Bytes of a level's files that a process looking up by itself keeps open; it opens others anew.
 MAPPED = 48 << 20
 BLOCK = "part int, codes binary, counts binary"
 #: What a chunk asks a part: ascending codes, and how often each occurs in texts to learn from. Chunk -1 is none.
